@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thermaloom.operators import drift
 from thermaloom.operators.dedup import MessageStore, ingest_in_batches, repeated
 from thermaloom.operators.reconcile import digest_bytes, reconcile
 from thermaloom.operators.replay import replay
@@ -13,6 +14,16 @@ from thermaloom.session import scratch_path, table
 PLANES = ("tmrt", "utci", "shadow")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each change of a file's schema against the producer's file before."""
+    return drift.changes(table(spark, sf_dir, "artifact_records"))
+
+
+def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readable records under the producers' lasting field names."""
+    return drift.consistent_table(table(spark, sf_dir, "artifact_records"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing rows and differing fields between the two systems' copies."""
     runs = reconcile(
@@ -108,5 +119,5 @@ def _p4_sql() -> str:
     return joined + " union all ".join(parts)
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL = {"p4_found": _p4_sql(), "p5_found": _P5_SQL, "p6_found": _P6_SQL}
