@@ -9,11 +9,17 @@ from thermaloom.operators import drift
 from thermaloom.operators.dedup import MessageStore, ingest_in_batches, repeated
 from thermaloom.operators.reconcile import digest_bytes, reconcile
 from thermaloom.operators.replay import replay
+from thermaloom.operators.spikes import implausible
 from thermaloom.session import scratch_path, table
 
 PLANES = ("tmrt", "utci", "shadow")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that their station cannot have measured, by field."""
+    return implausible(table(spark, sf_dir, "met_inputs"), table(spark, sf_dir, "grid_tiles").select("tile", "latitude"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each change of a file's schema against the producer's file before."""
     return drift.changes(table(spark, sf_dir, "artifact_records"))
@@ -119,5 +125,5 @@ def _p4_sql() -> str:
     return joined + " union all ".join(parts)
 
 
-QUERIES = {"p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL = {"p4_found": _p4_sql(), "p5_found": _P5_SQL, "p6_found": _P6_SQL}
