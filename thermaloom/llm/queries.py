@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermaloom.llm import packing, quantiles, tokenize
+from thermaloom.llm import abuse, packing, quantiles, tokenize
 
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -38,5 +38,28 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(counts.withColumnRenamed("n_tokens", "size"))
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p7_ids": p7_ids, "p8_packed": p8_packed}
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = abuse.fit(_read(spark, sf_dir, "review_labels"), docs)
+    return abuse.score(docs, model, spark, ["doc_id", "source"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit language."""
+    return _scored(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document."""
+    return _scored(spark, sf_dir).select("doc_id", "source", *(F.round(c, 6).alias(c) for c in ("abusive", "hateful", "sexual", "score")))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, flagged documents and their rate for each source."""
+    flagged = (F.col("score") >= abuse.THRESHOLD).cast("bigint")
+    kinds = [F.avg((F.col(c) >= abuse.THRESHOLD).cast("int")).alias(f"{c}_rate") for c in ("abusive", "hateful", "sexual")]
+    return _scored(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(flagged).alias("n_flagged"), F.avg(flagged).alias("rate"), *kinds)
+
+
+QUERIES = {"p2_percentiles": p2_percentiles, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
