@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermaloom.plans import datasets
+from thermaloom.plans import datasets, physics_queries
 
-MODULES = (datasets,)
+MODULES = (datasets, physics_queries)
 
 
 def queries() -> dict:
