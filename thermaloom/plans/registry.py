@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermaloom.plans import datasets, physics_queries
+from thermaloom.plans import datasets, physics_queries, raster_queries
 
-MODULES = (datasets, physics_queries)
+MODULES = (datasets, physics_queries, raster_queries)
 
 
 def queries() -> dict:
