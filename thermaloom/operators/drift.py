@@ -273,7 +273,7 @@ def edit_script(old: dict[str, dict], new: dict[str, dict]) -> tuple[list[tuple[
         pairs += [(gone[i], come[j]) for i, j in moved]
         gone = [g for i, g in enumerate(gone) if i not in {x for x, _ in moved}]
         come = [c for j, c in enumerate(come) if j not in {x for _, x in moved}]
-    return [(a, b) for a, b in pairs if a != b], gone, come
+    return sorted((a, b) for a, b in pairs if a != b), gone, come
 
 
 def _assigned(cost: np.ndarray, delete: np.ndarray, insert: np.ndarray, most: float | np.ndarray) -> list[tuple[int, int]]:
@@ -291,7 +291,7 @@ def _match(a: dict, b: dict, old: dict, new: dict) -> tuple[float, list, list, l
     """Cost, pairs of leaves, single leaves of either side, for two objects taken as the same node."""
     total, pairs, gone, come = 0.0, [], [], []
     rest_a, rest_b = [], []
-    for k in a.keys() | b.keys():
+    for k in sorted(a.keys() | b.keys()):
         x, y = a.get(k), b.get(k)
         if k in a and k in b and isinstance(x, str) == isinstance(y, str):
             if isinstance(x, str):

@@ -64,20 +64,26 @@ TREE_FIELDS = ("x_m", "y_m", "height_m", "canopy_radius_m")
 POSITION = ("x_m", "y_m")
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Present trees of each workspace, by replaying the operation log."""
-    log = table(spark, sf_dir, "operation_log").where("source_family = 'vegetation_geometry'")
+def replay_feed(log: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Operations on trees with the fields they carry, from under ``values`` or else from the payload's top level."""
+    log = log.where("source_family = 'vegetation_geometry'")
     known = ", ".join(f"{f} double" for f in TREE_FIELDS)
     body = F.from_json("payload", f"values struct<{known.replace(' double', ': double')}>, {known}")
-    feed = log.select("workspace_id", "entity_id", "server_sequence", "verb", "payload", body.alias("b"))
+    base = ["workspace_id", "entity_id", "server_sequence", "verb", *extra]
+    feed = log.select(*base, "payload", body.alias("b"))
     values = F.col("b.values")
     feed = feed.select(
-        "workspace_id", "entity_id", "server_sequence", "verb",
+        *base,
         *(F.when(values.isNotNull(), values[f]).otherwise(F.col(f"b.{f}")).alias(f) for f in TREE_FIELDS),
         F.when(F.col("verb") == "move", F.lit(False)).otherwise(_carries_other()).alias("other"),
     )
     has = lambda names: F.greatest(*(F.col(f).isNotNull() for f in names))
-    feed = feed.withColumn("carries", F.when(F.col("verb") == "move", has(POSITION)).otherwise(has(TREE_FIELDS) | F.col("other")))
+    return feed.withColumn("carries", F.when(F.col("verb") == "move", has(POSITION)).otherwise(has(TREE_FIELDS) | F.col("other")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Present trees of each workspace, by replaying the operation log."""
+    feed = replay_feed(table(spark, sf_dir, "operation_log"))
     live = replay(feed, ("workspace_id", "entity_id"), "server_sequence", "verb", "carries", TREE_FIELDS, POSITION)
     cm = {"x_cm": "x_m", "y_cm": "y_m", "height_cm": "height_m", "radius_cm": "canopy_radius_m"}
     return live.select("workspace_id", "entity_id", "generation", "last_sequence", *(F.round(F.col(m) * 100).cast("bigint").alias(c) for c, m in cm.items()))

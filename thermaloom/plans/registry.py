@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermaloom.plans import datasets, physics_queries, raster_queries
+from thermaloom.plans import datasets, log_queries, physics_queries, raster_queries, stream_queries
 
-MODULES = (datasets, physics_queries, raster_queries)
+MODULES = (datasets, physics_queries, raster_queries, log_queries, stream_queries)
 
 
 def queries() -> dict:
