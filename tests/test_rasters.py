@@ -134,3 +134,19 @@ def test_tiles(spark):
         raster.tile_windows(grid, 8, 8)
     codes = spark.createDataFrame([("EPSG:32633",), ("32633",), ("urn:ogc:def:crs:EPSG::32633",), (None,), ("odd",)], "crs string")
     assert [r.e for r in codes.select(raster.epsg(F.col("crs")).alias("e")).collect()] == [32633, 32633, 32633, None, None]
+
+
+def test_sky_view_in_groups_equals_one_array(spark):
+    cells, _, dsm, trees = scene(spark)
+    veg, trunk = np.where(trees > 0, trees + dsm, 0.0), np.where(trees > 0, 0.25 * trees + dsm, 0.0)
+    want = march.sky_view(dsm, veg, trunk, 13.0)
+    got = march.sky_view_blocks(raster.layers(cells), 13.0, size=512).cache()
+    for name in march.SKY:
+        assert np.allclose(plane(got, name, dsm.shape), want[name], atol=1e-9), name
+
+
+def test_ground_below_zero(spark):
+    rng = np.random.default_rng(1)
+    dsm = rng.integers(-3, 5, (8, 9)).astype(float)
+    steps = raster.step_table(200.0, 25.0, 6.0, 8, 9)
+    assert (march.shadows(dsm, np.zeros_like(dsm), np.zeros_like(dsm), steps)[0] == loop_shadow(dsm, steps)).all()

@@ -34,29 +34,60 @@ def shifted(plane: np.ndarray, dr: int, dc: int, fill: float = 0.0) -> np.ndarra
     return out
 
 
+def _overlap(shape: tuple[int, int], dr: int, dc: int) -> tuple[tuple[slice, slice], tuple[slice, slice]] | None:
+    """Slices of the cells whose source at (r + dr, c + dc) exists, and of those sources."""
+    n, m = shape
+    if abs(dr) >= n or abs(dc) >= m:
+        return None
+    r0, r1, c0, c1 = max(0, -dr), min(n, n - dr), max(0, -dc), min(m, m - dc)
+    return (slice(r0, r1), slice(c0, c1)), (slice(r0 + dr, r1 + dr), slice(c0 + dc, c1 + dc))
+
+
 def shadows(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, steps: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(building, vegetation, vegetation before buildings), 1 lit and 0 shaded, by one march from index 1."""
+    """(building, vegetation, vegetation before buildings), 1 lit and 0 shaded, by one march from index 1.
+
+    Only the cells whose source lies inside are touched in a step; a source beyond
+    the border has height 0, which can rise only above ground below 0.
+    """
     front = dsm.copy()
     shade = np.zeros(dsm.shape, bool)
-    tree = np.zeros(dsm.shape)
-    behind = np.zeros(dsm.shape)
+    tree, behind = np.zeros(dsm.shape, bool), np.zeros(dsm.shape, bool)
+    planted = bool((veg > 0).any())
+    sunken = bool((dsm < 0).any())
+    rooted = trunk > dsm
     for i, dr, dc, drop in steps:
-        # a source beyond the border counts as height 0 after the drop
-        outside = shifted(np.ones(dsm.shape), dr, dc) == 0
-        a, v, w = (np.where(outside, 0.0, shifted(x, dr, dc) - drop) for x in (dsm, veg, trunk))
-        np.maximum(front, a, out=front)
-        shade = front > dsm
-        tree = np.maximum(tree, (v > dsm).astype(float) - (w > dsm))
-        tree[(tree > 0) & shade] = 0.0
+        both = _overlap(dsm.shape, dr, dc)
+        if sunken:  # beyond the border
+            outside = np.ones(dsm.shape, bool)
+            if both:
+                outside[both[0]] = False
+            front[outside] = np.maximum(front[outside], 0.0)
+            shade = front > dsm
+            tree &= ~shade
+        if both:
+            here, there = both
+            ground, f = dsm[here], front[here]
+            a = dsm[there] - drop
+            np.maximum(f, a, out=f)
+            np.greater(f, ground, out=shade[here])
+            if planted:
+                v = veg[there] - drop
+                t = tree[here]
+                t |= (v > ground) & ~(trunk[there] - drop > ground)
+                t &= ~shade[here]
+                if i == 1:
+                    gap = v - a
+                    t |= (gap > 0) & (gap < drop) | (gap <= 0) & (1000.0 < drop)
+        if not planted:
+            continue
         if i == 1:
-            gap = v - a
-            tree[np.where(gap <= 0, 1000.0, gap) < drop] = 1.0
-            tree *= trunk > dsm
-            behind[:] = 0.0
-        else:
-            behind += tree
-    veg_shade = (tree > 0).astype(float)
-    return 1.0 - shade, 1.0 - veg_shade, 1.0 - ((behind > 0) - veg_shade)
+            tree &= rooted
+            behind[:] = False
+        elif i == 2 or sunken:
+            behind |= tree
+        elif both:
+            behind[both[0]] |= tree[both[0]]
+    return 1.0 - shade, 1.0 - tree, 1.0 - (behind.astype(float) - tree)
 
 
 def annulus(k: float, n: float) -> float:
@@ -68,12 +99,11 @@ def patches(option: int = 2) -> list[tuple[float, float, int, float, float]]:
     return [(alt, (azi + k * 360.0 / n) % 360.0 if azi + k * 360.0 / n > 360.0 else azi + k * 360.0 / n, n, lo, hi) for _, alt, azi, n, lo, hi in bands(option) for k in range(n)]
 
 
-def sky_view(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, top: float, scale: float = 1.0, option: int = 2, reach: tuple[int, int] | None = None) -> dict[str, np.ndarray]:
-    """Sky view factors: all, east, south, west, north, for buildings, vegetation and vegetation before buildings, and the total."""
-    rows, cols = reach or dsm.shape
+def sky_sums(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, top: float, scale: float, option: int, reach: tuple[int, int], some: Sequence[tuple]) -> dict[str, np.ndarray]:
+    """Weighted sums of what is visible over some patches of the sky, for buildings, vegetation, vegetation before buildings, all round and by side."""
     out = {f"{kind}{side}": np.zeros(dsm.shape) for kind in ("svf", "veg", "aveg") for side in ("", "_e", "_s", "_w", "_n")}
-    for alt, azi, n, lo, hi in patches(option):
-        planes = shadows(dsm, veg, trunk, step_table(azi, alt, top, rows, cols, scale))
+    for alt, azi, n, lo, hi in some:
+        planes = shadows(dsm, veg, trunk, step_table(azi, alt, top, *reach, scale))
         all_w = sum(annulus(k, n) for k in np.arange(lo + 1, hi + 1))
         half_w = sum(annulus(k, math.ceil(n / 2)) for k in np.arange(lo + 1, hi + 1))
         sides = [s for s, yes in (("_e", 0 <= azi < 180), ("_s", 90 <= azi < 270), ("_w", 180 <= azi < 360), ("_n", azi >= 270 or azi < 90)) if yes]
@@ -81,6 +111,12 @@ def sky_view(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, top: float, sc
             out[kind] += all_w * plane
             for s in sides:
                 out[kind + s] += half_w * plane
+    return out
+
+
+def sky_view(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, top: float, scale: float = 1.0, option: int = 2, reach: tuple[int, int] | None = None) -> dict[str, np.ndarray]:
+    """Sky view factors of one array: all, east, south, west, north for each kind, and the total."""
+    out = sky_sums(dsm, veg, trunk, top, scale, option, reach or dsm.shape, patches(option))
     bare = np.where(trunk == 0, LOW_ANNULI, 0.0)
     for s in ("_s", "_w"):
         out["svf" + s] += LOW_ANNULI
@@ -137,12 +173,13 @@ def reach_of(top: float, altitude: float, scale: float = 1.0) -> int:
     return math.ceil(top * scale / math.tan(math.radians(altitude))) + 1
 
 
-def over_blocks(cells: DataFrame, planes: Sequence[str], kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], out: Sequence[str], halo: int, size: int = 512) -> DataFrame:
+def over_blocks(cells: DataFrame, planes: Sequence[str], kernel: Callable[..., dict[str, np.ndarray]], out: Sequence[str], halo: int, size: int = 512, groups: int = 0) -> DataFrame:
     """Run a kernel over square blocks with a symmetric halo and return the cores: ``r, c`` and the kernel's planes.
 
     Cells that are missing inside a block count as 0, as beyond the border. A cell
     goes to as many blocks as reach it; with blocks wider than twice the halo that
-    is four at most.
+    is four at most. With ``groups`` every block is given to the kernel once for
+    each group, with its number, and a cell comes back as often.
     """
     size = max(size, 2 * halo)
     near = lambda x: F.sequence(F.floor((F.col(x) - halo) / size).cast("int"), F.floor((F.col(x) + halo) / size).cast("int"))
@@ -163,11 +200,13 @@ def over_blocks(cells: DataFrame, planes: Sequence[str], kernel: Callable[[dict[
             g = np.zeros(shape)
             g[r - r0, c - c0] = np.nan_to_num(t[p].to_numpy(zero_copy_only=False))
             grids[p] = g
-        done = kernel(grids)
+        done = kernel(grids, t["g"][0].as_py()) if groups else kernel(grids)
         ri, ci = r[inner], c[inner]
         return pa.table([pa.array(ri, pa.int32()), pa.array(ci, pa.int32()), *(pa.array(done[o][ri - r0, ci - c0]) for o in out)], schema=schema)
 
-    return dealt.groupBy("br", "bc").applyInArrow(block, ddl)
+    if groups:
+        dealt = dealt.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return dealt.groupBy("br", "bc", *(["g"] if groups else [])).applyInArrow(block, ddl)
 
 
 def shadow_blocks(cells: DataFrame, azimuth: float, altitude: float, top: float, size: int = 512, scale: float = 1.0) -> DataFrame:
@@ -182,17 +221,24 @@ def shadow_blocks(cells: DataFrame, azimuth: float, altitude: float, top: float,
 
 
 SKY = ("svf", "svf_e", "svf_s", "svf_w", "svf_n", "veg", "aveg", "total")
+_PARTS = ("svf", "svf_e", "svf_s", "svf_w", "svf_n", "veg", "aveg")
 
 
-def sky_view_blocks(cells: DataFrame, top: float, size: int = 512, scale: float = 1.0, option: int = 2) -> DataFrame:
-    """Sky view factors of a raster with dsm, vegdsm, vegdsm2."""
-    lowest = min(a for _, a, *_ in bands(option))
-    halo = reach_of(top, lowest, scale)
+def sky_view_blocks(cells: DataFrame, top: float, size: int = 512, scale: float = 1.0, option: int = 2, groups: int = 8) -> DataFrame:
+    """Sky view factors of a raster with dsm, vegdsm, vegdsm2.
 
-    def kernel(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        return sky_view(g["dsm"], g["vegdsm"], g["vegdsm2"], top, scale, option, (halo + 1, halo + 1))
+    The patches of the sky are dealt out in groups, so a block is marched by as many tasks, and their sums are added.
+    """
+    halo = reach_of(top, min(a for _, a, *_ in bands(option)), scale)
+    total = F.least(F.col("svf"), F.lit(1.0)) - (1 - F.least(F.col("veg"), F.lit(1.0))) * (1 - TRANSMISSION)
+
+    def kernel(g: dict[str, np.ndarray], group: int) -> dict[str, np.ndarray]:
+        return sky_sums(g["dsm"], g["vegdsm"], g["vegdsm2"], top, scale, option, (halo + 1, halo + 1), patches(option)[group::groups])
 
-    return over_blocks(cells, ("dsm", "vegdsm", "vegdsm2"), kernel, SKY, halo, size)
+    parts = over_blocks(cells, ("dsm", "vegdsm", "vegdsm2"), kernel, _PARTS, halo, size, groups)
+    sums = parts.groupBy("r", "c").agg(*(F.sum(p).alias(p) for p in _PARTS))
+    low = {"svf_s": LOW_ANNULI, "svf_w": LOW_ANNULI}
+    return sums.select("r", "c", *(F.least(F.col(p) + low.get(p, 0.0), F.lit(1.0)).alias(p) for p in _PARTS), total.alias("total"))
 
 
 def wall_light_blocks(cells: DataFrame, azimuth: float, altitude: float, top: float, size: int = 512) -> DataFrame:

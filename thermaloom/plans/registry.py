@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermaloom.plans import datasets, log_queries, physics_queries, raster_queries, stream_queries
+from thermaloom.plans import datasets, log_queries, physics_queries, pipeline, raster_queries, stream_queries
 
-MODULES = (datasets, physics_queries, raster_queries, log_queries, stream_queries)
+MODULES = (datasets, physics_queries, raster_queries, log_queries, stream_queries, pipeline)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return datasets.p4_found(spark, sf_dir)
+    return pipeline.comfort_by_hour(spark, sf_dir)
