@@ -231,3 +231,49 @@ def polygons_on_cells(rings: DataFrame, pixel: float = 1.0) -> DataFrame:
         return (F.abs(area) <= 1e-9 * ((b["x"] - a["x"]) ** 2 + (b["y"] - a["y"]) ** 2)) & inside
 
     return cand.withColumn("edges", edges).where((F.size(F.filter("edges", crosses)) % 2 == 1) | F.exists("edges", on_edge)).select(*[x for x in rings.columns if x != "ring"], "r", "c")
+
+
+# -- wind ---------------------------------------------------------------------------------------
+def log_ratio(z: float, roughness: Column, displacement: Column) -> Column:
+    """Logarithm of height over roughness, both kept away from the edge of its domain."""
+    z0 = F.greatest(roughness, F.lit(1e-6))
+    return F.log(F.greatest(F.greatest(F.lit(z) - displacement, 1.01 * z0) / z0, F.lit(1.01)))
+
+
+def canopy_wind(height: Column, density: Column, z: float = 1.5, reference_roughness: float = 0.03, most: float = 1.0) -> Column:
+    """Wind at height z as a part of the reference's, over or inside a canopy of a height and frontal density.
+
+    Inside, the profile decays exponentially from the canopy's top; above, it is
+    logarithmic over a raised ground. Without a canopy it is 1.
+    """
+    h = F.greatest(height, F.lit(1e-6))
+    z0, d = F.greatest(0.1 * h, F.lit(0.03)), 0.7 * h
+    reference = F.log(F.greatest(F.lit(z), F.lit(1.01 * reference_roughness)) / reference_roughness)
+    inside = F.exp(9.6 * density * (F.lit(z) / h - 1.0)) * F.log(F.greatest((h - d) / z0, F.lit(1.01))) / reference
+    ratio = (F.lit(z) - d) / z0
+    outside = F.log(F.when(ratio <= 1.0, 1.01).otherwise(ratio)) / reference
+    return F.when((height <= 0) | (density <= 0), 1.0).otherwise(F.least(F.when(h > z, inside).otherwise(outside), F.lit(most)))
+
+
+def components(cells: DataFrame, rounds: int = 60) -> DataFrame:
+    """Connected components (by edges) of the cells given: r, c and the least cell number of the component.
+
+    Labels spread over runs of rows and columns by window minima, so a round crosses
+    a whole run; it stops when nothing changes. Each round is written to the shared
+    folder, so lineage does not grow and no executor's loss repeats it.
+    """
+    from thermaloom.session import materialize
+
+    lab = cells.select("r", "c", (F.col("r").cast("bigint") * 1_000_000 + F.col("c")).alias("label"))
+    for axis, other in (("r", "c"), ("c", "r")):
+        w = Window.partitionBy(axis).orderBy(other)
+        lab = lab.withColumn(f"run_{axis}", F.col(other) - F.row_number().over(w))
+    lab = materialize(lab, "components")
+    for _ in range(rounds):
+        low = lab.withColumn("a", F.min("label").over(Window.partitionBy("r", "run_r"))).withColumn("b", F.min("a").over(Window.partitionBy("c", "run_c")))
+        after = materialize(low.select("r", "c", "run_r", "run_c", "label", F.col("b").alias("next")), "components")
+        changed = after.where("next < label").limit(1).count()
+        lab = after.select("r", "c", F.col("next").alias("label"), "run_r", "run_c")
+        if not changed:
+            return lab.select("r", "c", F.col("label").alias("component"))
+    raise RuntimeError(f"the components are not settled after {rounds} rounds")

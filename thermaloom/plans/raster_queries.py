@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thermaloom.functions import sky
 from thermaloom.operators import forcing, march, raster
+from thermaloom.sources import io
 from thermaloom.plans.bindings import CELLS_SQL, MET_SQL, cells, met
 from thermaloom.session import table
 
@@ -353,3 +354,57 @@ def spatial_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = t.where("tree % 50 = 0").withColumn("half", F.col("height") * 2).select(F.col("tree").alias("edited"), "x", "y", "half", F.explode(near(F.col("x"), F.col("half"))).alias("kx")).withColumn("ky", F.explode(near(F.col("y"), F.col("half"))))
     hit = probe.join(index, ["kx", "ky"]).where((F.col("edited") != F.col("b")) & (F.col("bx") - F.col("br") <= F.col("x") + F.col("half")) & (F.col("bx") + F.col("br") >= F.col("x") - F.col("half")) & (F.col("by") - F.col("br") <= F.col("y") + F.col("half")) & (F.col("by") + F.col("br") >= F.col("y") - F.col("half")))
     return hit.select("edited", "b").distinct().groupBy("edited").agg(F.count("*").alias("affected"))
+
+
+# -- wind, components, sources ------------------------------------------------------------------------------
+_RF = "ln(1.5e0 / 0.03e0)"
+
+
+@query(CELL + f"""select r, c, round(case when trees <= 0 then 1e0 when greatest(trees, 1e-6) > 1.5e0 then least(exp(9.6e0 * 0.4e0 * (1.5e0 / trees - 1)) * ln(greatest((trees - 0.7e0 * trees) / greatest(0.1e0 * trees, 0.03e0), 1.01e0)) / {_RF}, 1e0)
+ else least(ln(case when (1.5e0 - 0.7e0 * trees) / greatest(0.1e0 * trees, 0.03e0) <= 1 then 1.01e0 else (1.5e0 - 0.7e0 * trees) / greatest(0.1e0 * trees, 0.03e0) end) / {_RF}, 1e0) end, 7) + 0e0 as coefficient from cell""")
+def wind_coeff_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wind coefficient at 1.5 m in and over tree canopies of density 0.4."""
+    return cells(spark, sf_dir).select("r", "c", F.round(raster.canopy_wind(F.col("trees"), F.lit(0.4)), 7).alias("coefficient"))
+
+
+@query()
+def wind_coeff_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wind coefficient at 1.5 m from the mean height and frontal area of the buildings around."""
+    c = cells(spark, sf_dir)
+    both = raster.box_statistics(c).join(raster.frontal_area(c), ["r", "c"])
+    return both.select("r", "c", F.round(raster.canopy_wind(F.col("mean_height"), F.col("lambda_f")), 6).alias("coefficient"))
+
+
+@query()
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings as connected components with their box, size and mean height."""
+    c = cells(spark, sf_dir).where("dsm - dem >= 2").withColumn("h", F.col("dsm") - F.col("dem"))
+    lab = raster.components(c)
+    g = lab.join(c.select("r", "c", "h"), ["r", "c"]).groupBy("component")
+    return g.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("cells"), F.round(F.avg("h"), 6).alias("mean_height"))
+
+
+_NAMES = "case event_id % 4 when 0 then 'wrfout_d0' || (1 + event_id % 3) || '_2020-08-' || lpad(cast(1 + event_id % 28 as varchar), 2, '0') || '_' || lpad(cast(event_id % 24 as varchar), 2, '0') when 1 then 'wrfout_d02_2020-08-13_12:30:45' when 2 then 'out/wrfout_d01_2020-08-13_06_00_00' else 'wrfinput_d01' end"
+
+
+@query(f"""with n as (select event_id, {_NAMES} as name from events), p as (select event_id, regexp_extract(name, '([^/]+)$', 1) b from n), q as (select event_id, b, regexp_extract(b, '^wrfout_d(\\d{{2}})_(\\d{{4}}-\\d{{2}}-\\d{{2}})_(\\d{{2}})(?:[_:](\\d{{2}}))?(?:[_:](\\d{{2}}))?$', ['d', 'day', 'h', 'm', 's']) x from p)
+ select event_id, cast(nullif(x.d, '') as int) as domain, case when x.d <> '' then cast(x.day || ' ' || x.h || ':' || case when x.m = '' then '00' else x.m end || ':' || case when x.s = '' then '00' else x.s end as timestamp) end as starts from q""")
+def model_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain and start of model output files by their names; other names give nulls."""
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_NAMES.replace("varchar", "string")).alias("name"))
+    parts = io.model_file_parts(F.col("name"))
+    return e.select("event_id", parts["domain"].alias("domain"), parts["starts"].alias("starts"))
+
+
+@query(CELL + "select r, c, dsm from cell where r >= 3 and r < 40 and c >= 10 and c < 90")
+def window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of one window of the raster."""
+    return io.window(cells(spark, sf_dir).select("r", "c", "dsm"), 3, 40, 10, 90)
+
+
+@query("select tile, regexp_extract(tile, '(\\d+_\\d+)$', 1) as key, cast(split_part(regexp_extract(tile, '(\\d+_\\d+)$', 1), '_', 1) as int) as x, cast(split_part(regexp_extract(tile, '(\\d+_\\d+)$', 1), '_', 2) as int) as y from grid_tiles order by x, y")
+def tile_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles by the key in their name, in numeric order."""
+    g = table(spark, sf_dir, "grid_tiles").select("tile", io.tile_key(F.col("tile")).alias("key"))
+    xy = F.split("key", "_")
+    return g.select("tile", "key", xy[0].cast("int").alias("x"), xy[1].cast("int").alias("y")).orderBy("x", "y")
