@@ -167,14 +167,14 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.islands(every.join(have, [*keys, "t"], "left_anti"), keys, "t", [])
 
 
-@query(OP + _RANGES + """, o as (select t, avg(value) v, count(*) n from s where field = 'ta' group by 1) select m.reading_id, m.it as hour_step, round(coalesce(o.v, m.ta), 6) + 0e0 as ta_overlaid, o.v is not null as edited from (""" + MET_SQL + ") m left join o on o.t = m.it")
+@query(OP + _RANGES + """, o as (select t, avg(value) v, count(*) n from s where field = 'ta' group by 1) select m.reading_id, m.it as hour_step, round(coalesce(o.v, m.ta) + 1e-9, 6) + 0e0 as ta_overlaid, o.v is not null as edited from (""" + MET_SQL + ") m left join o on o.t = m.it")
 def met_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forcing under the edits of the log: the mean edited air temperature of a step of the day replaces the reading's."""
     keys = ["workspace_id", "source_family", "field"]
     s = collab.range_writes(ops(spark, sf_dir)).withColumn("it", F.explode(F.sequence("t0", "t1"))).groupBy(*keys, "it").agg(F.max_by("value", "server_sequence").alias("value"))
     o = s.where("field = 'ta'").groupBy("it").agg(F.avg("value").alias("v"))
     m = met(spark, sf_dir).join(o, "it", "left")
-    return m.select("reading_id", F.col("it").alias("hour_step"), F.round(F.coalesce("v", "ta"), 6).alias("ta_overlaid"), F.col("v").isNotNull().alias("edited"))
+    return m.select("reading_id", F.col("it").alias("hour_step"), F.round(F.coalesce("v", "ta") + 1e-9, 6).alias("ta_overlaid"), F.col("v").isNotNull().alias("edited"))
 
 
 @query(OP + """, v as (select workspace_id, case when json_extract_string(payload, '$.scope') = 'user' then actor_id else '' end as owner, json_extract_string(payload, '$.values.variable') variable, server_sequence from op where source_family = 'output_view')
@@ -305,13 +305,13 @@ def packed_weighted_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(MET + """, n as (select *, lead(ta) over (partition by station order by obs_time, reading_id) candidate from met), d as (select case when it < 6 then 'night' when it < 12 then 'morning' when it < 18 then 'afternoon' else 'evening' end as band, abs(ta - candidate) d from n)
- select band, round(avg(d), 6) + 0e0 as mae, quantile_disc(d, 0.99) as p99, max(d) as max_abs, round(avg(case when d > 0.25e0 then 1e0 else 0e0 end), 6) + 0e0 as mismatch, count(*) as n from d where d is not null group by 1""")
+ select band, round(avg(d) + 1e-9, 6) + 0e0 as mae, quantile_disc(d, 0.99) as p99, max(d) as max_abs, round(avg(case when d > 0.25e0 then 1e0 else 0e0 end), 6) + 0e0 as mismatch, count(*) as n from d where d is not null group by 1""")
 def band_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparison of successive readings by part of the day."""
     m = met(spark, sf_dir).withColumn("candidate", F.lead("ta").over(Window.partitionBy("station").orderBy("obs_time", "reading_id")))
     band = F.when(F.col("it") < 6, "night").when(F.col("it") < 12, "morning").when(F.col("it") < 18, "afternoon").otherwise("evening")
     c = incremental.compare(m.withColumn("band", band), ["band"], "ta", "candidate", 0.25)
-    return c.select("band", r6("mae"), "p99", "max_abs", r6("mismatch"), "n")
+    return c.select("band", (F.round(F.col("mae") + 1e-9, 6) + F.lit(0.0)).alias("mae"), "p99", "max_abs", r6("mismatch"), "n")
 
 
 # -- folds over time -------------------------------------------------------------------------------

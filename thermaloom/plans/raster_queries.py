@@ -31,6 +31,11 @@ def r6(c: str, digits: int = 6) -> F.Column:
     return (F.round(c, digits) + F.lit(0.0)).alias(c)
 
 
+def m6(c: str) -> F.Column:
+    """A mean to six decimals; sums differ in their last bit with the order of rows, so ties are moved off the edge."""
+    return (F.round(F.col(c) + 1e-9, 6) + F.lit(0.0)).alias(c)
+
+
 # -- forcing --------------------------------------------------------------------------------
 @query(MET + """select a.station, a.obs_time, a.ta, round(b.j / 3600.0e0, 6) + 0e0 as shortwave from met a
  join (select station, obs_time, max(radg * 3600.0e0) j from met where imin = 0 and radg is not null group by 1, 2) b on a.station = b.station and a.obs_time = b.obs_time where a.ta is not null""")
@@ -46,11 +51,11 @@ _DAILY = """daily as (select station, cast(obs_time as date) as day, avg(radg) s
  amp as (select *, pow(greatest(coalesce(sw / (1.225e0 * 1005.0e0) * pow(tmax - tmin, 3), 0e0), 0e0) / case when ws > 1 then ws else 1e0 end, 0.25e0) amplitude from daily) """
 
 
-@query(MET.rstrip() + ", " + _DAILY + "select station, day, round(sw, 6) + 0e0 as sw, round(ws, 6) + 0e0 as ws, round(tmax - tmin, 6) + 0e0 as dtr, round(amplitude, 5) + 0e0 as amplitude, n from amp")
+@query(MET.rstrip() + ", " + _DAILY + "select station, day, round(sw + 1e-9, 6) + 0e0 as sw, round(ws + 1e-9, 6) + 0e0 as ws, round(tmax - tmin, 6) + 0e0 as dtr, round(amplitude, 5) + 0e0 as amplitude, n from amp")
 def uhi_daily_amp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily diagnostics and heat-island amplitude of each station."""
     d = forcing.daily_amplitude(met(spark, sf_dir)).withColumn("dtr", F.col("tmax") - F.col("tmin"))
-    return d.select("station", "day", r6("sw"), r6("ws"), r6("dtr"), r6("amplitude", 5), "n")
+    return d.select("station", "day", m6("sw"), m6("ws"), r6("dtr"), r6("amplitude", 5), "n")
 
 
 @query(MET.rstrip() + ", " + _DAILY + """, n as (select m.reading_id, m.station, m.obs_time, coalesce(m.radg <= 5, false) night, a.amplitude from met m join amp a on a.station = m.station and a.day = cast(m.obs_time as date)),
@@ -76,19 +81,19 @@ def amplitude_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forcing.as_of_daily(m, forcing.daily_amplitude(m)).select("reading_id", r6("as_of", 5))
 
 
-@query(MET + "select tile, date_trunc('hour', obs_time) as hour_ts, round(coalesce(avg(ta), -999), 6) + 0e0 as ta, round(coalesce(avg(rh), -999), 6) + 0e0 as rh, round(coalesce(avg(wind), -999), 6) + 0e0 as wind, count(*) as n from met where tile in (select tile from grid_tiles) group by 1, 2")
+@query(MET + "select tile, date_trunc('hour', obs_time) as hour_ts, round(coalesce(avg(ta), -999) + 1e-9, 6) + 0e0 as ta, round(coalesce(avg(rh), -999) + 1e-9, 6) + 0e0 as rh, round(coalesce(avg(wind), -999) + 1e-9, 6) + 0e0 as wind, count(*) as n from met where tile in (select tile from grid_tiles) group by 1, 2")
 def tile_mean_forcing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly means of each tile, the sentinel where nothing is known."""
-    return forcing.tile_means(met(spark, sf_dir), table(spark, sf_dir, "grid_tiles")).select("tile", "hour_ts", r6("ta"), r6("rh"), r6("wind"), "n")
+    return forcing.tile_means(met(spark, sf_dir), table(spark, sf_dir, "grid_tiles")).select("tile", "hour_ts", m6("ta"), m6("rh"), m6("wind"), "n")
 
 
 @query(MET + """, g as (select tile, date_trunc('hour', obs_time) hour_ts, avg(wd) plain, sum(sin(radians(wd))) s, sum(cos(radians(wd))) c from met where wd is not null group by 1, 2),
  h as (select *, degrees(atan2(s, c)) + 360.0e0 d, sqrt(s * s + c * c) resultant from g)
- select tile, hour_ts, round(plain, 6) + 0e0 as plain, round(d - 360.0e0 * floor(d / 360.0e0), 4) + 0e0 as circular from h where resultant > 1e-6 and abs(d - 360.0e0) > 1e-3""")
+ select tile, hour_ts, round(plain + 1e-9, 6) + 0e0 as plain, round(d - 360.0e0 * floor(d / 360.0e0), 4) + 0e0 as circular from h where resultant > 1e-6 and abs(d - 360.0e0) > 1e-3""")
 def wind_direction_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain and circular hourly wind direction of each tile."""
     d = forcing.circular_direction(met(spark, sf_dir)).where("resultant > 1e-6 and circular > 1e-3 and circular < 359.999")
-    return d.select("tile", "hour_ts", r6("plain"), r6("circular", 4))
+    return d.select("tile", "hour_ts", m6("plain"), r6("circular", 4))
 
 
 @query(MET + "select g.tile as to_tile, s.reading_id, s.obs_time, s.ta from (select * from met where station = (select min(station) from met)) s, grid_tiles g")
