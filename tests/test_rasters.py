@@ -150,3 +150,24 @@ def test_ground_below_zero(spark):
     dsm = rng.integers(-3, 5, (8, 9)).astype(float)
     steps = raster.step_table(200.0, 25.0, 6.0, 8, 9)
     assert (march.shadows(dsm, np.zeros_like(dsm), np.zeros_like(dsm), steps)[0] == loop_shadow(dsm, steps)).all()
+
+
+def test_walls_face_away_from_the_building():
+    dsm = np.full((24, 24), 2.0)
+    dsm[8:16, 8:16] = 12.0
+    walls = np.zeros((24, 24))
+    walls[7, 8:16] = walls[16, 8:16] = walls[8:16, 7] = walls[8:16, 16] = 10.0
+    a = np.degrees(march.wall_aspect(dsm, walls))
+    assert a[7, 11] % 360 == pytest.approx(0, abs=20) or a[7, 11] == pytest.approx(360, abs=20)
+    assert a[16, 11] == pytest.approx(180, abs=20) and a[11, 16] == pytest.approx(90, abs=20) and a[11, 7] == pytest.approx(270, abs=20)
+    assert a[0, 0] == 0 and (march.wall_aspect(np.zeros((3, 3)), np.zeros((3, 3))) == 0).all()
+
+
+def test_wall_light():
+    dsm = np.full((12, 12), 1.0)
+    dsm[5:7, 5:7] = 9.0
+    walls, aspect = np.zeros((12, 12)), np.zeros((12, 12))
+    walls[7, 5], aspect[7, 5] = 8.0, math.pi  # faces south
+    walls[4, 5], aspect[4, 5] = 8.0, 0.0  # faces north
+    lit, shade = march.wall_light(dsm, walls, aspect, 180.0, raster.step_table(180.0, 40.0, 9.0, 12, 12, first=0))
+    assert lit[7, 5] == 8.0 and shade[7, 5] == 0 and lit[4, 5] == 0 and shade[4, 5] == 8.0

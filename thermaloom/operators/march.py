@@ -143,6 +143,31 @@ def wall_light(dsm: np.ndarray, walls: np.ndarray, aspect: np.ndarray, azimuth:
     return lit, walls - lit
 
 
+def wall_aspect(dsm: np.ndarray, walls: np.ndarray, half: int = 4) -> np.ndarray:
+    """Direction (radians clockwise from north) that each wall cell faces; 0 without a wall.
+
+    The line through a cell along which most wall cells lie gives the wall's run,
+    the first of 180 angles on ties; it faces the side on which the surface is lower.
+    """
+    wall = (walls > 0).astype(float)
+    best, angle = np.full(dsm.shape, -1.0), np.zeros(dsm.shape)
+    padded = dsm - dsm.min() if dsm.size else dsm
+    for degrees in range(180):
+        a = math.radians(degrees)
+        # along the wall: north is -r, east is +c
+        line = sorted({(round(-k * math.cos(a)), round(k * math.sin(a))) for k in range(-half, half + 1)})
+        count = sum(shifted(wall, dr, dc) for dr, dc in line) / len(line)
+        better = count > best + 1e-12
+        if not better.any():
+            continue
+        right = sum(shifted(padded, round(k * math.sin(a)), round(k * math.cos(a))) for k in range(1, half + 1))
+        left = sum(shifted(padded, -round(k * math.sin(a)), -round(k * math.cos(a))) for k in range(1, half + 1))
+        faces = np.where(right <= left, a + math.pi / 2, a - math.pi / 2) % (2 * math.pi)
+        best[better] = count[better]
+        angle[better] = faces[better]
+    return np.where(wall > 0, angle, 0.0)
+
+
 def ground_view(buildings: np.ndarray, lit: np.ndarray, albedo: np.ndarray, near: int, far: int) -> dict[str, np.ndarray]:
     """What a person sees of the ground around, over 18 azimuths: share lit, albedo of lit and of all ground.
 
@@ -260,3 +285,12 @@ def ground_view_blocks(cells: DataFrame, near: int = 1, far: int = 22, size: int
 
     return over_blocks(cells, ("ground", "lit", "albedo"), kernel, ("lit", "albedo_lit", "albedo"), far + 1, size)
 
+
+
+def wall_aspect_blocks(cells: DataFrame, size: int = 512) -> DataFrame:
+    """Aspects (degrees) of the walls of a raster with dsm, wall."""
+
+    def kernel(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {"aspect": np.degrees(wall_aspect(g["dsm"], g["wall"]))}
+
+    return over_blocks(cells, ("dsm", "wall"), kernel, ("aspect",), 5, size)

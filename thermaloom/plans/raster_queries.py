@@ -306,12 +306,23 @@ def svf_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("r", "c", *(r6(x) for x in march.SKY))
 
 
+def _walled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cells(spark, sf_dir)
+    return raster.walls(c).join(c.select("r", "c", "dsm"), ["r", "c"])
+
+
+@query()
+def wall_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction that each wall faces."""
+    return march.wall_aspect_blocks(_walled(spark, sf_dir), size=128).where("aspect > 0").select("r", "c", r6("aspect", 4))
+
+
 @query()
 def wall_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sunlit and shaded wall heights; the walls of this city face by their place."""
-    c = cells(spark, sf_dir)
-    w = raster.walls(c).join(c.select("r", "c", "dsm"), ["r", "c"]).withColumn("aspect", F.radians(((F.col("r") * 37 + F.col("c") * 53) % 360).cast("double")))
-    return march.wall_light_blocks(w, AZIMUTH, ALTITUDE, TOP, size=128).select("r", "c", r6("wall_sun"), r6("wall_shade"))
+    """Sunlit and shaded wall heights, by the direction that the walls face."""
+    w = _walled(spark, sf_dir)
+    faced = w.join(march.wall_aspect_blocks(w, size=128).withColumn("aspect", F.radians("aspect")), ["r", "c"])
+    return march.wall_light_blocks(faced, AZIMUTH, ALTITUDE, TOP, size=128).select("r", "c", r6("wall_sun"), r6("wall_shade"))
 
 
 @query()
