@@ -39,3 +39,23 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, for those whose Python path does not hold it.
+
+    The archive is served by the driver; executors keep their own copy of it.
+    """
+    import shutil
+
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
