@@ -55,7 +55,10 @@ def shadows(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, steps: Sequence
     planted = bool((veg > 0).any())
     sunken = bool((dsm < 0).any())
     rooted = trunk > dsm
+    relief = max(dsm.max(), veg.max()) - dsm.min() if dsm.size and not sunken else math.inf
     for i, dr, dc, drop in steps:
+        if i > 2 and drop >= relief:  # nothing is left that could rise above any ground
+            break
         both = _overlap(dsm.shape, dr, dc)
         if sunken:  # beyond the border
             outside = np.ones(dsm.shape, bool)
