@@ -125,3 +125,20 @@ def test_stream_in_small_batches_equals_one(spark, tmp_path):
         last = out.groupBy("entity_id").agg(F.max_by(F.struct("generation", "live", "last_sequence"), "applied").alias("x"))
         results.append(sorted((r.entity_id, *r.x) for r in last.collect()))
     assert results[0] == results[1] and len(results[0]) == 3
+
+
+def batch_counts(log):
+    g = log.where("accepted_at is not null").groupBy("workspace_id", "source_family", F.window(F.col("accepted_at").cast("timestamp"), "10 minutes").start.alias("opened"))
+    return sorted(map(str, g.agg(F.count("*").alias("n"), F.max("server_sequence").alias("last_seq")).collect()))
+
+
+@needs_data
+@pytest.mark.parametrize("files", [1, 12])
+def test_epoch_stream_counts_every_row(spark, tmp_path, files):
+    """However the log is cut into files: late rows and the last windows are counted as in a batch."""
+    log = spark.read.parquet(f"{DATA}/operation_log.parquet")
+    path = tmp_path / "operation_log.parquet"
+    for i in range(files):
+        log.where(F.abs(F.xxhash64("operation_id", "server_sequence")) % files == i).coalesce(1).write.mode("append").parquet(str(path))
+    got = registry.queries()["epoch_stream"](spark, str(tmp_path))
+    assert sorted(map(str, got.select("workspace_id", "source_family", "opened", "n", "last_seq").collect())) == batch_counts(log)

@@ -17,8 +17,8 @@ def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epoch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windowed counts of operations with a watermark; windows close as the watermark passes."""
-    return pipelines.run_to_table(pipelines.windowed_counts(pipelines.read_log(spark, sf_dir)), "epochs")
+    """Windowed counts of all operations with a time of acceptance: the last count of each window, late rows included."""
+    return pipelines.last_counts(pipelines.run_to_table(pipelines.windowed_counts(pipelines.read_log(spark, sf_dir)), "epochs", "update"))
 
 
 def stateful_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from thermaloom.session import scratch_path
 
+#: Files of the log come in any order, so lateness covers the whole log: no row is dropped for its time.
+LATE = "3650 days"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,16 +47,22 @@ def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataF
     return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
 
 
-def deduplicated(log: DataFrame, late: str = "3650 days") -> DataFrame:
+def deduplicated(log: DataFrame, late: str = LATE) -> DataFrame:
     """One row of each operation: the first to arrive within the watermark on the time of acceptance."""
     return log.where("server_sequence is not null and accepted_at is not null").withWatermark("accepted_at", late).dropDuplicatesWithinWatermark(["workspace_id", "server_sequence"])
 
 
-def windowed_counts(log: DataFrame, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
-    """Operations of each family in tumbling windows of acceptance; late rows within the watermark still count."""
+def windowed_counts(log: DataFrame, window: str = "10 minutes", late: str = LATE) -> DataFrame:
+    """Operations of each family in tumbling windows of acceptance, for update mode: a window touched in a batch comes
+    with its count so far, and rows within the watermark still count, however late."""
     return log.where("accepted_at is not null").withWatermark("accepted_at", late).groupBy(F.window("accepted_at", window), "workspace_id", "source_family").agg(F.count("*").alias("n"), F.max("server_sequence").alias("last_seq")).select("workspace_id", "source_family", F.col("window.start").alias("opened"), "n", "last_seq")
 
 
+def last_counts(updates: DataFrame) -> DataFrame:
+    """The last count of each window; counts and sequence numbers of a window only grow."""
+    return updates.groupBy("workspace_id", "source_family", "opened").agg(F.max("n").alias("n"), F.max("last_seq").alias("last_seq"))
+
+
 class TreeState(StatefulProcessor):
     """Keyed state of one tree: operations are applied in sequence order; those that come after a later one
     was applied are kept aside in the state's history, and the tree is replayed from it."""
