@@ -1,5 +1,6 @@
 """Sources and sinks by round trip, components and the pipeline on small scenes."""
 
+import os
 import random
 
 import pytest
@@ -84,3 +85,32 @@ def test_pipeline_shade_is_cooler_and_buildings_are_null(spark):
     assert got[2, 17, 10].lit == 0 and got[2, 17, 10].tmrt < 30
     with pytest.raises(ValueError):
         pipeline.thermal_comfort(city, forcing, 13.0, ("odd",))
+
+
+def test_pipeline_runs_every_series_and_marches_low_suns(spark):
+    from thermaloom.functions import sky
+    from thermaloom.functions.formula import apply
+
+    rows = [(r, c, 1.0, 13.0 if 8 <= r <= 9 and 4 <= c <= 15 else 1.0, 0.0, 1) for r in range(20) for c in range(20)]
+    city = spark.createDataFrame(rows, "r int, c int, dem double, dsm double, trees double, lc int")
+    steps = [(s, doy, 15 * q, q / 4, doy, lat, 20.0, 50.0, 0.0 if q < 24 else 300.0, 2.0, 101.3) for s, doy, lat in (("a", 200, 48.0), ("a", 201, 48.0), ("b", 80, 60.0)) for q in (8, 26, 48, 49, 50)]
+    forcing = spark.createDataFrame(steps, "station string, date int, t int, hour double, doy int, latitude double, ta double, rh double, radg double, wind double, p_kpa double")
+    out = pipeline.thermal_comfort(city, forcing, 13.0, ("tmrt", "lit"), keys=("station", "date")).collect()
+    assert len({(r.station, r.date, r.t, r.r, r.c) for r in out}) == len(out) == 15 * 400
+    alone = pipeline.thermal_comfort(city, forcing.where("station = 'b'"), 13.0, ("tmrt", "lit")).collect()
+    assert {(r.t, r.r, r.c): r.tmrt for r in alone} == {(r.t, r.r, r.c): r.tmrt for r in out if r.station == "b"}
+    # a sun less than one degree up lights the cells on its side of the block
+    fine = apply(spark.range(0, 2880).selectExpr("id / 120.0D as hour", "200 as doy", "48.0D as latitude"), sky.LOCAL_SUN)
+    hour = fine.where("altitude > 0 and altitude < 1 and hour < 12").first().hour
+    low = spark.createDataFrame([(0, hour, 200, 48.0, 20.0, 50.0, 5.0, 2.0, 101.3)], "t int, hour double, doy int, latitude double, ta double, rh double, radg double, wind double, p_kpa double")
+    lit = {(r.r, r.c): r.lit for r in pipeline.thermal_comfort(city, low, 13.0, ("lit",)).collect()}
+    assert lit[18, 19] == 1 and lit[12, 0] == 0
+
+
+def test_registered_pipeline_has_every_station_day(spark):
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    got = pipeline.comfort_by_hour(spark, data).groupBy("station", "date", "t").count()
+    want = pipeline._station_days(spark, data).select("station", "date", "t")
+    assert got.count() == want.count() > 1000 and want.join(got, ["station", "date", "t"], "left_anti").count() == 0

@@ -248,6 +248,57 @@ def shadow_blocks(cells: DataFrame, azimuth: float, altitude: float, top: float,
     return over_blocks(cells, ("dsm", "vegdsm", "vegdsm2"), kernel, ("sh", "vegsh", "vbshvegsh"), halo, size)
 
 
+def sun_blocks(cells: DataFrame, suns: DataFrame, keys: Sequence[str], top: float, size: int = 512, scale: float = 1.0) -> DataFrame:
+    """``keys, t, r, c, sh, vegsh`` of each cell for every row of ``suns`` (keys, t, hour, azimuth, altitude), which may be of any number.
+
+    Each block meets the suns of a key and three hours at a time. Suns that are not
+    above the horizon give sh = 0 and vegsh = 1. The halo is as wide as the lowest
+    sun reaches, but never wider than the scene, beyond which no march goes.
+    """
+    low = suns.where("altitude > 0").agg(F.min("altitude")).first()[0]
+    e = cells.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    extent = 0 if e[0] is None else max(e[1] - e[0], e[3] - e[2]) + 1
+    halo = 0 if low is None else min(reach_of(top, low, scale), extent)
+    size = max(size, 2 * halo)
+
+    def near(x: str, first: int | None, last: int | None):  # only blocks that have cells of their own
+        at = lambda v: F.floor(v / size).cast("int")
+        return F.sequence(F.greatest(at(F.col(x) - halo), F.lit((first or 0) // size)), F.least(at(F.col(x) + halo), F.lit((last or 0) // size)))
+
+    planes = ("dsm", "vegdsm", "vegdsm2")
+    dealt = cells.select("r", "c", *(F.col(p).cast("double").alias(p) for p in planes)).withColumn("br", F.explode(near("r", e[0], e[1]))).withColumn("bc", F.explode(near("c", e[2], e[3])))
+    suns = suns.select(*keys, F.floor(F.col("hour") / 3).cast("int").alias("part"), "t", "azimuth", "altitude")
+    by = [*keys, "part", "br", "bc"]
+    fresh = lambda df, *names: df.select(*(F.col(n).alias(n) for n in names)).distinct()  # noqa: E731  columns of its own, as both sides meet again
+    parts, blocks = fresh(suns, *keys, "part"), fresh(dealt, "br", "bc")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in suns.select(*keys, "t").schema)
+
+    def block(t: pa.Table, sky: pa.Table) -> pa.Table:
+        r, c = t["r"].to_numpy(), t["c"].to_numpy()
+        n = sky.num_rows
+        inner = np.zeros(0, bool) if not (len(r) and n) else (r // size == t["br"][0].as_py()) & (c // size == t["bc"][0].as_py())
+        m = int(inner.sum())
+        sh, veg = np.zeros((n, m)), np.ones((n, m))
+        if m:
+            r0, c0 = r.min(), c.min()
+            grids = []
+            for p in planes:
+                g = np.zeros((int(r.max() - r0 + 1), int(c.max() - c0 + 1)))
+                g[r - r0, c - c0] = np.nan_to_num(t[p].to_numpy())
+                grids.append(g)
+            at = (r[inner] - r0, c[inner] - c0)
+            for i, (azimuth, altitude) in enumerate(zip(sky["azimuth"].to_pylist(), sky["altitude"].to_pylist())):
+                if altitude is not None and altitude > 0:
+                    lit, green, _ = shadows(*grids, step_table(azimuth, altitude, top, halo + 1, halo + 1, scale))
+                    sh[i], veg[i] = lit[at], green[at]
+        out = sky.select([*keys, "t"]).take(pa.array(np.repeat(np.arange(n), m)))
+        for name, v in (("r", pa.array(np.tile(r[inner], n), pa.int32())), ("c", pa.array(np.tile(c[inner], n), pa.int32())), ("sh", pa.array(sh.ravel())), ("vegsh", pa.array(veg.ravel()))):
+            out = out.append_column(name, v)
+        return out
+
+    return dealt.crossJoin(parts).groupBy(*by).cogroup(suns.crossJoin(blocks).groupBy(*by)).applyInArrow(block, f"{types}, r int, c int, sh double, vegsh double")
+
+
 SKY = ("svf", "svf_e", "svf_s", "svf_w", "svf_n", "veg", "aveg", "total")
 _PARTS = ("svf", "svf_e", "svf_s", "svf_w", "svf_n", "veg", "aveg")
 

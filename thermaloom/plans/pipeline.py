@@ -1,4 +1,4 @@
-"""From terrain, trees, land cover and a day's forcing to mean radiant temperature, UTCI and WBGT of every cell and step.
+"""From terrain, trees, land cover and forcing to mean radiant temperature, UTCI and WBGT of every cell and step.
 
 The plan is declared once; Catalyst prunes what a caller does not select. Only
 three things are not expressions: the marches (Arrow kernels over blocks), and
@@ -17,7 +17,7 @@ from thermaloom.functions.formula import Step, apply
 from thermaloom.operators import march, raster
 from thermaloom.plans.bindings import cells, met
 
-#: A run has at most so many steps: their table is broadcast and their sun positions go to the marches as parameters.
+#: The table of steps is broadcast if it has at most so many, and joined as any other beyond.
 MOST_STEPS = 24 * 31
 OUTPUTS = ("tmrt", "utci", "wbgt", "lit", "k_down", "l_up")
 
@@ -58,71 +58,60 @@ FLUXES: list[Step] = [
 _FORCING = ("t", "hour", "doy", "latitude", "ta", "rh", "radg", "wind", "p_kpa")
 
 
-def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Sequence[str] = ("tmrt", "utci"), scale: float = 1.0, block: int = 512, ground_only: bool = False) -> DataFrame:
-    """``t, r, c`` and ``outputs`` for each cell and step; null in buildings, which ``ground_only`` leaves out.
+def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Sequence[str] = ("tmrt", "utci"), scale: float = 1.0, block: int = 512, ground_only: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, t, r, c`` and ``outputs`` for each cell and step; null in buildings, which ``ground_only`` leaves out.
 
-    Filter by place or step on the inputs, or on t, r, c: a filter on an output
+    Filter by place or step on the inputs, or on keys, t, r, c: a filter on an output
     would make the optimizer write out its whole formula for the condition.
 
-    ``city``: r, c, dem, dsm, trees, lc. ``forcing``: t, hour, doy, latitude, ta, rh, radg, wind, p_kpa, one row a step.
+    ``city``: r, c, dem, dsm, trees, lc. ``forcing``: keys, t, hour, doy, latitude, ta, rh, radg, wind, p_kpa, one row a step;
+    ``keys`` tell apart series of steps (a station's day), each of which goes over all cells.
     """
     unknown = set(outputs) - set(OUTPUTS)
     if unknown:
         raise ValueError(f"unknown outputs: {sorted(unknown)}")
     spark = city.sparkSession
-    steps = apply(forcing.select(*_FORCING), STEP_FORCING)
-    suns = steps.select("t", "day", "azimuth", "altitude").orderBy("t").limit(MOST_STEPS + 1).collect()
-    if len(suns) > MOST_STEPS:
-        raise ValueError(f"more than {MOST_STEPS} steps; run them in parts")
-    by_day = [s for s in suns if s.day and s.altitude > 1.0]
+    if not keys:
+        forcing, series = forcing.withColumn("series", F.lit(0)), ["series"]
+    else:
+        series = list(keys)
+    at = [*series, "t"]
+    steps = apply(forcing.select(*series, *_FORCING), STEP_FORCING)
+    few = forcing.limit(MOST_STEPS + 1).count() <= MOST_STEPS
+    with_steps = lambda rows: rows.join(F.broadcast(steps) if few else steps, at)
     layered = raster.layers(city)
-    lit = _light(layered, [(s.t, s.azimuth, s.altitude) for s in by_day], top, scale, block)
+    lit = march.sun_blocks(layered, steps.select(*at, "hour", "azimuth", "altitude"), series, top, block, scale)
     view = march.sky_view_blocks(layered, top, block, scale).select("r", "c", "svf", F.col("veg").alias("svfveg"), F.col("aveg").alias("svfaveg"))
     props = raster.land_cover_properties(spark)  # seven rows
-    ground = layered.select("r", "c", "ground", raster.clean_land_cover(F.col("lc")).cast("int").alias("lc")).join(F.broadcast(props), "lc", "left").join(view, ["r", "c"]).join(lit, ["r", "c"])
+    ground = layered.select("r", "c", "ground", raster.clean_land_cover(F.col("lc")).cast("int").alias("lc")).join(F.broadcast(props), "lc", "left").join(view, ["r", "c"])
     if ground_only:
         ground = ground.where("ground = 1")
-    names = [s.t for s in suns]
-    lit_of = {s.t: F.col(f"lit_{i}") for i, s in enumerate(by_day)}
-    each = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), (lit_of[t] if t in lit_of else F.lit(0.0)).alias("sh"), (F.col(f"veg_{[s.t for s in by_day].index(t)}") if t in lit_of else F.lit(1.0)).alias("vegsh")) for t in names)))
     static = ["r", "c", "ground", "albedo", "emissivity", "tgk", "tstart", "tmax_h", "svf", "svfveg", "svfaveg"]
-    rows = ground.select(*static, each.alias("e")).select(*static, "e.t", "e.sh", "e.vegsh").join(F.broadcast(steps), "t")  # at most MOST_STEPS rows
+    rows = with_steps(ground.select(*static).join(lit, ["r", "c"]))
     rows = apply(rows.withColumn("lit", F.when(F.col("day"), F.greatest(F.col("sh") - (1 - F.col("vegsh")) * (1 - F.col("psi")), F.lit(0.0))).otherwise(0.0)), SURFACE)
-    folded = carried(rows.select(*static, "t", "lit", "day", F.col("l_up_now").alias("x")), static)
-    out = apply(folded.drop("day").join(F.broadcast(steps), "t"), FLUXES)
-    return out.select("t", "r", "c", *(F.when(F.col("ground") == 1, F.col(o)).alias(o) for o in outputs))
+    folded = carried(rows.select(*series, *static, "t", "hour", "lit", "day", F.col("l_up_now").alias("x")), [*series, *static])
+    out = apply(with_steps(folded.drop("day")), FLUXES)
+    return out.select(*keys, "t", "r", "c", *(F.when(F.col("ground") == 1, F.col(o)).alias(o) for o in outputs))
 
 
-def _light(layered: DataFrame, suns: Sequence[tuple], top: float, scale: float, block: int) -> DataFrame:
-    """``lit_i, veg_i`` of each cell for each sun position."""
-    names = [n for i in range(len(suns)) for n in (f"lit_{i}", f"veg_{i}")]
-    if not suns:
-        return layered.select("r", "c")
-    halo = max(march.reach_of(top, alt, scale) for _, _, alt in suns)
-    tables = [raster.step_table(azi, alt, top, halo + 1, halo + 1, scale) for _, azi, alt in suns]
+def carried(rows: DataFrame, static: Sequence[str]) -> DataFrame:
+    """``x`` of each cell carried over its day: a step keeps exp(-33.27 dt) of the state, dt days before it; nights begin anew.
 
-    def kernel(g):
-        out = {}
-        for i, steps in enumerate(tables):
-            sh, veg, _ = march.shadows(g["dsm"], g["vegdsm"], g["vegdsm2"], steps)
-            out[f"lit_{i}"], out[f"veg_{i}"] = sh, veg
-        return out
+    The state is renewed by a step that comes 59 minutes or more after it, as in the reference's wave delay.
 
-    return march.over_blocks(layered, ("dsm", "vegdsm", "vegdsm2"), kernel, names, halo, block)
-
-
-def carried(rows: DataFrame, static: Sequence[str], step_days: float = 1 / 24) -> DataFrame:
-    """``x`` of each cell carried over its day: within a day a step keeps exp(-33.27 dt) of the one before, nights begin anew.
-
-    ``rows``: static columns, t, lit, day, x; gives ``l_up`` in place of x.
+    ``rows``: static columns, t, hour, lit, day, x; gives ``l_up`` in place of hour and x.
     """
-    keep = F.exp(F.lit(-33.27 * step_days))
-    g = rows.groupBy(*static).agg(F.array_sort(F.collect_list(F.struct("t", "lit", "day", "x"))).alias("xs"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
+    g = rows.groupBy(*static).agg(F.array_sort(F.collect_list(F.struct("t", "hour", "lit", "day", "x"))).alias("xs"))
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(None).cast("double").alias("since"), F.array().cast("array<double>").alias("out"))
 
     def fold(acc, e):
-        now = F.when(e["day"] & acc["last"].isNotNull(), e["x"] * (1 - keep) + acc["last"] * keep).otherwise(e["x"])
-        return F.struct(F.when(e["day"], now).alias("last"), F.concat(acc["out"], F.array(now)).alias("out"))
+        gap = F.pmod(e["hour"] - acc["since"], F.lit(24.0))
+        keep = F.exp(-33.27 / 24 * gap)
+        first = acc["last"].isNull()
+        now = F.when(e["day"] & ~first, e["x"] * (1 - keep) + acc["last"] * keep).otherwise(e["x"])
+        renew = first | (gap >= 59 / 60 - 1e-9)
+        state = lambda new, old: F.when(e["day"], F.when(renew, new).otherwise(old))
+        return F.struct(state(now, acc["last"]).alias("last"), state(e["hour"], acc["since"]).alias("since"), F.concat(acc["out"], F.array(now)).alias("out"))
 
     z = g.withColumn("z", F.aggregate("xs", start, fold)["out"])
     e = z.withColumn("e", F.explode(F.zip_with("xs", "z", lambda a, b: F.struct(a["t"].alias("t"), a["lit"].alias("lit"), a["day"].alias("day"), b.alias("l_up")))))
@@ -130,25 +119,23 @@ def carried(rows: DataFrame, static: Sequence[str], step_days: float = 1 / 24) -
 
 
 # -- queries ------------------------------------------------------------------------------------------
-def _one_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full hours of the first station's best covered day."""
-    m = met(spark, sf_dir).where("imin = 0 and ta between -60 and 60 and rh between 1 and 100 and radg between 0 and 1300 and wind between 0 and 60 and latitude is not null")
+def _station_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usable steps of every station and day; ``t`` is the minute of the day."""
+    m = met(spark, sf_dir).where("ta between -60 and 60 and rh between 1 and 100 and radg between 0 and 1300 and wind between 0 and 60 and latitude is not null")
     m = m.withColumn("date", F.to_date("obs_time"))
-    best = m.groupBy("station", "date").agg(F.countDistinct("it").alias("n")).orderBy(F.desc("n"), "station", "date").limit(1)
-    one = m.join(F.broadcast(best), ["station", "date"])
-    return one.groupBy(F.col("it").alias("t")).agg(*(F.min(c).alias(c) for c in ("hour", "doy", "latitude", "ta", "rh", "radg", "wind", "p_kpa")))
+    return m.groupBy("station", "date", (F.col("it") * 60 + F.col("imin")).cast("int").alias("t")).agg(*(F.min(c).alias(c) for c in ("hour", "doy", "latitude", "ta", "rh", "radg", "wind", "p_kpa")))
 
 
 def comfort_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean radiant temperature, UTCI and WBGT of every cell and hour of a day."""
-    out = thermal_comfort(cells(spark, sf_dir), _one_day(spark, sf_dir), 26.0, ("tmrt", "utci", "wbgt"))
-    return out.select("t", "r", "c", *(F.round(x, 4).alias(x) for x in ("tmrt", "utci", "wbgt")))
+    """Mean radiant temperature, UTCI and WBGT of every cell in every step of every station's days."""
+    out = thermal_comfort(cells(spark, sf_dir), _station_days(spark, sf_dir), 26.0, ("tmrt", "utci", "wbgt"), keys=("station", "date"))
+    return out.select("station", "date", "t", "r", "c", *(F.round(x, 4).alias(x) for x in ("tmrt", "utci", "wbgt")))
 
 
 def comfort_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many ground cells are in each heat-stress class in each hour."""
-    out = thermal_comfort(cells(spark, sf_dir), _one_day(spark, sf_dir), 26.0, ("utci", "tmrt"), ground_only=True)
-    return out.withColumn("stress", F.expr(comfort.utci_class())).groupBy("t", "stress").agg(F.count("*").alias("cells"), F.round(F.avg("utci"), 3).alias("mean_utci"), F.round(F.max("tmrt"), 3).alias("max_tmrt")).orderBy("t", "stress")
+    """How many ground cells are in each heat-stress class in each step of every station's days."""
+    out = thermal_comfort(cells(spark, sf_dir), _station_days(spark, sf_dir), 26.0, ("utci", "tmrt"), ground_only=True, keys=("station", "date"))
+    return out.withColumn("stress", F.expr(comfort.utci_class())).groupBy("station", "date", "t", "stress").agg(F.count("*").alias("cells"), F.round(F.avg("utci"), 3).alias("mean_utci"), F.round(F.max("tmrt"), 3).alias("max_tmrt")).orderBy("station", "date", "t", "stress")
 
 
 QUERIES = {"comfort_cells": comfort_cells, "comfort_by_hour": comfort_by_hour}
