@@ -50,9 +50,9 @@ SHRINK, LITTLE = 30, 3.0
 DROP, SMOOTH, RATE = 0.25, 0.04, 0.3
 #: Weight of the examples of harmless language, which stand for what is easily mistaken.
 EXAMPLE_NONE = 3.0
-#: Sentences of unrated texts with this weight or more (some seven copies in the sample) are harmless whatever raters say.
+#: Sentences of unrated texts with this weight or more (some seven copies in 3,000 texts, in a corpus of any size) are harmless whatever raters say.
 COMMON = 1.55
-#: The model is fitted on at most so many rated rows, and the beginnings of so many unrated documents.
+#: The model is fitted on at most so many rated rows, and the sentences of so many unrated documents besides the common ones of all.
 MOST_RATED, BACKGROUND = 20_000, 3_000
 THRESHOLD = 0.6
 
@@ -371,23 +371,48 @@ def vote(rows: Iterable[tuple]) -> list[tuple[str, str]]:
 
 def sentences(texts: Iterable[str]) -> list[tuple[str, float]]:
     """Sentences with their weight, which grows with the root of their number: what very many write is the tone of the place."""
-    count = Counter(x for t in texts for x in normalize(t).split("\n") if len(x) > 3)
+    count = Counter(x for t in texts for x in _long_sentences(t))
     return [(x, 0.6 * min(n, 16) ** 0.5) for x, n in sorted(count.items())]
 
 
+def _long_sentences(text: str) -> list[str]:
+    return [x for x in normalize(text).split("\n") if len(x) > 3]
+
+
+def corpus_sentences(docs: DataFrame, text: str = "text", sample: int = BACKGROUND) -> list[tuple[str, float]]:
+    """``sentences`` of unrated documents, as a distributed count.
+
+    Sentences are counted over all distinct texts, whole. Their number is scaled to that in ``sample`` texts, so a weight means
+    the same share of a corpus of any size. Given are those of the ``sample`` texts that come first by hash, and all that weigh
+    ``COMMON`` or more, of which a corpus of any size has about as many.
+    """
+    hashed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    hashes = hashed.select("h").distinct()  # the hashes alone are sorted
+    n = hashes.count()
+    if not n:
+        return []
+    last = hashes.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    scale = min(1.0, sample / n)
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [_long_sentences(t) for t in part.column(1).to_pylist()]
+                inside = np.repeat([h <= last for h in part.column(0).to_pylist()], [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array([x for xs in found for x in xs], pa.string()), pa.array(inside.astype(bool))], names=["x", "inside"])
+
+    texts = hashed.groupBy("h").agg(F.min("t").alias("t"))
+    counts = texts.mapInArrow(split, "x string, inside boolean").groupBy("x").agg((F.count("*") * scale).alias("n"), F.max("inside").alias("inside"))
+    weight = 0.6 * F.sqrt(F.least(F.greatest("n", F.lit(1.0)), F.lit(16.0)))
+    rows = counts.select("x", "inside", weight.alias("w")).where(F.col("inside") | (F.col("w") >= COMMON)).select("x", "w").collect()
+    return sorted((r.x, r.w) for r in rows)
+
+
 def fit(labels: DataFrame, docs: DataFrame | None = None, text: str = "text", label: str = "label", most: int = MOST_RATED, background: int = BACKGROUND) -> Model:
-    """Fit on at most ``most`` rated rows and ``background`` unrated documents, those that come first by the hash of their text."""
+    """Fit on at most ``most`` rated rows, those that come first by the hash of their text, and on ``corpus_sentences`` of the unrated documents."""
     rows = labels.select(text, label).where(F.col(text).isNotNull() & F.col(label).isin(*CLASSES)).orderBy(F.xxhash64(text), text, label).limit(most).collect()
-    unrated: list[tuple[str, float]] = []
-    if docs is not None:
-        # the hashes alone are sorted; the texts below the last of them are read in a second pass
-        hashes = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h")).distinct().orderBy("h").limit(background)
-        last = hashes.agg(F.max("h")).first()[0]
-        first: dict[int, str] = {}
-        if last is not None:
-            low = docs.where(F.col(text).isNotNull() & (F.xxhash64(text) <= last)).select(F.xxhash64(text).alias("h"), F.substring(text, 1, 2000).alias("t")).groupBy("h").agg(F.min("t").alias("t"))
-            first = {r.h: r.t for r in low.collect()}  # one text a hash, ``background`` at most
-        unrated = sentences(first[h] for h in sorted(first))
+    unrated = corpus_sentences(docs, text, background) if docs is not None else []
     return train(vote((r[0], r[1]) for r in rows), unrated, [(normalize(t), k) for k, ts in EXAMPLES.items() for t in ts])
 
 
