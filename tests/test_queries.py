@@ -142,3 +142,22 @@ def test_epoch_stream_counts_every_row(spark, tmp_path, files):
         log.where(F.abs(F.xxhash64("operation_id", "server_sequence")) % files == i).coalesce(1).write.mode("append").parquet(str(path))
     got = registry.queries()["epoch_stream"](spark, str(tmp_path))
     assert sorted(map(str, got.select("workspace_id", "source_family", "opened", "n", "last_seq").collect())) == batch_counts(log)
+
+
+@needs_data
+def test_luminance_of_every_reading(spark):
+    """Every reading with light and the sun up has all bands, low suns and other hours than noon too; at 12.5 hours they are the noon query's."""
+    from thermaloom.functions import sky
+    from thermaloom.functions.formula import apply
+    from thermaloom.plans import log_queries
+    from thermaloom.plans.bindings import met
+
+    got = registry.queries()["perez_luminance_readings"](spark, DATA)
+    up = apply(met(spark, DATA).where("radd > 0 and radi >= 0 and radd < 1000 and radi < 1500 and latitude is not null"), sky.LOCAL_SUN).where("altitude > 0")
+    per = got.groupBy("reading_id").agg(F.count("*").alias("n"), F.sum("share").alias("s"))
+    assert per.where("n <> 8 or abs(s - 1) > 1e-5").count() == 0
+    assert per.count() == up.count() and up.where("it <> 12").count() > 0 and up.where("altitude < 3").count() > 0
+    noon = log_queries._noon(spark, DATA).withColumn("hour", F.lit(12.5)).withColumn("reading_id", F.struct("station", "day"))
+    want = registry.queries()["perez_luminance"](spark, DATA).select(F.struct("station", "day").alias("reading_id"), "band", "share")
+    same = want.join(log_queries.band_shares(noon).withColumnRenamed("share", "again"), ["reading_id", "band"])
+    assert same.count() == want.count() > 0 and same.where("abs(share - again) > 2e-6").count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -359,6 +361,34 @@ def perez_luminance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("total", total).where("total > 1e-6").select("station", "day", "band", F.round(F.col("l") / F.col("total"), 6).alias("share"))
 
 
+def band_shares(readings: DataFrame) -> DataFrame:
+    """``reading_id, band, share`` of each reading (hour, doy, latitude, diffuse, direct) with the sun up: bands' shares in the diffuse light over 153 patches.
+
+    As in the reference a sum below 0, which the polynomial gives under some low suns, divides like any other.
+    """
+    n = apply(readings, [*sky.LOCAL_SUN, *sky.PEREZ_STEPS]).where("altitude > 0 and px_bright is not null")
+    n = n.select("reading_id", "sin_alt", F.expr("cos(asin(sin_alt))").alias("cos_alt"), F.radians("azimuth").alias("sun"), "px_a", "px_b", "px_c", "px_d", "px_e")
+    # sky.PATCH_LUMINANCE with what depends on the band alone taken out of the patches
+    up = lambda a: math.sin(math.radians(a))
+    vault = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(up(a)).alias("sin_p"), F.lit(up(90.0 - a)).alias("cos_p"), F.array(*(F.lit(math.radians(z + k * 360.0 / c)) for k in range(c))).alias("azis")) for b, a, z, c, _, _ in sky.bands()))
+    by_band = n.withColumn("x", F.explode(vault)).select("reading_id", "px_c", "px_d", "px_e", "sun", F.col("x.band").alias("band"), (F.col("x.sin_p") * F.col("sin_alt")).alias("high"), (F.col("x.cos_p") * F.col("cos_alt")).alias("wide"), F.expr(real("1.0 + px_a * exp(px_b / greatest(x.sin_p, 1e-9))")).alias("grade"), F.col("x.azis").alias("azis"))
+    near = by_band.withColumn("azi", F.explode("azis")).withColumn("pl_cos", F.expr("high + wide * cos(azi - sun)"))
+    lum = near.select("reading_id", "band", F.expr(real("grade * (1.0 + px_c * exp(px_d * acos(least(1.0, greatest(-1.0, pl_cos)))) + px_e * pl_cos * pl_cos)")).alias("luminance"))
+    bands = [b for b, *_ in sky.bands()]
+    g = lum.groupBy("reading_id").agg(F.sum("luminance").alias("total"), *(F.sum(F.when(F.col("band") == b, F.col("luminance"))).alias(f"l_{b}") for b in bands)).where("total <> 0")
+    each = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.round(F.col(f"l_{b}") / F.col("total"), 6).alias("share")) for b in bands)))
+    return g.select("reading_id", each.alias("x")).select("reading_id", "x.*")
+
+
+def perez_luminance_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each sky band in the diffuse light of every reading with the sun up, at its own hour."""
+    m = met(spark, sf_dir).where("radd > 0 and radi >= 0 and radd < 1000 and radi < 1500 and latitude is not null")
+    return band_shares(m.select("reading_id", "hour", "doy", "latitude", F.col("radd").alias("diffuse"), F.col("radi").alias("direct")))
+
+
+QUERIES["perez_luminance_readings"] = perez_luminance_readings
+
+
 def _emissivity_sql() -> str:
     from thermaloom.functions.formula import chain_sql
 
