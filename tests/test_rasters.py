@@ -171,3 +171,11 @@ def test_wall_light():
     walls[4, 5], aspect[4, 5] = 8.0, 0.0  # faces north
     lit, shade = march.wall_light(dsm, walls, aspect, 180.0, raster.step_table(180.0, 40.0, 9.0, 12, 12, first=0))
     assert lit[7, 5] == 8.0 and shade[7, 5] == 0 and lit[4, 5] == 0 and shade[4, 5] == 8.0
+
+
+def test_sky_view_has_every_kind_by_side(spark):
+    """Vegetation, and vegetation before buildings, by side too: 15 planes and the total."""
+    cells, *_ = scene(spark)
+    got = march.sky_view_blocks(raster.layers(cells), 13.0)
+    assert set(got.columns) == {"r", "c", "total", *(k + s for k in ("svf", "veg", "aveg") for s in ("", "_e", "_s", "_w", "_n"))}
+    assert set(got.columns) == {"r", "c", *march.SKY}

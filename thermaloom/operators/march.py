@@ -299,8 +299,8 @@ def sun_blocks(cells: DataFrame, suns: DataFrame, keys: Sequence[str], top: floa
     return dealt.crossJoin(parts).groupBy(*by).cogroup(suns.crossJoin(blocks).groupBy(*by)).applyInArrow(block, f"{types}, r int, c int, sh double, vegsh double")
 
 
-SKY = ("svf", "svf_e", "svf_s", "svf_w", "svf_n", "veg", "aveg", "total")
-_PARTS = ("svf", "svf_e", "svf_s", "svf_w", "svf_n", "veg", "aveg")
+_PARTS = tuple(f"{kind}{side}" for kind in ("svf", "veg", "aveg") for side in ("", "_e", "_s", "_w", "_n"))
+SKY = (*_PARTS, "total")
 
 
 def sky_view_blocks(cells: DataFrame, top: float, size: int = 512, scale: float = 1.0, option: int = 2, groups: int = 8) -> DataFrame:
@@ -312,7 +312,11 @@ def sky_view_blocks(cells: DataFrame, top: float, size: int = 512, scale: float
     total = F.least(F.col("svf"), F.lit(1.0)) - (1 - F.least(F.col("veg"), F.lit(1.0))) * (1 - TRANSMISSION)
 
     def kernel(g: dict[str, np.ndarray], group: int) -> dict[str, np.ndarray]:
-        return sky_sums(g["dsm"], g["vegdsm"], g["vegdsm2"], top, scale, option, (halo + 1, halo + 1), patches(option)[group::groups])
+        sums = sky_sums(g["dsm"], g["vegdsm"], g["vegdsm2"], top, scale, option, (halo + 1, halo + 1), patches(option)[group::groups])
+        if group == 0:
+            for p in ("veg_s", "veg_w", "aveg_s", "aveg_w"):
+                sums[p] += np.where(g["vegdsm2"] == 0, LOW_ANNULI, 0.0)
+        return sums
 
     parts = over_blocks(cells, ("dsm", "vegdsm", "vegdsm2"), kernel, _PARTS, halo, size, groups)
     sums = parts.groupBy("r", "c").agg(*(F.sum(p).alias(p) for p in _PARTS))
