@@ -161,3 +161,15 @@ def test_luminance_of_every_reading(spark):
     want = registry.queries()["perez_luminance"](spark, DATA).select(F.struct("station", "day").alias("reading_id"), "band", "share")
     same = want.join(log_queries.band_shares(noon).withColumnRenamed("share", "again"), ["reading_id", "band"])
     assert same.count() == want.count() > 0 and same.where("abs(share - again) > 2e-6").count() == 0
+
+
+@needs_data
+def test_closure_of_all_painted_cells(spark):
+    from thermaloom.plans import catalog_queries
+    from thermaloom.plans.bindings import cells, ops
+
+    there = {(x.r, x.c) for x in cells(spark, DATA).select("r", "c").collect()}
+    painted = {(x.r, x.c) for x in collab.painted_cells(ops(spark, DATA)).select("r", "c").collect()}
+    want = {(r - dr, c - dc) for r, c in there & painted for dr, dc in [(0, 0), *((a, b) for _, a, b, _ in catalog_queries._A)]} & there
+    got = [(x.r, x.c) for x in registry.queries()["corridor_closure_log"](spark, DATA).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want

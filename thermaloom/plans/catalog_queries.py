@@ -155,6 +155,19 @@ def corridor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(touched, ["r", "c"], "left_semi")
 
 
+def closure(c: DataFrame, edited: DataFrame) -> DataFrame:
+    """Cells of ``c`` that edits of its cells ``edited`` can shade: the edited cells and those down-sun along the steps."""
+    steps = F.explode(F.array(F.struct(F.lit(0).alias("dr"), F.lit(0).alias("dc")), *(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for _, a, b, _ in _A)))
+    touched = c.join(edited, ["r", "c"], "left_semi").withColumn("s", steps).select((F.col("r") - F.col("s.dr")).alias("r"), (F.col("c") - F.col("s.dc")).alias("c")).distinct()
+    return c.join(touched, ["r", "c"], "left_semi")
+
+
+@query()
+def corridor_closure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that the edits in the log can shade: all cells painted in any workspace and those down-sun of them."""
+    return closure(cells(spark, sf_dir).select("r", "c"), collab.painted_cells(ops(spark, sf_dir)).select("r", "c").distinct())
+
+
 _FAMILY = {"vegetation_geometry": "vegetation_dsm", "building_geometry": "building_dsm", "landcover_surface": "landcover", "meteorological_forcing": "meteorology", "model_receptor_parameters": "model_parameters", "selected_date_time": "selected_date_time", "output_view": "output_selection"}
 _FAMILY_SQL = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in _FAMILY.items()) + ") f(source_family, source)"
 _EDGE_SQL = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in incremental.EDGES) + ") e(src, dst)"
