@@ -11,9 +11,17 @@ words, so that a line of abuse in a long report counts as much as one by itself.
 For the same reason a rated text is a set of passages of which at least one bears
 its label: training alternates between choosing that passage and fitting.
 
+Rated texts are few, and most harmless language is not among them. What the
+corpus itself says enters in two ways, both counted over the sentences of all
+documents, whole:
+
+* A subword weighs by how much more common it is in rated harmful passages than
+  in the corpus, on a logarithmic scale from ``EVEN`` to ``TELLING`` times.
+* A passage that many texts hold (``SHARE`` of their number) and of which the model is
+  not all but certain (``CERTAIN``) is taken as harmless and fitted again, ``MINED`` times.
+
 Raters err. The labels of one text are put to the vote (unresolved texts are
-left out), and after a first fit the few texts that the model, not having seen them,
-contradicts with confidence are left out.
+left out), and texts that the model contradicts with confidence are left out.
 
 As the mean is linear, table and softmax collapse to one row of four numbers a
 bucket; scoring sums such rows over positions of a text and takes differences of
@@ -21,7 +29,8 @@ prefix sums for its passages. Nothing of a text is skipped.
 
 Defined results: null, empty and blank texts score 0. Labels other than the four
 and null labels are ignored; without rated texts of at least two classes there is
-no model and an error is raised. Scores do not depend on other documents.
+no model and an error is raised. The model depends on the whole corpus, so the
+score of a text may change as the corpus does; it does not depend on its order.
 """
 
 from __future__ import annotations
@@ -29,7 +38,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,23 +46,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermaloom.llm.abuse_examples import EXAMPLES
+from thermaloom.session import materialize
 
 CLASSES = ("none", "abusive", "hateful", "sexual")
-BUCKET_BITS = 17
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
 DIM = 24
 NGRAMS = (3, 4, 5, 6)
 #: Passages: windows of so many words, at every word.
 WINDOWS = (6, 9, 13)
 #: A passage of fewer features than this counts as one of so many, as little text is little evidence.
 SHRINK, LITTLE = 30, 3.0
-DROP, SMOOTH, RATE = 0.25, 0.04, 0.3
-#: Weight of the examples of harmless language, which stand for what is easily mistaken.
-EXAMPLE_NONE = 3.0
-#: Sentences of unrated texts with this weight or more (some seven copies in 3,000 texts, in a corpus of any size) are harmless whatever raters say.
-COMMON = 1.55
-#: The model is fitted on at most so many rated rows, and the sentences of so many unrated documents besides the common ones of all.
-MOST_RATED, BACKGROUND = 20_000, 3_000
+DROP, SMOOTH, RATE, DECAY = 0.25, 0.04, 0.3, 0.002
+#: Subwords so many times as common in harmful passages as in the corpus weigh nothing, and all.
+EVEN, TELLING = 4.0, 125.0
+#: No subword counts as rarer in the corpus than this share of all.
+RAREST = 3e-6
+#: Passages in so large a share of the texts (and in three at least), scored between the bounds, are harmless.
+SHARE, UNSURE, CERTAIN, MINED = 1 / 1000, 0.3, 0.985, 2
+#: The model is fitted on at most so many rated rows.
+MOST_RATED = 20_000
+SEEDS = (11, 21, 31)
 THRESHOLD = 0.6
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -218,14 +231,16 @@ class Model:
         return out
 
 
-def _fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Joint training of table and softmax by AdaGrad on passages given as arrays of buckets; returns their product and the bias."""
+def _fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, scale: np.ndarray, epochs: int, seed: int) -> Model:
+    """Joint training of table and softmax on passages given as arrays of buckets, ``scale`` being the weight of each bucket.
+
+    All rows of the table take steps of one size, so the evidence of a passage spreads over its subwords.
+    """
     rng = np.random.default_rng(seed)
-    table = ((rng.random((1 << BUCKET_BITS, DIM)) - 0.5) / DIM).astype(np.float32)
+    table = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
     out = np.zeros((DIM, len(CLASSES)), dtype=np.float32)
     bias = np.zeros(len(CLASSES), dtype=np.float32)
-    g_table = np.full(1 << BUCKET_BITS, 1e-6, dtype=np.float32)
-    g_out, g_bias = np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
+    g_table, g_out, g_bias = 1e-9, np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for batch in np.array_split(order, max(1, len(order) // 48)):
@@ -237,7 +252,8 @@ def _fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs
             flat = np.concatenate(parts)
             starts = np.concatenate([[0], np.cumsum(size)[:-1]])
             weight = 1 / np.maximum(size, (1 - DROP) * SHRINK).astype(np.float32)
-            mean = np.add.reduceat(table[flat], starts, axis=0) * weight[:, None]
+            here = scale[flat][:, None]
+            mean = np.add.reduceat(table[flat] * here, starts, axis=0) * weight[:, None]
             p = softmax(mean @ out + bias)
             want = np.full_like(p, SMOOTH / len(CLASSES))
             want[np.arange(len(batch)), labels[batch]] += 1 - SMOOTH
@@ -250,10 +266,10 @@ def _fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs
             bias -= 0.2 * RATE * gb / np.sqrt(g_bias)
             by = np.argsort(flat, kind="stable")
             rows, first = np.unique(flat[by], return_index=True)
-            grad = np.add.reduceat(np.repeat(back, size, axis=0)[by], first, axis=0)
-            g_table[rows] += (grad**2).mean(axis=1)
-            table[rows] -= RATE * grad / np.sqrt(g_table[rows])[:, None]
-    return table @ out, bias
+            grad = np.add.reduceat((np.repeat(back, size, axis=0) * here)[by], first, axis=0)
+            g_table += float((grad**2).mean())
+            table[rows] -= grad / np.sqrt(g_table) + DECAY * table[rows]
+    return Model((table * scale[:, None]) @ out, bias)
 
 
 def _buckets(texts: list[str]) -> list[np.ndarray]:
@@ -286,59 +302,79 @@ def disguised(text: str, rng: np.random.Generator) -> str:
     return " ".join(words)
 
 
-def train(rated: list[tuple[str, str]], background: list[tuple[str, float]] = (), examples: list[tuple[str, str]] = (), rounds: int = 3, epochs: int = 10, seed: int = 11) -> Model:
-    """Model from normalized texts.
-
-    ``rated``: (text, label) as raters gave it; ``background``: (sentence, weight) of
-    unrated texts, taken as harmless unless the model of the round before is sure of
-    the contrary;
-    ``examples``: (sentence, label) that are beyond doubt.
-    """
-    if len({x for _, x in [*rated, *examples]}) < 2:
-        raise ValueError("rated texts of at least two classes are needed")
-    rng = np.random.default_rng(seed)
-    split = [[x for x in t.split("\n") if x] for t, _ in rated]
-    chosen = [len(x) - 1 if label != "none" else None for x, (_, label) in zip(split, rated)]
-    use = [True] * len(rated)
-    harmless = list(background)
-    common = {t for t, w in background if w >= COMMON}
-    model = None
-    for turn in range(rounds):
-        if model is not None:
-            bad = lambda texts: model.scores(texts)[:, -1] if texts else np.zeros(0)
-            harmless = [(t, w) for (t, w), p in zip(background, bad([t for t, _ in background])) if p < (0.97 if turn < rounds - 1 else 0.8) or w >= COMMON]
-            for i, (text, label) in enumerate(rated):
-                p = model.scores(split[i])
-                if label == "none":
-                    use[i] = p[:, -1].max() < 0.7
-                else:
-                    chosen[i] = int(np.argmax(p[:, CLASSES.index(label) - 1]))
-                    use[i] = p[:, -1].max() > 0.25 and split[i][chosen[i]] not in common
-        passages: list[tuple[str, int, float]] = []
-        for i, (text, label) in enumerate(rated):
-            if not use[i]:
-                continue
-            for j, x in enumerate(split[i]):
-                if j == chosen[i]:
-                    passages += [(v, CLASSES.index(label), 1.0) for v in (x, *_variants(x, rng))]
-                else:
-                    passages.append((x, 0, 1.0))
-        for x, label in examples:
-            k = CLASSES.index(label)
-            passages += [(v, k, 1.0 if k else EXAMPLE_NONE) for v in (x, *(_variants(x, rng) if k else [disguised(x, rng)]))]
-        for x, w in harmless:
-            passages.append((x, 0, w))
-            words = x.split(" ")
-            if len(words) > WINDOWS[0]:  # a window of it, as scoring sees them
-                at = int(rng.integers(len(words) - WINDOWS[0] + 1))
-                part = " ".join(words[at : at + int(rng.choice(WINDOWS))])
-                passages.append((disguised(part, rng) if rng.random() < 0.6 else part, 0, w))  # typing errors alone are no harm
+class Fit:
+    """Rated texts (normalized text, label), the corpus counts of each bucket, and the state of the alternation."""
+
+    def __init__(self, rated: list[tuple[str, str]], corpus: np.ndarray) -> None:
+        if len({x for _, x in rated}) < 2:
+            raise ValueError("rated texts of at least two classes are needed")
+        self.rated = rated
+        self.split = [[x for x in t.split("\n") if x] for t, _ in rated]
+        self.corpus = corpus / max(corpus.sum(), 1) + RAREST
+        self.harmful = [i for i, (_, label) in enumerate(rated) if label != "none"]
+        self.use = [True] * len(rated)
+        # to begin with, the passage of the most telling subwords bears the label
+        self.scale = self._scale([x for i in self.harmful for x in self.split[i]])
+        telling = lambda x: float(self.scale[x].mean()) if len(x) else 0.0
+        self.chosen = {i: int(np.argmax([telling(x) for x in _buckets(self.split[i])])) for i in self.harmful}
+
+    def _scale(self, passages: list[str]) -> np.ndarray:
+        n = np.zeros(BUCKETS)
+        for x in _buckets(passages):
+            n += np.bincount(x, minlength=BUCKETS)
+        ratio = n / max(n.sum(), 1) / self.corpus
+        return np.clip(np.log(np.maximum(ratio, 1e-9) / EVEN) / np.log(TELLING / EVEN), 0, 1).astype(np.float32)
+
+    def choose(self, model: Model) -> None:
+        """Which passage bears the label of a text, and which texts are in doubt."""
+        for i, (_, label) in enumerate(self.rated):
+            p = model.scores(self.split[i])
+            if label == "none":
+                self.use[i] = p[:, -1].max() < 0.8
+            else:
+                self.chosen[i] = int(np.argmax(p[:, CLASSES.index(label) - 1]))
+                self.use[i] = p[:, -1].max() > 0.25
+        kept = [self.split[i][self.chosen[i]] for i in self.harmful if self.use[i]]
+        if kept:
+            self.scale = self._scale(kept)
+
+    def model(self, mined: dict[str, float], epochs: int, seed: int) -> Model:
+        rng = np.random.default_rng(seed)
+        passages: list[tuple[str, int, float]] = [(x, 0, w) for x, w in sorted(mined.items())]
+        for i, (_, label) in enumerate(self.rated):
+            if self.use[i]:
+                for j, x in enumerate(self.split[i]):
+                    if label != "none" and j == self.chosen[i]:
+                        passages += [(v, CLASSES.index(label), 1.0) for v in (x, *_variants(x, rng))]
+                    else:
+                        passages.append((x, 0, 1.0))
         labels = np.array([k for _, k, _ in passages])
-        each = np.bincount(labels, weights=[w for _, _, w in passages], minlength=len(CLASSES))
+        each = np.bincount(labels, minlength=len(CLASSES))
         balance = (each.sum() / (len(CLASSES) * np.maximum(each, 1))) ** 0.5
         weights = np.array([w for _, _, w in passages]) * balance[labels]
-        model = Model(*_fit(_buckets([x for x, _, _ in passages]), labels, weights, epochs if turn == rounds - 1 else epochs // 2, seed + turn))
-    return model
+        return _fit(_buckets([x for x, _, _ in passages]), labels, weights, self.scale, epochs, seed)
+
+
+def train(rated: list[tuple[str, str]], corpus: np.ndarray, mine: Callable[[Model], list[tuple[str, float]]] = lambda model: [], epochs: int = 10) -> Model:
+    """Model from normalized rated texts (text, label).
+
+    ``corpus``: how often each bucket occurs in the unrated corpus. ``mine``: (passage, weight) of
+    the corpus that a model is unsure of and that many texts hold.
+    """
+    state = Fit(rated, corpus)
+    for turn in range(2):
+        state.choose(state.model({}, epochs // 2, SEEDS[0] + turn + 1))
+    model = state.model({}, epochs, SEEDS[0])
+    mined: dict[str, float] = {}
+    for turn in range(MINED):
+        found = mine(model)
+        if not found:
+            break
+        mined |= dict(found)
+        if turn < MINED - 1:
+            model = state.model(mined, epochs, SEEDS[0])
+    all_of = [state.model(mined, epochs, s) for s in SEEDS]
+    return Model(np.mean([m.rows for m in all_of], axis=0), np.mean([m.bias for m in all_of], axis=0))
 
 
 def _variants(x: str, rng: np.random.Generator, n: int = 4) -> list[str]:
@@ -369,56 +405,85 @@ def vote(rows: Iterable[tuple]) -> list[tuple[str, str]]:
     return out
 
 
-def sentences(texts: Iterable[str]) -> list[tuple[str, float]]:
-    """Sentences with their weight, which grows with the root of their number: what very many write is the tone of the place."""
-    count = Counter(x for t in texts for x in _long_sentences(t))
-    return [(x, 0.6 * min(n, 16) ** 0.5) for x, n in sorted(count.items())]
+def corpus_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``x, n``: each normalized sentence of all documents, whole, and how often it occurs."""
 
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                lines = Counter(x for t in batch.column(0).slice(i, 256).to_pylist() for x in normalize(t).split("\n") if x)
+                yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.string()), pa.array(list(lines.values()), pa.int64())], names=["x", "n"])
+
+    return docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string")).mapInArrow(split, "x string, n bigint").groupBy("x").agg(F.sum("n").alias("n"))
 
-def _long_sentences(text: str) -> list[str]:
-    return [x for x in normalize(text).split("\n") if len(x) > 3]
 
+def bucket_counts(lines: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in the sentences ``x, n``: one number a bucket, whatever the data."""
 
-def corpus_sentences(docs: DataFrame, text: str = "text", sample: int = BACKGROUND) -> list[tuple[str, float]]:
-    """``sentences`` of unrated documents, as a distributed count.
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                bags = Bags(part.column(0).to_pylist())
+                of = np.searchsorted(bags.text_start, bags.position, "right") - 1
+                total += np.bincount(bags.bucket, weights=part.column(1).to_numpy()[of], minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["b", "n"])
+
+    out = np.zeros(BUCKETS)
+    got = lines.select("x", "n").mapInArrow(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    out[got["b"].to_numpy()] = got["n"].to_numpy()
+    return out
 
-    Sentences are counted over all distinct texts, whole. Their number is scaled to that in ``sample`` texts, so a weight means
-    the same share of a corpus of any size. Given are those of the ``sample`` texts that come first by hash, and all that weigh
-    ``COMMON`` or more, of which a corpus of any size has about as many.
+
+def uncertain(lines: DataFrame, model: Model, texts: int) -> list[tuple[str, float]]:
+    """(passage, weight): the worst passages of sentences ``x, n`` that the model is unsure of and that ``SHARE`` of the texts hold.
+
+    There are at most sentences / (texts * SHARE) of them, some thousands in a corpus of any size.
     """
-    hashed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    hashes = hashed.select("h").distinct()  # the hashes alone are sorted
-    n = hashes.count()
-    if not n:
-        return []
-    last = hashes.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    scale = min(1.0, sample / n)
+    shared = lines.sparkSession.sparkContext.broadcast((model.rows, model.bias))
 
-    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = Model(*shared.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                found = [_long_sentences(t) for t in part.column(1).to_pylist()]
-                inside = np.repeat([h <= last for h in part.column(0).to_pylist()], [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array([x for xs in found for x in xs], pa.string()), pa.array(inside.astype(bool))], names=["x", "inside"])
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                lines_here, counts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                bags, text, s, e, p = here.passages(lines_here)
+                bad = 1 - p[:, 0]
+                order = np.lexsort((s, -bad, text))
+                worst = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])] if len(order) else order
+                found = [(lines_here[t][s[j] - bags.text_start[t] : e[j] - bags.text_start[t]].strip(), counts[t]) for j in worst if UNSURE <= bad[j] < CERTAIN for t in (text[j],)]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["x", "n"])
+
+    held = lines.select("x", "n").mapInArrow(find, "x string, n bigint").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3.0, SHARE * texts)).collect()
+    return sorted((r.x, min((1000 * r.n / max(texts, 1)) ** 0.5 * 2, 4.0)) for r in held)
 
-    texts = hashed.groupBy("h").agg(F.min("t").alias("t"))
-    counts = texts.mapInArrow(split, "x string, inside boolean").groupBy("x").agg((F.count("*") * scale).alias("n"), F.max("inside").alias("inside"))
-    weight = 0.6 * F.sqrt(F.least(F.greatest("n", F.lit(1.0)), F.lit(16.0)))
-    rows = counts.select("x", "inside", weight.alias("w")).where(F.col("inside") | (F.col("w") >= COMMON)).select("x", "w").collect()
-    return sorted((r.x, r.w) for r in rows)
 
+_MODELS: dict[tuple, Model] = {}
 
-def fit(labels: DataFrame, docs: DataFrame | None = None, text: str = "text", label: str = "label", most: int = MOST_RATED, background: int = BACKGROUND) -> Model:
-    """Fit on at most ``most`` rated rows, those that come first by the hash of their text, and on ``corpus_sentences`` of the unrated documents."""
-    rows = labels.select(text, label).where(F.col(text).isNotNull() & F.col(label).isin(*CLASSES)).orderBy(F.xxhash64(text), text, label).limit(most).collect()
-    unrated = corpus_sentences(docs, text, background) if docs is not None else []
-    return train(vote((r[0], r[1]) for r in rows), unrated, [(normalize(t), k) for k, ts in EXAMPLES.items() for t in ts])
+
+def fit(labels: DataFrame, docs: DataFrame, text: str = "text", label: str = "label", most: int = MOST_RATED) -> Model:
+    """Fit on at most ``most`` rated rows, those that come first by the hash of their text, and the counts of all documents.
+
+    A model is kept in this process under a fingerprint of both inputs.
+    """
+    rated = labels.select(text, label).where(F.col(text).isNotNull() & F.col(label).isin(*CLASSES))
+    rows = sorted((r[0], r[1]) for r in rated.orderBy(F.xxhash64(text), text, label).limit(most).collect())
+    texts = docs.select(F.col(text).cast("string").alias("text")).where("text is not null")
+    n, *marks = texts.select(F.count("*"), F.sum(F.xxhash64("text").bitwiseAND((1 << 31) - 1)), F.sum(F.hash("text").cast("bigint"))).first()
+    key = (hash(tuple(rows)), n, *marks)
+    if key not in _MODELS:
+        lines = materialize(corpus_sentences(texts), "sentences")
+        _MODELS.clear()
+        _MODELS[key] = train(vote(rows), bucket_counts(lines), lambda model: uncertain(lines, model, n))
+    return _MODELS[key]
 
 
 def score(docs: DataFrame, model: Model, spark: SparkSession, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep``, ``abusive, hateful, sexual`` (largest probability of any passage) and ``score``."""
-    shared = spark.sparkContext.broadcast((model.rows, model.bias))  # 2**17 rows of four numbers, whatever the data
+    shared = spark.sparkContext.broadcast((model.rows, model.bias))  # 2**18 rows of four numbers, whatever the data
     thin = docs.select(*keep, text)
     names = [*CLASSES[1:], "score"]
     out = T.StructType([*thin.select(*keep).schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
