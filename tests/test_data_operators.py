@@ -1,6 +1,7 @@
 """Small cases of the five data operators of the core, with nulls, ties, repeats, empty tables and clashing names."""
 
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thermaloom.operators import drift, spikes
-from thermaloom.operators.dedup import MessageStore, associations, identified, ingest_in_batches, repeated
+from thermaloom.operators.dedup import MessageStore, associations, identified, ingest_in_batches
 from thermaloom.operators.reconcile import digest_bytes, reconcile
 from thermaloom.operators.replay import replay
 from thermaloom.session import scratch_path
@@ -104,7 +105,25 @@ def test_store_keeps_one_copy(spark, rounds):
     rows = messages(400, 7)
     log = spark.createDataFrame(rows, MESSAGE).repartition(4)
     store = ingest_in_batches(log, MessageStore(spark, scratch_path(spark, "t")), "batch_id", rounds)
-    assert sorted(r.delivery_id for r in repeated(log, store).collect()) == brute_repeats(rows)
+    dropped = sorted(r.delivery_id for r in store.dropped().collect())
+    assert dropped == brute_repeats(rows)
+    kept = sorted(map(tuple, store.messages().select(*log.columns).collect()))
+    assert kept == sorted(r for r in rows if r[0] not in set(dropped))  # whole messages
+
+
+def test_broadcast_has_another_way(spark, monkeypatch):
+    from thermaloom.operators import dedup
+
+    monkeypatch.setattr(dedup, "FEW", 0)
+    rows = messages(120, 3)
+    store = ingest_in_batches(spark.createDataFrame(rows, MESSAGE), MessageStore(spark, scratch_path(spark, "t")), "batch_id", 3)
+    assert sorted(r.delivery_id for r in store.dropped().collect()) == brute_repeats(rows)
+    assert store.messages().count() == len(rows) - len(brute_repeats(rows))
+
+
+def _bytes(folder):
+    root = folder.removeprefix("file://")
+    return {name: open(os.path.join(root, name), "rb").read() for name in sorted(os.listdir(root))}
 
 
 def test_only_affected_partitions_are_rewritten(spark):
@@ -113,21 +132,37 @@ def test_only_affected_partitions_are_rewritten(spark):
     store = MessageStore(spark, scratch_path(spark, "t"))
     store.ingest(spark.createDataFrame([mk(10, a)], MESSAGE), 0)
     store.ingest(spark.createDataFrame([mk(20, b)], MESSAGE), 1)
-    before = store._manifest()
+    before = store.manifest()
+    files = _bytes(before["parts"]["0"] + "/p=0")
     assert store.ingest(spark.createDataFrame([mk(5, b.upper()), mk(30, c)], MESSAGE), 2) == [1]
-    after = store._manifest()
+    after = store.manifest()
     assert after["parts"]["0"] == before["parts"]["0"] and after["parts"]["1"] != before["parts"]["1"] and "2" in after["parts"]
-    assert sorted(r.delivery_id for r in store.kept().collect()) == [5, 10, 30]
+    assert files == _bytes(after["parts"]["0"] + "/p=0")
+    assert sorted(r.delivery_id for r in store.messages().collect()) == [5, 10, 30] and [r.delivery_id for r in store.dropped().collect()] == [20]
     store.ingest(spark.createDataFrame([], MESSAGE), 3)
-    assert sorted(r.delivery_id for r in store.kept().collect()) == [5, 10, 30]
+    assert sorted(r.delivery_id for r in store.messages().collect()) == [5, 10, 30]
     with pytest.raises(RuntimeError):
         store._publish({"version": 1, "parts": {}})
+    with pytest.raises(ValueError):
+        store.ingest(spark.createDataFrame([], MESSAGE), 0)
+
+
+def test_counter_key_joins_what_was_apart(spark):
+    """A row without a UUID and a UUID are kept side by side until a row with both ties them together."""
+    u = "%032x" % 7
+    store = MessageStore(spark, scratch_path(spark, "t"))
+    store.ingest(spark.createDataFrame([(4, 0, "w", "a", 1, None, None, None)], MESSAGE), 0)
+    store.ingest(spark.createDataFrame([(3, 0, "w", "a", None, u, None, None)], MESSAGE), 1)
+    assert store.messages().count() == 2 and store.dropped().count() == 0
+    assert store.ingest(spark.createDataFrame([(9, 0, "w", "a", 1, u, None, None)], MESSAGE), 2) == [0]
+    assert [r.delivery_id for r in store.messages().collect()] == [3]
+    assert sorted(r.delivery_id for r in store.dropped().collect()) == [4, 9]
 
 
 def test_empty_log(spark):
     log = spark.createDataFrame([], MESSAGE)
     store = ingest_in_batches(log, MessageStore(spark, scratch_path(spark, "t")), "batch_id", 3)
-    assert repeated(log, store).count() == 0 and associations(identified(log)).count() == 0
+    assert store.dropped().count() == 0 and store.messages().count() == 0 and associations(identified(log)).count() == 0
 
 
 # -- change feed -------------------------------------------------------------------------------------

@@ -1,11 +1,14 @@
 """Messages delivered more than once: keep exactly one copy of each.
 
-A table of kept messages is held in partitions, with an identifier index beside
-it. Each batch of incoming messages looks up in the index which historical
-partitions hold copies of its messages, reads only those, recomputes the single
-winners, and writes only those partitions anew. A manifest names the files that
-are valid; replacing it is the one atomic step, so a reader sees the state
-before or after a batch, and a batch that dies half-way leaves no trace.
+The store holds whole messages in partitions, one for each batch that came in, and
+beside them an identifier index: for each identifier the lowest delivery id and
+the partition that holds it. An incoming batch is matched with the index alone;
+that names the single winner of every identity in the batch and the historical
+partitions whose copy now loses. Only those partitions are read, combined with what
+won, and written anew; what lost goes to a list of dropped deliveries. A manifest
+names the files that are valid; publishing its next version is the one atomic
+step, so a reader sees the state before or after a batch, and a batch that dies
+half-way leaves no trace.
 
 Identity of a message
 * Its UUID, however written.
@@ -17,9 +20,9 @@ Identity of a message
 Defined results: the lowest delivery id of each identity stays; an empty batch
 changes nothing; text that is no UUID counts as none.
 
-Nothing is grouped beyond (UUID, counter key) minima, which combine before the
-shuffle, so a message repeated very often costs one row for each map task. Rows
-to drop are found by an anti-join on the delivery id, which is unique.
+Whole messages are never shuffled. Identifiers are, after (UUID, counter key) minima that
+combine before the shuffle, so a message repeated very often costs one row for each
+map task. Losers are found by anti-joins on the delivery id, which is unique.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COUNTER = ("workspace_id", "actor_id", "client_sequence")
 
@@ -52,135 +57,145 @@ def associations(ids: DataFrame) -> DataFrame:
     return ids.where(F.col("u").isNotNull() | F.col("c").isNotNull()).groupBy("u", "c").agg(F.min("delivery_id").alias("d"))
 
 
-def winners(pairs: DataFrame) -> DataFrame:
-    """``identity, d``: the lowest delivery id of each message, from rows ``u, c, d``."""
-    by_uuid = pairs.where("u is not null").select(F.col("u").alias("identity"), "d")
-    by_counter = (
-        pairs.where("c is not null").groupBy("c").agg(F.max("u").alias("u"), F.min(F.when(F.col("u").isNull(), F.col("d"))).alias("d"))
-        .where("d is not null").select(F.coalesce("u", "c").alias("identity"), "d")
-    )
-    return by_uuid.unionByName(by_counter).groupBy("identity").agg(F.min("d").alias("d"))
+#: Delivery ids to take out of a partition are broadcast up to this number, and joined as any table beyond.
+FEW = 4_000_000
 
 
 class MessageStore:
-    """Deduplicated messages in partitions, an identifier index, and a manifest.
+    """Deduplicated messages in partitions, an identifier index, a list of dropped deliveries, and a manifest.
 
-    Files lie under ``root``, in the folder shared by all executors:
-    ``pairs/<generation>/part=<p>`` holds (u, c, d) of the messages first seen in
-    partition p, which serves as identifier index and as state of the winners.
+    Files lie under ``root``, in the folder shared by all executors; each version adds its own
+    folders ``messages-<v>/p=<p>``, ``index-<v>`` and ``dropped-<v>`` and touches no other.
     """
 
+    _INDEX = "u binary, c binary, d bigint, p int"
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
     # -- manifest ---------------------------------------------------------
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+
     def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _manifest(self) -> dict:
-        """The state last published: partition -> folder of its files."""
-        jvm, fs = self._fs()
-        names = [str(s.getPath().getName()) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest"))] if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")) else []
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> dict:
+        """The state last published."""
+        fs = self._fs()
+        names = [str(s.getPath().getName()) for s in fs.listStatus(self._path("manifest"))] if fs.exists(self._path("manifest")) else []
         versions = sorted(int(n) for n in names if n.isdigit())
         if not versions:
-            return {"version": 0, "parts": {}}
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/{versions[-1]}"))
+            return {"version": 0, "parts": {}, "index": [], "dropped": []}
+        stream = fs.open(self._path("manifest", str(versions[-1])))
         try:
-            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def _publish(self, manifest: dict) -> None:
-        """Rename a finished file to the next version's name; the rename fails if someone else published it."""
-        jvm, fs = self._fs()
-        make = jvm.org.apache.hadoop.fs.Path
-        fs.mkdirs(make(f"{self.root}/manifest"))
-        tmp, final = make(f"{self.root}/manifest/.{uuid.uuid4().hex}"), make(f"{self.root}/manifest/{manifest['version']}")
+        """Rename a finished file to the name of the next version, which must not exist: of two writers one fails."""
+        jvm, fs = self.spark._jvm, self._fs()
+        fs.mkdirs(self._path("manifest"))
+        tmp, final = self._path("manifest", f".{uuid.uuid4().hex}"), self._path("manifest", str(manifest["version"]))
         stream = fs.create(tmp, True)
         try:
             stream.write(bytearray(json.dumps(manifest).encode()))
         finally:
             stream.close()
-        if fs.exists(final) or not fs.rename(tmp, final):
-            raise RuntimeError(f"version {manifest['version']} was published by another writer")
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(tmp, final, options)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {manifest['version']} was published by another writer") from e
 
     # -- reading ----------------------------------------------------------
-    _SCHEMA = "u binary, c binary, d bigint"
+    def _read(self, folders: list[str], schema: str | T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def _read(self, parts: dict[str, str]) -> DataFrame:
-        """The pairs of the given partitions with their partition ``p``."""
-        if not parts:
-            return self.spark.createDataFrame([], self._SCHEMA + ", p int")
-        read = self.spark.read.schema(self._SCHEMA).parquet(*[f"{folder}/p={p}" for p, folder in parts.items()])
-        return read.withColumn("p", F.regexp_extract(F.input_file_name(), r"/p=(\d+)/", 1).cast("int"))
+    def messages(self) -> DataFrame:
+        """The one copy of each message."""
+        m = self.manifest()
+        return self._read([f"{folder}/p={p}" for p, folder in m["parts"].items()], T.StructType.fromJson(m["schema"]))
 
-    def pairs(self) -> DataFrame:
-        return self._read(self._manifest()["parts"])
-
-    def kept(self) -> DataFrame:
-        """``delivery_id`` of the one copy of each message that stays."""
-        return winners(self.pairs().select("u", "c", "d")).select(F.col("d").alias("delivery_id"))
+    def dropped(self) -> DataFrame:
+        """``delivery_id`` of all that came in and is not kept, each once."""
+        return self._read(self.manifest()["dropped"], "delivery_id bigint")
 
     # -- writing ----------------------------------------------------------
     def ingest(self, messages: DataFrame, partition: int) -> list[int]:
-        """Take in a batch; messages not seen before go to ``partition``. Returns the partitions rewritten."""
-        manifest = self._manifest()
-        known = manifest["parts"]
-        incoming = associations(identified(messages)).select("u", "c", "d")
-        if not known:
-            placed = incoming.withColumn("p", F.lit(partition))
-            touched: list[int] = []
-        else:
-            from thermaloom.session import materialize
-
-            incoming = materialize(incoming, "incoming")
-            index = self._read(known)
-            # identifier index: partitions by UUID and by counter key; one row an identifier on either side
-            by_u = index.where("u is not null").groupBy("u").agg(F.min("p").alias("pu"))
-            by_c = index.where("c is not null").groupBy("c").agg(F.min("p").alias("pc"))
-            mine_u = incoming.where("u is not null").select("u").distinct().join(by_u, "u")
-            mine_c = incoming.where("c is not null").select("c").distinct().join(by_c, "c")
-            hits = mine_u.select(F.col("u").alias("k"), F.col("pu").alias("p")).unionByName(mine_c.select(F.col("c").alias("k"), F.col("pc").alias("p")))
-            touched = sorted(r.p for r in hits.select("p").distinct().collect())  # at most the number of partitions
-            history = self._read({str(p): known[str(p)] for p in touched})
-            home = hits.groupBy("k").agg(F.min("p").alias("home"))
-            fresh = (
-                incoming.join(home.withColumnRenamed("k", "u").withColumnRenamed("home", "hu"), "u", "left")
-                .join(home.withColumnRenamed("k", "c").withColumnRenamed("home", "hc"), "c", "left")
-                .select("u", "c", "d", F.coalesce("hu", "hc", F.lit(partition)).alias("p"))
-            )
-            placed = history.unionByName(fresh).groupBy("u", "c").agg(F.min("d").alias("d"), F.min("p").alias("p"))
-        folder = f"{self.root}/pairs/{manifest['version'] + 1}-{uuid.uuid4().hex[:8]}"
-        placed.write.partitionBy("p").parquet(folder)
-        written = self._partitions(folder)
-        self._publish({"version": manifest["version"] + 1, "parts": known | {str(p): folder for p in written}})
-        return [p for p in written if str(p) in known]
-
-    def _partitions(self, folder: str) -> list[int]:
-        jvm, fs = self._fs()
-        names = [str(s.getPath().getName()) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder))]
-        return sorted(int(n[2:]) for n in names if n.startswith("p="))
+        """Take in a batch, whose winners go to ``partition``, a number not used before. Returns the partitions written anew."""
+        from thermaloom.session import materialize
+
+        m = self.manifest()
+        if str(partition) in m["parts"]:
+            raise ValueError(f"partition {partition} exists")
+        ids = identified(messages)
+        incoming = materialize(associations(ids).select("u", "c", "d"), "incoming")
+        index = self._read(m["index"], self._INDEX)
+        lost = self._read(m["dropped"], "delivery_id bigint")
+
+        # the UUID behind a counter key, wanted for messages without one
+        both = index.select("u", "c").unionByName(incoming.select("u", "c")).where("c is not null")
+        behind = both.where("u is not null").join(both.where("u is null").select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.max("u").alias("v"))
+        old = _resolved(index.select("u", "c", "d", "p", F.lit(False).alias("fresh")), behind)
+        new = _resolved(incoming.select("u", "c", "d", F.lit(None).cast("int").alias("p"), F.lit(True).alias("fresh")), behind)
+        held = F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "d")))  # one, but where a counter key joins two that were apart
+        best = materialize(
+            old.unionByName(new).groupBy("identity").agg(F.min(F.struct("d", "fresh")).alias("best"), F.max("fresh").alias("met"), held.alias("held")).where("met").select("best", "held"), "winners",
+        )
+        winners = best.where("best.fresh").select(F.col("best.d").alias("delivery_id"))
+        losers = best.select("best.d", F.explode("held").alias("h")).where("h.d > d").select(F.col("h.p").alias("p"), F.col("h.d").alias("delivery_id"))
+        losers = losers.join(lost, "delivery_id", "left_anti").select("p", "delivery_id").distinct()
+
+        v = f"{m['version'] + 1}-{uuid.uuid4().hex[:8]}"
+        repeats = ids.where(F.col("u").isNotNull() | F.col("c").isNotNull()).select("delivery_id").join(winners, "delivery_id", "left_anti")
+        placed = F.when(F.col("w").isNotNull(), F.lit(partition)).alias("p")
+        incoming.join(winners.select(F.col("delivery_id").alias("d"), F.lit(1).alias("w")), "d", "left").select("u", "c", "d", placed).write.parquet(f"{self.root}/index-{v}")
+        repeats.select(F.lit(partition).alias("p"), "delivery_id").unionByName(losers).write.partitionBy("p").parquet(f"{self.root}/dropped-{v}")
+        gone = self.spark.read.schema("delivery_id bigint, p int").option("basePath", f"{self.root}/dropped-{v}").parquet(f"{self.root}/dropped-{v}")
+        counts = {r.p: r.n for r in gone.groupBy("p").agg(F.count("*").alias("n")).collect()}  # one row a partition
+        touched = sorted(p for p in counts if p != partition)
+
+        def without(rows: DataFrame, p: int) -> DataFrame:
+            n, out = counts.get(p, 0), gone.where(F.col("p") == p).select("delivery_id")
+            return rows.join(F.broadcast(out) if n <= FEW else out, "delivery_id", "left_anti").select(*rows.columns) if n else rows
+
+        parts = dict(m["parts"])
+        for p in touched:
+            rows = self._read([f"{parts[str(p)]}/p={p}"], T.StructType.fromJson(m["schema"]))
+            without(rows, p).write.parquet(f"{self.root}/messages-{v}/p={p}")
+            parts[str(p)] = f"{self.root}/messages-{v}"
+        without(messages, partition).write.parquet(f"{self.root}/messages-{v}/p={partition}")
+        parts[str(partition)] = f"{self.root}/messages-{v}"
+        schema = m.get("schema") or json.loads(messages.schema.json())
+        found = [f"{self.root}/dropped-{v}/p={p}" for p in counts]
+        self._publish({"version": m["version"] + 1, "parts": parts, "index": [*m["index"], f"{self.root}/index-{v}"], "dropped": [*m["dropped"], *found], "schema": schema})
+        return touched
+
+
+def _resolved(rows: DataFrame, behind: DataFrame) -> DataFrame:
+    """``identity, d, p, fresh``; ``behind`` gives the UUID of counter keys that come without one."""
+    rest = ["d", "p", "fresh"]
+    named = rows.where("u is not null").select(F.col("u").alias("identity"), *rest)
+    nameless = rows.where("u is null").join(behind, "c", "left").select(F.coalesce("v", "c").alias("identity"), *rest)
+    return named.unionByName(nameless)
 
 
 def ingest_in_batches(messages: DataFrame, store: MessageStore, batch: str, rounds: int) -> MessageStore:
     """Feed a log to the store in ``rounds`` spans of its batch numbers, oldest first.
 
-    Rows whose batch number is null come with the first span.
+    The log is read once and laid out by span. Rows whose batch number is null come with the first span.
     """
     lo, hi = messages.agg(F.min(batch), F.max(batch)).first()
     if lo is None:
         store.ingest(messages, 0)
         return store
     span = (hi - lo) // rounds + 1
-    number = F.coalesce(F.floor((F.col(batch) - F.lit(lo)) / F.lit(span)), F.lit(0))
+    number = F.coalesce(F.floor((F.col(batch) - F.lit(lo)) / F.lit(span)), F.lit(0)).cast("int")
+    spans = f"{store.root}/spans"
+    messages.withColumn("_span", number).write.partitionBy("_span").parquet(spans)
+    laid = store.spark.read.schema(T.StructType([*messages.schema.fields, T.StructField("_span", T.IntegerType())])).parquet(spans)
     for i in range(rounds):
-        store.ingest(messages.where(number == i), i)
+        store.ingest(laid.where(F.col("_span") == i).drop("_span"), i)
     return store
-
-
-def repeated(messages: DataFrame, store: MessageStore) -> DataFrame:
-    """``delivery_id`` of each row to drop: those with an identity that the store does not keep."""
-    known = identified(messages).where(F.col("u").isNotNull() | F.col("c").isNotNull()).select("delivery_id")
-    return known.join(store.kept(), "delivery_id", "left_anti")

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermaloom.operators import drift
-from thermaloom.operators.dedup import MessageStore, ingest_in_batches, repeated
+from thermaloom.operators.dedup import MessageStore, ingest_in_batches
 from thermaloom.operators.reconcile import digest_bytes, reconcile
 from thermaloom.operators.replay import replay
 from thermaloom.operators.spikes import implausible
 from thermaloom.session import scratch_path, table
 
 PLANES = ("tmrt", "utci", "shadow")
+#: The operation log comes to the message store in so many spans of batches.
+SPANS = 4
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +48,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries to drop, the log having gone into a message store in four spans of batches."""
-    log = table(spark, sf_dir, "operation_log")
-    store = ingest_in_batches(log, MessageStore(spark, scratch_path(spark, "messages")), "batch_id", 4)
-    return repeated(log, store)
+    store = MessageStore(spark, scratch_path(spark, "messages"))
+    return ingest_in_batches(table(spark, sf_dir, "operation_log"), store, "batch_id", SPANS).dropped()
 
 
 _P5_SQL = """

@@ -12,19 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a folder of our own is made
-    and recorded in the session, so later calls agree on it.
+    Only in a local session that names none (tests) a folder of our own is made
+    and recorded in the session, so later calls agree on it; on a cluster it must be named.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         where = "file://" + os.path.join(tempfile.gettempdir(), "thermaloom-shared")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing else uses, removed when the session's JVM ends."""
+    folder = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
