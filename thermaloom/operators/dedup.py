@@ -136,13 +136,15 @@ class MessageStore:
         lost = self._read(m["dropped"], "delivery_id bigint")
 
         # the UUID behind a counter key, wanted for messages without one
-        both = index.select("u", "c").unionByName(incoming.select("u", "c")).where("c is not null")
-        behind = both.where("u is not null").join(both.where("u is null").select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.max("u").alias("v"))
-        old = _resolved(index.select("u", "c", "d", "p", F.lit(False).alias("fresh")), behind)
-        new = _resolved(incoming.select("u", "c", "d", F.lit(None).cast("int").alias("p"), F.lit(True).alias("fresh")), behind)
+        every = index.select("u", "c", "d", "p", F.lit(False).alias("fresh")).unionByName(incoming.select("u", "c", "d", F.lit(None).cast("int").alias("p"), F.lit(True).alias("fresh")))
+        nameless = every.where("u is null")
+        behind = every.where("u is not null and c is not null").select("u", "c").join(nameless.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.max("u").alias("v"))
+        rest = ["d", "p", "fresh"]
+        found = materialize(nameless.join(behind, "c", "left").select(F.coalesce("v", "c").alias("identity"), *rest), "nameless")
+        known = every.where("u is not null").select(F.col("u").alias("identity"), *rest).unionByName(found)
         held = F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "d")))  # one, but where a counter key joins two that were apart
         best = materialize(
-            old.unionByName(new).groupBy("identity").agg(F.min(F.struct("d", "fresh")).alias("best"), F.max("fresh").alias("met"), held.alias("held")).where("met").select("best", "held"), "winners",
+            known.groupBy("identity").agg(F.min(F.struct("d", "fresh")).alias("best"), F.max("fresh").alias("met"), held.alias("held")).where("met").select("best", "held"), "winners",
         )
         winners = best.where("best.fresh").select(F.col("best.d").alias("delivery_id"))
         losers = best.select("best.d", F.explode("held").alias("h")).where("h.d > d").select(F.col("h.p").alias("p"), F.col("h.d").alias("delivery_id"))
@@ -169,19 +171,10 @@ class MessageStore:
         without(messages, partition).write.parquet(f"{self.root}/messages-{v}/p={partition}")
         parts[str(partition)] = f"{self.root}/messages-{v}"
         schema = m.get("schema") or json.loads(messages.schema.json())
-        found = [f"{self.root}/dropped-{v}/p={p}" for p in counts]
-        self._publish({"version": m["version"] + 1, "parts": parts, "index": [*m["index"], f"{self.root}/index-{v}"], "dropped": [*m["dropped"], *found], "schema": schema})
+        self._publish({"version": m["version"] + 1, "parts": parts, "index": [*m["index"], f"{self.root}/index-{v}"], "dropped": [*m["dropped"], *(f"{self.root}/dropped-{v}/p={p}" for p in counts)], "schema": schema})
         return touched
 
 
-def _resolved(rows: DataFrame, behind: DataFrame) -> DataFrame:
-    """``identity, d, p, fresh``; ``behind`` gives the UUID of counter keys that come without one."""
-    rest = ["d", "p", "fresh"]
-    named = rows.where("u is not null").select(F.col("u").alias("identity"), *rest)
-    nameless = rows.where("u is null").join(behind, "c", "left").select(F.coalesce("v", "c").alias("identity"), *rest)
-    return named.unionByName(nameless)
-
-
 def ingest_in_batches(messages: DataFrame, store: MessageStore, batch: str, rounds: int) -> MessageStore:
     """Feed a log to the store in ``rounds`` spans of its batch numbers, oldest first.
 
