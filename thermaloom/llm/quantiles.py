@@ -15,6 +15,11 @@ nothing collapses and the answer is exact. n values cost about n log2(n/k) / (2k
 Sketches of partitions, days or files are rows of the same form, one for each
 buffer, and any union of them merges again. Nothing is random.
 
+Every task collapses what it reads, so what is shuffled grows with groups, tasks and
+log(n), not with n (a task that has fewer than k values of a group passes them on as they are). The rows of a group are merged in two
+levels, first by ``part``, one of ``PARTS`` numbers dealt out by task, then by group: a group of
+any size is spread over so many tasks, and the last one sees at most PARTS sketches of it.
+
 Defined results: null and NaN do not count, every other value does, repeats and
 infinities included; the p-percentile is the value at rank ceil(p n), at least 1;
 null is a group of its own; a group without values gives no row.
@@ -27,10 +32,13 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K = 2048
+#: Into so many parts the sketches of a group are dealt for the first level of merging.
+PARTS = 32
 
 
 class Sketch:
@@ -98,26 +106,31 @@ class Sketch:
 
 
 def _sketch_schema(keys: int) -> tuple[str, pa.Schema]:
-    ddl = ", ".join([f"k{i} string" for i in range(keys)] + ["level int", "buffer array<double>", "error bigint"])
-    return ddl, pa.schema([*((f"k{i}", pa.string()) for i in range(keys)), ("level", pa.int32()), ("buffer", pa.list_(pa.float64())), ("error", pa.int64())])
+    ddl = ", ".join([f"k{i} string" for i in range(keys)] + ["part int", "level int", "buffer array<double>", "error bigint"])
+    return ddl, pa.schema([*((f"k{i}", pa.string()) for i in range(keys)), ("part", pa.int32()), ("level", pa.int32()), ("buffer", pa.list_(pa.float64())), ("error", pa.int64())])
 
 
-def _emit(sketches: Iterable[tuple[tuple, Sketch]], schema: pa.Schema, most: int = 64) -> Iterator[pa.RecordBatch]:
+def _emit(sketches: Iterable[tuple[tuple, Sketch]], part: int | None, schema: pa.Schema, most: int = 64) -> Iterator[pa.RecordBatch]:
+    """Rows of sketches by key; without a ``part`` it is the last of the key."""
     rows: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
     for key, sketch in sketches:
         for level, values, error in sketch.buffers():
-            rows.append((*key, level, values, error))
+            rows.append((*key, *(() if part is None else (part,)), level, values, error))
             if len(rows) >= most:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                yield batch()
                 rows = []
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+        yield batch()
 
 
 def sketch(df: DataFrame, value: Column, keys: Sequence[Column], k: int = K, held: int = 1 << 21) -> DataFrame:
     """Sketch buffers of each group, made within the input's partitions, without a shuffle.
 
-    Rows ``k0.., level, buffer, error``. A task that holds more than ``held``
+    Rows ``k0.., part, level, buffer, error``. A task that holds more than ``held``
     values lets its sketches go and begins anew, so its memory is bounded for any
     number of groups.
     """
@@ -126,7 +139,7 @@ def sketch(df: DataFrame, value: Column, keys: Sequence[Column], k: int = K, hel
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: dict[tuple, Sketch] = {}
-        count = 0
+        count, part_no = 0, TaskContext.get().partitionId() % PARTS
         for batch in batches:
             pdf = batch.to_pandas()
             codes, uniques = pd.factorize(pd.MultiIndex.from_frame(pdf.iloc[:, :nk]) if nk > 1 else pdf.iloc[:, 0], use_na_sentinel=False)
@@ -138,9 +151,9 @@ def sketch(df: DataFrame, value: Column, keys: Sequence[Column], k: int = K, hel
                 now.setdefault(key, Sketch(k)).add(part)
             count += len(v)
             if count >= held:
-                yield from _emit(now.items(), schema)
+                yield from _emit(now.items(), part_no, schema)
                 now, count = {}, 0
-        yield from _emit(now.items(), schema)
+        yield from _emit(now.items(), part_no, schema)
 
     v = value.cast("double")
     return (
@@ -149,17 +162,20 @@ def sketch(df: DataFrame, value: Column, keys: Sequence[Column], k: int = K, hel
     )
 
 
-def merge(sketches: DataFrame, keys: int, keep: int, k: int = K) -> DataFrame:
-    """Merge sketches with ``keys`` key columns into those of their first ``keep`` keys."""
-    names = [f"k{i}" for i in range(keep)]
-    ddl, schema = _sketch_schema(keep)
+def merge(sketches: DataFrame, keep: Sequence[str], k: int = K) -> DataFrame:
+    """Merge sketches into those of the keys ``keep`` (some of k0, k1, ..., renamed in this order), in each part by itself."""
+    ddl, schema = _sketch_schema(len(keep))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _emit(_merged(batches, keep, k), schema)
+        yield from _emit(_merged(batches, len(keep) + 1, k), None, schema)
+
+    return _gathered(sketches, keep, ["part"]).mapInArrow(run, ddl)
+
 
-    cols = [*names, "level", "buffer", "error"]
-    order = [f"k{i}" for i in range(keys)]
-    return sketches.repartition(*names).sortWithinPartitions(*order, "level", F.xxhash64("buffer")).select(*cols).mapInArrow(run, ddl)
+def _gathered(sketches: DataFrame, keep: Sequence[str], more: Sequence[str]) -> DataFrame:
+    names = [f"k{i}" for i in range(len(keep))]
+    renamed = sketches.select(*(F.col(x).alias(n) for x, n in zip(keep, names)), *more, "level", "buffer", "error")
+    return renamed.repartition(*names, *more).sortWithinPartitions(*names, *more, "level", F.xxhash64("buffer"))
 
 
 def _merged(batches: Iterable[pa.RecordBatch], keep: int, k: int) -> Iterator[tuple[tuple, Sketch]]:
@@ -178,17 +194,15 @@ def _merged(batches: Iterable[pa.RecordBatch], keep: int, k: int) -> Iterator[tu
         yield now, state
 
 
-def percentiles(sketches: DataFrame, keys: int, keep: int, ps: Sequence[float], k: int = K) -> DataFrame:
-    """``k0.., n, q0.., rank_error`` of merged sketches."""
-    names = [f"k{i}" for i in range(keep)]
+def percentiles(sketches: DataFrame, keep: Sequence[str], ps: Sequence[float], k: int = K) -> DataFrame:
+    """``k0.., n, q0.., rank_error`` for the keys ``keep`` of sketches, merged in two levels."""
+    names = [f"k{i}" for i in range(len(keep))]
     ddl = ", ".join([f"{x} string" for x in names] + ["n bigint"] + [f"q{i} double" for i in range(len(ps))] + ["rank_error bigint"])
     schema = pa.schema([*((x, pa.string()) for x in names), ("n", pa.int64()), *((f"q{i}", pa.float64()) for i in range(len(ps))), ("rank_error", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(*key, s.n, *s.quantiles(ps), s.error) for key, s in _merged(batches, keep, k)]
+        rows = [(*key, s.n, *s.quantiles(ps), s.error) for key, s in _merged(batches, len(keep), k)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
-    cols = [*names, "level", "buffer", "error"]
-    order = [f"k{i}" for i in range(keys)]
-    return sketches.repartition(*names).sortWithinPartitions(*order, "level", F.xxhash64("buffer")).select(*cols).mapInArrow(run, ddl)
+    return _gathered(merge(sketches, keep, k), names, []).mapInArrow(run, ddl)

@@ -14,19 +14,28 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of total_s for each mode and case, from sketches of single days, with their bound on the error of the rank."""
-    runs = _read(spark, sf_dir, "raw_runs")
-    day = F.to_date("recorded_at")
-    daily = quantiles.sketch(runs, F.col("timings_s.total_s"), [F.col("mode"), F.col("case_id"), day])
-    found = quantiles.percentiles(daily, 3, 2, PERCENTILES)
+def _percentiles(sketches: DataFrame, names: dict[str, str]) -> DataFrame:
+    found = quantiles.percentiles(sketches, list(names), PERCENTILES)
     return found.select(
-        F.col("k0").alias("mode"), F.col("k1").alias("case_id"), "n",
+        *(F.col(f"k{i}").alias(name) for i, name in enumerate(names.values())), "n",
         *(F.col(f"q{i}").alias(f"p{round(100 * p):02d}") for i, p in enumerate(PERCENTILES)),
         "rank_error", (F.col("rank_error") / F.col("n")).alias("relative_rank_error"),
     )
 
 
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of total_s for each mode and case, from sketches of the parts of the table, with their bound on the error of the rank."""
+    runs = _read(spark, sf_dir, "raw_runs")
+    return _percentiles(quantiles.sketch(runs, F.col("timings_s.total_s"), [F.col("mode"), F.col("case_id")]), {"k0": "mode", "k1": "case_id"})
+
+
+def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for each day and mode; the sketches of days are rows that merge into those of any longer time."""
+    runs = _read(spark, sf_dir, "raw_runs")
+    daily = quantiles.sketch(runs, F.col("timings_s.total_s"), [F.col("mode"), F.to_date("recorded_at")])
+    return _percentiles(daily, {"k1": "day", "k0": "mode"}).withColumn("day", F.to_date("day"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.token_ids(_read(spark, sf_dir, "documents"), spark)
@@ -61,5 +70,5 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(flagged).alias("n_flagged"), F.avg(flagged).alias("rate"), *kinds)
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_daily": p2_daily, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
