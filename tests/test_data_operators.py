@@ -337,3 +337,25 @@ def test_runs_across_chunks_and_gaps(spark):
 def test_rows_without_time_tile_or_station(spark):
     rows = [[1, "s", "t1", None, 99.0, 50.0, 1.0, 2.0, None], [2, None, "nowhere", datetime(2024, 1, 1), 5.0, 120.0, -1.0, 0.0, None]]
     assert found(spark, rows) == [(1, "radd"), (1, "ta"), (2, "radg"), (2, "rh")]
+
+
+def test_spikes_of_radiation_inside_its_bounds(spark):
+    """Judged against the station's own course: a clear reading amid a dark overcast day, in global and in diffuse radiation."""
+    rows = station(6 * 96)
+    for r in rows:
+        r[6], r[7] = r[6] * 0.2, r[7] * 0.2
+    noon = 96 * 4 + 48
+    rows[noon][6] = 1361 * 0.86 * 0.9
+    assert found(spark, rows) == [(noon, "radg")]
+
+
+@pytest.mark.parametrize("days", [8, 32, 90])
+def test_verdicts_do_not_depend_on_chunks(spark, days):
+    import os.path
+
+    if not os.path.exists("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    read = lambda n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet")
+    run = lambda n: sorted(map(tuple, spikes.implausible(read("met_inputs"), read("grid_tiles").select("tile", "latitude"), chunk_days=n).collect()))
+    whole = run(1000)
+    assert run(days) == whole and len(whole) > 50

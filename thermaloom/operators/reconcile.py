@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermaloom.operators.arrow_stream import null_safe_equal, same_as_next
+from thermaloom.session import materialize
 
 DIFF_SCHEMA = "record_id string, rep int, field string, diff string"
 _ARROW = pa.schema([("record_id", pa.string()), ("rep", pa.int32()), ("field", pa.string()), ("diff", pa.string())])
@@ -111,6 +112,6 @@ def reconcile(left: DataFrame, right: DataFrame, record_id: Column | str, rep: C
 
 def merge_sides(both: DataFrame, fields: Sequence[str], by: Sequence[str] = ("record_id", "rep")) -> DataFrame:
     """The merge itself over rows ``record_id, rep, side, fields...``."""
-    thin = both.mapInArrow(_drop_repeats, both.schema)
+    thin = materialize(both.mapInArrow(_drop_repeats, both.schema), "sides")  # split points are sampled from it first
     ranged = thin.repartitionByRange(*by).sortWithinPartitions(*by, "side", *fields)
     return ranged.mapInArrow(_merge_sides(fields), DIFF_SCHEMA)

@@ -10,8 +10,9 @@ of the rows. Within a chunk:
    above the sky's own course by day, nothing near zero by day.
 2. Stuck values. Runs of six or more equal successive values, unless humidity is
    100 or the radiation 0 with the sun down.
-3. Hampel filter. Distance from the rolling median beyond a multiple of the
-   station's own scale (median absolute deviation of successive changes), and
+3. Hampel filter, for all four fields; radiation as its part of that above the
+   atmosphere, with the sun well up. Distance from the rolling median beyond a multiple of the
+   station's own scale (the rolling median absolute deviation), and
    beyond what any weather does within the window.
 4. Excursions. A jump out of the course and one back into it within half a day,
    each larger than any weather makes in that time (as when a logger changes its
@@ -21,7 +22,9 @@ of the rows. Within a chunk:
 Runs of equal values that cross the borders of chunks are put together exactly:
 each chunk passes on the first and last run of each field, with at most five
 reading ids, and a window over these few rows per chunk adds up their lengths,
-however far apart in time they lie.
+however far apart in time they lie. Windows end at ``REACH``, which is less than the halo,
+so verdicts do not depend on where chunks begin. How much of the sun's radiation a station
+sees at most comes from one aggregate over all its readings.
 
 Defined results: null, NaN and -999 are missing, never cases, and skipped in runs.
 A reading delivered several times counts once. Rows without a time get the bounds
@@ -42,12 +45,13 @@ from pyspark.sql import functions as F
 FIELDS = ("ta", "rh", "radg", "radd")
 MISSING = -999.0
 RUN = 6
-CHUNK_DAYS, HALO_DAYS = 32, 1
+CHUNK_DAYS, HALO_DAYS = 32, 2
 SOLAR_CONSTANT = 1361.0
-#: Half-width of the rolling median, in readings.
-HALF = 4
-#: Least distance from the rolling median, and multiple of the station's scale, for a spike.
-FLOOR = {"ta": 3.8, "rh": 17.0}
+#: Half-widths of the rolling median and of the rolling deviation, in readings, and in seconds.
+HALF, WIDE, COURSE = 4, 24, 28
+REACH = 86400.0
+#: Least distance from the rolling median, and multiple of the station's scale, for a spike; of radiation as a part (clouds move it by half at once).
+FLOOR = {"ta": 3.8, "rh": 17.0, "radg": 0.6, "radd": 0.6}
 SCALE = 10.0
 #: Jump between two readings a quarter of an hour apart that no weather makes, and what each further step allows.
 JUMP = {"ta": (6.0, 2.0), "rh": (22.0, 6.0)}
@@ -58,12 +62,14 @@ PART = 0.1
 AIR = (-90.0, 60.0)
 #: Global and diffuse radiation as parts of that above the atmosphere: largest that any sky gives.
 TOP = {"radg": 0.95, "radd": 0.30}
-#: ... and how far above the station's own 95th percentile they may lie.
-OVER = 1.25
+#: ... and how far above the station's own 95th percentile they may lie, if it has so many readings with the sun up.
+OVER, ENOUGH = 1.25, 200
 #: Least part by day, with the sun above and below a sine of 0.1 of its height.
 LEAST_HIGH, LEAST_LOW = 0.015, 0.003
 #: Sines of the sun's height from which and up to which it is day and night for sure.
 SUN_UP, SUN_DOWN = 0.02, -0.02
+#: ... and from which the sun is well up.
+HIGH = 0.1
 
 _OUT = "kind int, reading_id bigint, field string, station string, chunk bigint, pos int, value double, length bigint, whole boolean, ids array<bigint>"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("reading_id", pa.int64()), ("field", pa.string()), ("station", pa.string()), ("chunk", pa.int64()), ("pos", pa.int32()), ("value", pa.float64()), ("length", pa.int64()), ("whole", pa.bool_()), ("ids", pa.list_(pa.int64()))])
@@ -77,18 +83,16 @@ def sun_sine(day_of_year: np.ndarray, hour: np.ndarray, latitude: np.ndarray) ->
     return np.sin(lat) * np.sin(decl) + np.cos(lat) * np.cos(decl) * np.cos(np.radians(15 * (hour - 12)))
 
 
-def rolling_median(x: np.ndarray, half: int) -> np.ndarray:
-    """Median of up to ``2 half + 1`` values around each; windows are cut at the ends."""
-    n = len(x)
-    padded = np.full(n + 2 * half, np.nan)
-    padded[half : half + n] = x
-    view = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1)
-    out = np.empty(n)
-    whole = slice(half, n - half) if n > 2 * half else slice(0, 0)
-    out[whole] = np.median(view[whole], axis=1)
-    for i in [*range(0, min(half, n)), *range(max(half, n - half), n)]:
-        out[i] = np.nanmedian(view[i])
-    return out
+def rolling_median(x: np.ndarray, t: np.ndarray, half: int, reach: float = REACH) -> np.ndarray:
+    """Median of up to ``2 half + 1`` values around each that lie within ``reach`` seconds."""
+    pad = lambda v: np.concatenate([np.full(half, np.nan), v, np.full(half, np.nan)])
+    view = np.lib.stride_tricks.sliding_window_view(pad(x), 2 * half + 1)
+    when = np.lib.stride_tricks.sliding_window_view(pad(t), 2 * half + 1)
+    with np.errstate(invalid="ignore"):
+        window = np.sort(np.where(np.abs(when - t[:, None]) <= reach, view, np.nan), axis=1)  # what is out comes last
+    k = np.count_nonzero(~np.isnan(window), axis=1)
+    row = np.arange(len(x))
+    return (window[row, (k - 1) // 2] + window[row, k // 2]) / 2
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +107,13 @@ def lasts_by_nature(field: str, value: np.ndarray) -> np.ndarray:
     return value == (100.0 if field == "rh" else 0.0) if field != "ta" else np.zeros(np.shape(value), bool)
 
 
-def spikes(x: np.ndarray, t: np.ndarray, field: str) -> np.ndarray:
-    """Hampel filter, then excursions and, for humidity, parts of the course; x without missing values, in order of t (seconds)."""
+def hampel(x: np.ndarray, t: np.ndarray, field: str) -> np.ndarray:
+    """Values too far from the rolling median; x without missing values, in order of t (seconds)."""
     n = len(x)
-    bad = np.zeros(n, bool)
-    if n < 4:
-        return bad
-    change = np.diff(x)
-    scale = 1.4826 * np.median(np.abs(change - np.median(change)))
-    least = max(FLOOR[field], SCALE * scale)
-    away = np.abs(x - rolling_median(x, HALF))
+    if not n:
+        return np.zeros(0, bool)
+    away = np.abs(x - rolling_median(x, t, HALF))
+    least = np.maximum(FLOOR[field], SCALE * 1.4826 * rolling_median(away, t, WIDE))
     near = np.searchsorted(t, t + 10 * STEP_S, "right") - np.searchsorted(t, t - 10 * STEP_S, "left") - 1
     bad = away > np.where(near >= 4, least, 4 * least)
     for i in np.flatnonzero(bad):  # beside a gap the median may lie on its far side: what agrees with a good neighbour is good
@@ -120,15 +121,21 @@ def spikes(x: np.ndarray, t: np.ndarray, field: str) -> np.ndarray:
             j = i + step
             while 0 <= j < n and bad[j] and abs(j - i) < 3:
                 j += step
-            if 0 <= j < n and not bad[j] and abs(t[j] - t[i]) <= 4 * STEP_S and abs(x[j] - x[i]) < 0.35 * least:
+            if 0 <= j < n and not bad[j] and abs(t[j] - t[i]) <= 4 * STEP_S and abs(x[j] - x[i]) < 0.35 * least[i]:
                 bad[i] = False
                 break
+    return bad
+
+
+def spikes(x: np.ndarray, t: np.ndarray, field: str) -> np.ndarray:
+    """Hampel filter, then excursions and, for humidity, parts of the course."""
+    bad = hampel(x, t, field)
     ok = np.flatnonzero(~bad)
     bad[ok[_excursions(x[ok], t[ok], field)]] = True
-    if field == "rh" and n >= 30:
+    if field == "rh":
         ok = np.flatnonzero(~bad)
         if len(ok):
-            course = rolling_median(x[ok], 28)
+            course = rolling_median(x[ok], t[ok], COURSE)
             bad[ok[(x[ok] < PART * course) & (course > 8)]] = True
     return bad
 
@@ -155,7 +162,7 @@ def _excursions(x: np.ndarray, t: np.ndarray, field: str) -> np.ndarray:
     return out
 
 
-def judge(t: np.ndarray, sun: np.ndarray, values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def judge(t: np.ndarray, sun: np.ndarray, values: dict[str, np.ndarray], top: dict[str, float]) -> dict[str, np.ndarray]:
     """Cases among the readings of one station in order of time, all but those of runs that reach over the ends."""
     bad = {}
     for f in FIELDS:
@@ -167,7 +174,7 @@ def judge(t: np.ndarray, sun: np.ndarray, values: dict[str, np.ndarray]) -> dict
             elif f == "rh":
                 b = (v < 0) | (v > 100)
             else:
-                b = (v < 0) | _sky(v, sun, f)
+                b = (v < 0) | _sky(v, sun, top[f])
         at = np.flatnonzero(seen)
         start, length = runs(v[at])
         for s, n in zip(start[length >= RUN], length[length >= RUN]):
@@ -176,30 +183,25 @@ def judge(t: np.ndarray, sun: np.ndarray, values: dict[str, np.ndarray]) -> dict
                 b[rows] = True
             elif f in ("radg", "radd"):
                 b[rows[sun[rows] > SUN_UP]] = True
-        if f in FLOOR:
-            ok = np.flatnonzero(seen & ~b)
-            b[ok[spikes(v[ok], t[ok], f)]] = True
+        with np.errstate(invalid="ignore"):
+            ok = np.flatnonzero(seen & ~b & ((sun > HIGH) | (f in JUMP)))
+        b[ok[spikes(v[ok], t[ok], f) if f in JUMP else hampel(v[ok] / (SOLAR_CONSTANT * sun[ok]), t[ok], f)]] = True
         bad[f] = b & seen
     with np.errstate(invalid="ignore"):
         bad["radd"] |= (values["radd"] > values["radg"]) & ~bad["radg"]
     return bad
 
 
-def _sky(v: np.ndarray, sun: np.ndarray, field: str) -> np.ndarray:
+def _sky(v: np.ndarray, sun: np.ndarray, top: float) -> np.ndarray:
     """Radiation that no sky gives with the sun at this height; false where the height is unknown."""
     above = SOLAR_CONSTANT * np.maximum(sun, 0)
-    high = sun > 0.1
-    with np.errstate(invalid="ignore", divide="ignore"):
-        part = v[high] / above[high]
-        part = part[np.isfinite(part)]
-        top = max(TOP[field], OVER * float(np.quantile(part, 0.95)) if len(part) >= 200 else 0.0)
-        top = min(top, 1.5 * TOP[field])
+    with np.errstate(invalid="ignore"):
         too_much = v > top * above + np.where(sun > SUN_DOWN, 6.0, 3.0)
-        too_little = (sun > SUN_UP) & (v < np.where(high, LEAST_HIGH, LEAST_LOW) * above)
+        too_little = (sun > SUN_UP) & (v < np.where(sun > HIGH, LEAST_HIGH, LEAST_LOW) * above)
         return too_much | too_little
 
 
-def _chunk_kernel(table: pa.Table) -> pa.Table:
+def _chunk_kernel(table: pa.Table, days: int) -> pa.Table:
     chunk = table["chunk"][0].as_py()
     station = table["station"][0].as_py()
     ids = table["reading_id"].to_numpy()
@@ -222,8 +224,8 @@ def _chunk_kernel(table: pa.Table) -> pa.Table:
         latitude = table["latitude"].to_numpy(zero_copy_only=False).astype(float)[order]
         doy = table["doy"].to_numpy(zero_copy_only=False).astype(float)[order]
         sun = sun_sine(doy, (t - day * 86400) / 3600, latitude)
-        bad = judge(t, sun, values)
-        core = np.floor(day / CHUNK_DAYS) == chunk
+        bad = judge(t, sun, values, {f: table[f"top_{f}"][0].as_py() for f in TOP})
+        core = np.floor(day / days) == chunk
     rows: list[tuple] = []
     for f in FIELDS:
         rows += [(CASE, int(i), f, None, None, None, None, None, None, None) for i in ids[bad[f] & core]]
@@ -238,7 +240,18 @@ def _chunk_kernel(table: pa.Table) -> pa.Table:
     return pa.table({n.name: pa.array(list(c), n.type) for n, c in zip(_SCHEMA, zip(*rows))}, schema=_SCHEMA)
 
 
-def implausible(readings: DataFrame, latitudes: DataFrame, keep: Iterable[str] = FIELDS) -> DataFrame:
+def _tops(rows: DataFrame) -> DataFrame:
+    """``station, top_radg, top_radd``: the largest part of the radiation above the atmosphere that the station may see."""
+    decl = F.radians(F.lit(23.45)) * F.sin(2 * np.pi * (284 + F.col("doy")) / 365)
+    lat, hour = F.radians("latitude"), F.pmod("sec", F.lit(86400.0)) / 3600
+    sun = F.sin(lat) * F.sin(decl) + F.cos(lat) * F.cos(decl) * F.cos(F.radians(15 * (hour - 12)))
+    part = lambda f: F.when(F.col("sun") > HIGH, F.col(f) / (SOLAR_CONSTANT * F.col("sun")))
+    seen = rows.select("station", sun.alias("sun"), *TOP).groupBy("station").agg(*(g(part(f)).alias(f"{n}_{f}") for f in TOP for n, g in (("n", F.count), ("q", lambda c: F.percentile_approx(c, 0.95, 1000)))))
+    own = lambda f: F.when(F.col(f"n_{f}") >= ENOUGH, OVER * F.col(f"q_{f}")).otherwise(0.0)
+    return seen.select("station", *(F.least(F.greatest(F.lit(TOP[f]), own(f)), F.lit(1.5 * TOP[f])).alias(f"top_{f}") for f in TOP))
+
+
+def implausible(readings: DataFrame, latitudes: DataFrame, keep: Iterable[str] = FIELDS, chunk_days: int = CHUNK_DAYS) -> DataFrame:
     """``reading_id, field`` of every implausible reading, each pair once.
 
     ``readings``: reading_id, station, tile, obs_time and the measured fields;
@@ -250,11 +263,12 @@ def implausible(readings: DataFrame, latitudes: DataFrame, keep: Iterable[str] =
     sec = F.unix_micros(F.col("obs_time").cast("timestamp")) / 1e6
     where = latitudes.groupBy("tile").agg(F.min("latitude").alias("latitude"))
     rows = readings.select("reading_id", F.col("station").cast("string").alias("station"), "tile", sec.alias("sec"), F.dayofyear("obs_time").alias("doy"), *clean).join(where, "tile", "left").drop("tile")
+    rows = rows.join(_tops(rows), "station", "left").fillna({f"top_{f}": top for f, top in TOP.items()})  # a null station has no course of its own
     day = F.floor(F.col("sec") / 86400)
-    chunks = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-HALO_DAYS), F.lit(HALO_DAYS)), lambda h: F.floor((day + h) / CHUNK_DAYS)))
+    chunks = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-HALO_DAYS), F.lit(HALO_DAYS)), lambda h: F.floor((day + h) / chunk_days)))
     no_time = F.array(-F.pmod(F.col("reading_id"), F.lit(64)) - F.lit(1 << 40))
     dealt = rows.withColumn("chunk", F.explode(F.when(F.col("sec").isNull(), no_time).otherwise(chunks)))
-    judged = materialize(dealt.groupBy("station", "chunk").applyInArrow(_chunk_kernel, _OUT), "judged")
+    judged = materialize(dealt.groupBy("station", "chunk").applyInArrow(lambda rows: _chunk_kernel(rows, chunk_days), _OUT), "judged")
 
     found = judged.where(F.col("kind") == CASE).select("reading_id", "field")
     line = Window.partitionBy("station", "field").orderBy("chunk", "pos")
