@@ -9,16 +9,20 @@ follow the target proportions for as long as the queues last, and the largest
 item that fits is always taken, which leaves little room: a container is closed
 only when nothing left in the partition fits it.
 
-Containers that a partition could not fill to ``full`` are opened again in the
-next round, on a fourth of the partitions, with the deficits of the partitions
-that meet there added up. The last round has one partition, which sees only what
-the rounds before could not place well.
+The number of partitions follows from the data: each holds ``TASK`` containers'
+worth of tokens, so no task grows with the corpus. Containers that a partition could
+not fill to ``full`` are opened again in the next round, on as many partitions as what is left
+needs, with the deficits of the partitions that meet there added up. When a round
+leaves more than half of what came in (as with sizes of which no two fit together), or
+one partition is enough, the round after it closes all its containers.
+
+The target proportions are those of the whole corpus, or ``target``.
 
 Defined results: an item larger than the capacity is split into whole containers
 and a rest, which is packed like any item; no other item is split. Items of size
 null, zero or less are left out. Sources may be null. Repeated ids are items of
-their own. An empty input gives no containers. The result is the same on every
-run over the same rows and number of partitions.
+their own. An empty input gives no containers. A source without a share in ``target`` is placed in the room
+that the others leave. The result is the same on every run over the same rows.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from thermaloom.session import materialize
 CAPACITY = 2048
 #: Containers filled to this share are closed for good before the last round.
 FULL = 0.995
+#: Containers' worth of tokens that one task packs.
+TASK = 4096
 
 _ITEM = "doc_id bigint, piece int, source string, start bigint, size int"
 _ROW = "kind int, container bigint, place int, " + _ITEM + ", deficit double"
@@ -102,39 +108,58 @@ def pack_queues(queues: Queues, shares: dict, deficits: dict) -> Iterator[list[t
         yield got
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, full: float = FULL, partitions: int | None = None) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, full: float = FULL, target: dict | None = None, task: int = TASK) -> DataFrame:
     """``container, place, doc_id, piece, source, start, size`` of items ``doc_id, source, size``.
 
     ``start`` is the first token of the piece in its document. Containers are
-    numbered by round, partition and turn.
+    numbered by round, partition and turn. ``target``: share of each source in the tokens of a container.
     """
-    spark = items.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sized = materialize(items.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("bigint").alias("size")).where("size > 0"), "sizes")
     # one row a source: the number of sources is that of the kinds of text, not of documents
     totals = sized.groupBy("source").agg(F.sum("size").alias("t")).collect()
-    all_tokens = sum(r.t for r in totals) or 1
-    shares = {r.source: r.t / all_tokens for r in sorted(totals, key=lambda r: str(r.source))}
+    tokens = sum(r.t for r in totals)
+    shares = {r.source: (r.t / tokens if target is None else target.get(r.source, 0.0) / sum(target.values())) for r in sorted(totals, key=lambda r: str(r.source))}
+    needed = lambda t: max(1, -(-t // (capacity * task)))
+    n = needed(tokens)
 
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / capacity).cast("int")), lambda i: F.struct(i.alias("piece"), (i.cast("bigint") * capacity).alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("size") - i.cast("bigint") * capacity).cast("int").alias("size")))
-    waiting = sized.select("doc_id", "source", F.explode(pieces).alias("x")).select(F.lit(WAITING).alias("kind"), F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("int").alias("place"), "doc_id", "x.piece", "source", "x.start", "x.size", F.lit(None).cast("double").alias("deficit"), F.pmod(F.xxhash64("doc_id", "x.piece", "source", "x.size"), F.lit(n)).cast("int").alias("part"))
+    mark = F.xxhash64("doc_id", "piece", "source", "size")  # spreads the items anew over any number of partitions
+    waiting = sized.select("doc_id", "source", F.explode(pieces).alias("x")).select(F.lit(WAITING).alias("kind"), F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("int").alias("place"), "doc_id", "x.piece", "source", "x.start", "x.size", F.lit(None).cast("double").alias("deficit"), F.lit(0).alias("part"))
     placed: list[DataFrame] = []
-    turn = 0
+    turn, last = 0, n == 1
     while True:
-        last = n == 1
-        done = waiting.repartition(n, "part").sortWithinPartitions("part", "source", "size", "doc_id", "piece").mapInArrow(_round(turn, capacity, capacity if last else full * capacity, last, shares), _ROW + ", part int")
+        dealt = waiting.withColumn("part", F.pmod(F.when(F.col("kind") == DEFICIT, F.col("part")).otherwise(mark), F.lit(n)).cast("int"))
+        done = dealt.repartition(n, "part").sortWithinPartitions("part", "source", "size", "doc_id", "piece").mapInArrow(_round(turn, capacity, capacity if last else full * capacity, last, shares), _ROW + ", part int")
         done = materialize(done, f"pack-{turn}")
         placed.append(done.where(F.col("kind") == PLACED).drop("kind", "deficit", "part"))
         if last:
             break
-        n, turn = max(1, n // 4), turn + 1
-        waiting = done.where(F.col("kind") != PLACED).withColumn("part", F.pmod("part", F.lit(n)).cast("int"))
+        waiting = done.where(F.col("kind") != PLACED)
+        left = waiting.agg(F.sum("size")).first()[0] or 0
+        last, n, turn = 2 * left > tokens or needed(left) == 1, needed(left), turn + 1
+        tokens = left
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)
     return out.select("container", "place", "doc_id", "piece", "source", "start", "size")
 
 
+def mixture(packed: DataFrame, target: dict | None = None) -> DataFrame:
+    """For each source its ``tokens``, share of all (``share``), wanted share (``target``), and how far its share in a container is off that, on average (``off``)."""
+    by = packed.groupBy("container", "source").agg(F.sum("size").alias("s"))
+    whole = by.groupBy("container").agg(F.sum("s").alias("c"))
+    total = by.groupBy("source").agg(F.sum("s").alias("tokens"))
+    rows = total.collect()  # one row a source
+    tokens, n = sum(r.tokens for r in rows) or 1, whole.count()
+    wanted = {r.source: (r.tokens / tokens if target is None else target.get(r.source, 0.0) / sum(target.values())) for r in rows}
+    want = F.lit(0.0)
+    for s, share in wanted.items():
+        want = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(share)).otherwise(want)
+    # a container without the source is off by the whole target
+    off = (F.sum(F.abs(F.col("s") / F.col("c") - F.col("target"))) + (n - F.count("*")) * F.first("target")) / n
+    return by.join(whole, "container").withColumn("target", want).groupBy("source").agg(F.sum("s").alias("tokens"), (F.sum("s") / tokens).alias("share"), F.first("target").alias("target"), off.alias("off"))
+
+
 def _round(turn: int, capacity: int, least: float, last: bool, shares: dict):
     schema = _SCHEMA.append(pa.field("part", pa.int32()))
 

@@ -47,6 +47,11 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(counts.withColumnRenamed("n_tokens", "size"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers keep the proportions of the sources."""
+    return packing.mixture(p8_packed(spark, sf_dir))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = abuse.fit(_read(spark, sf_dir, "review_labels"), docs)
@@ -70,5 +75,14 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(flagged).alias("n_flagged"), F.avg(flagged).alias("rate"), *kinds)
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_daily": p2_daily, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_daily": p2_daily, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+
+
+def _p2_sql(keys: str) -> str:
+    """Exact percentiles: what the sketches give where no group has ``quantiles.K`` values or more."""
+    at = ", ".join(f"xs[greatest(1, ceil({p}e0 * n))::bigint] as p{round(100 * p):02d}" for p in PERCENTILES)
+    return f"""select {keys.replace("recorded_at::date", "day")}, n, {at}, 0::bigint as rank_error, 0.0e0 as relative_rank_error from (
+      select {keys.replace("recorded_at::date", "recorded_at::date as day")}, count(*) n, list_sort(list(timings_s.total_s)) xs from raw_runs where timings_s.total_s is not null and not isnan(timings_s.total_s) group by {keys})"""
+
+
+SQL: dict[str, str] = {"p2_percentiles": _p2_sql("mode, case_id"), "p2_daily": _p2_sql("recorded_at::date, mode")}

@@ -6,7 +6,11 @@ certain cut: no token can span it. Texts are cut there, the fragments are encode
 independently, and their ids are concatenated. A cut is taken only where the
 splitting pattern of the tokenizer is sure to act alike on both sides: after a
 character that is no white space (its look-ahead concerns white space alone) and
-before one that is no apostrophe (which could open a contraction).
+before one that is no apostrophe (which could open a contraction). Of the certain
+cuts those are taken that leave fragments of ``FRAGMENT`` characters at least.
+
+A text is read by one task. From ``SPREAD`` characters on its pieces, made by the same cuts,
+become rows that are dealt out to all tasks, and their ids are put together again.
 
 Defined results: a null or an empty text gives an empty list. Strings that look
 like special tokens are ordinary text. Texts are never shortened.
@@ -19,16 +23,21 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thermaloom.session import materialize
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A vocabulary is broadcast; a file beyond this is refused.
 MOST_BYTES = 64 << 20
 #: Fragments shorter than this many characters are left joined: any subset of the certain cuts is right.
-FRAGMENT = 1024
+FRAGMENT = 128
+#: From this many characters on the pieces of a text go to several tasks, each of this many at least.
+SPREAD = 1 << 20
 
 _SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
 _APOSTROPHE = 39
@@ -58,8 +67,6 @@ class Encoder:
         return np.flatnonzero(sure) + 1
 
     def fragments(self, text: str, least: int = FRAGMENT) -> list[str]:
-        if len(text) < 2 * least:
-            return [text]
         cuts = self.cuts(text)
         at, out = 0, []
         for want in range(least, len(text), least):
@@ -73,16 +80,10 @@ class Encoder:
         out.append(text[at:])
         return out
 
-    def encode(self, text: str | None, least: int = FRAGMENT) -> list[int]:
+    def encode(self, text: str | None, least: int = FRAGMENT) -> np.ndarray:
         if not text:
-            return []
-        parts = self.fragments(text, least)
-        if len(parts) == 1:
-            return self.encoding.encode_ordinary(text)
-        ids: list[int] = []
-        for part in parts:
-            ids += self.encoding.encode_ordinary(part)
-        return ids
+            return np.zeros(0, dtype=np.uint32)
+        return np.concatenate([self.encoding.encode_to_numpy(part, disallowed_special=()) for part in self.fragments(text, least)])
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -105,39 +106,67 @@ def encoder_source(spark: SparkSession, vocabulary: str = VOCABULARY) -> Callabl
     return get
 
 
-def token_ids(docs: DataFrame, spark: SparkSession, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, ids`` of every document."""
-    get = encoder_source(spark, vocabulary)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 1024) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+
+
+def _encoded(rows: DataFrame, text: str, get: Callable[[], Encoder]) -> DataFrame:
+    """The other columns of ``rows`` and ``ids`` of the text column, which is put last."""
+    keep = [c for c in rows.columns if c != text]
+    thin = rows.select(*keep, F.col(text).cast("string"))
+    out = T.StructType([*thin.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = get()
         for batch in batches:
-            for part in _slices(batch):
-                ids = [encoder.encode(t.as_py()) for t in part.column(1)]
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                ids = [encoder.encode(t.as_py()) for t in part.column(len(keep))]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = pa.array(np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(offsets[-1])))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], schema=schema)
-
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id bigint, ids array<int>")
-
+                flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*keep, "ids"])
 
-def _slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+    return thin.mapInArrow(run, out)
 
 
-def token_counts(docs: DataFrame, spark: SparkSession, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns ``keep`` of every document, and ``n_tokens``."""
-    get = encoder_source(spark, vocabulary)
-    thin = docs.select(*keep, text)
-    out = T.StructType([*thin.select(*keep).schema.fields, T.StructField("n_tokens", T.LongType())])
+def _pieces(rows: DataFrame, text: str, get: Callable[[], Encoder], least: int) -> DataFrame:
+    """``row_no, seq, piece`` of each text; ``row_no`` is a number of its row."""
+    schema = pa.schema([("row_no", pa.int64()), ("seq", pa.int32()), ("piece", pa.large_string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = get()
-        for batch in batches:
-            for part in _slices(batch):
-                n = pa.array([len(encoder.encode(t.as_py())) for t in part.column(len(keep))], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], n], names=[*keep, "n_tokens"])
+        pieces = ((number.as_py(), i, x) for batch in batches for number, t in zip(*batch.columns) for i, x in enumerate(encoder.fragments(t.as_py(), least)))
+        yield from _batches(pieces, schema.set(2, pa.field("piece", pa.string())), 4)
 
-    return thin.mapInArrow(run, out)
+    return rows.select("row_no", F.col(text).cast("string")).mapInArrow(run, "row_no bigint, seq int, piece string")
+
+
+def token_ids(docs: DataFrame, spark: SparkSession, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, spread: int = SPREAD) -> DataFrame:
+    """``doc_id, ids`` of every document."""
+    return encoded(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), spark, ["doc_id"], "text", vocabulary, spread)
+
+
+def encoded(docs: DataFrame, spark: SparkSession, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY, spread: int = SPREAD, measure: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The columns ``keep`` of every document and its ``ids``, or ``measure`` of them."""
+    get = encoder_source(spark, vocabulary)
+    of = measure or (lambda ids: ids)
+    thin = docs.select(*keep, F.col(text).alias("_text"))
+    long = F.coalesce(F.length("_text"), F.lit(0)) >= spread
+    short = _encoded(thin.where(~long), "_text", get).select(*keep, of(F.col("ids")).alias("ids"))
+    numbered = materialize(thin.where(long).withColumn("row_no", F.monotonically_increasing_id()), "long")  # a number once given stays
+    parts = _encoded(_pieces(numbered, "_text", get, spread).repartition("row_no", "seq"), "piece", get).select("row_no", F.struct("seq", of(F.col("ids")).alias("ids")).alias("x"))
+    whole = parts.groupBy("row_no").agg(F.array_sort(F.collect_list("x"))["ids"].alias("xs"))
+    put = F.flatten("xs") if measure is None else F.aggregate("xs", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return short.unionByName(numbered.join(whole, "row_no").select(*keep, put.alias("ids")))
+
+
+def token_counts(docs: DataFrame, spark: SparkSession, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY, spread: int = SPREAD) -> DataFrame:
+    """The columns ``keep`` of every document, and ``n_tokens``."""
+    return encoded(docs, spark, keep, text, vocabulary, spread, lambda ids: F.size(ids).cast("bigint")).withColumnRenamed("ids", "n_tokens")
