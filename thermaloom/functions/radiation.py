@@ -29,6 +29,15 @@ SURFACE_WAVE: list[Step] = [
     ("tg", "greatest(tg_wave * ci_surface, 0.0)"),
 ]
 
+#: Global radiation under a clear sky, split by the diffuse fraction at a clearness of one, from i0, sin_alt, altitude, ta, rh.
+CLEAR_GLOBAL: list[Step] = [
+    ("clear_diffuse", "least(i0, i0 * (0.426 - 0.256 * sin_alt + 0.00349 * ta + 0.0734 * rh / 100.0))"),
+    ("clear_beam", "case when sin_alt > 1e-9 then greatest(0.0, (i0 - clear_diffuse) / sin_alt) end"),
+    ("clear_global", "case when altitude < 1.0 and clear_beam > i0 then i0 else clear_beam end * sin_alt + clear_diffuse"),
+]
+#: How far the surface warms of what a clear sky would give, corrected for a low sun.
+CI_SURFACE = "case when clear_global > 1e-6 then least(1.0, radg / clear_global + 1.0 - low_sun) else 0.0 end"
+
 #: Share of walls in shade as seen by a cylinder, from zen and svfalfa (both radians); a half where undefined.
 WEDGE: list[Step] = [
     ("wd_tan", "tan(svfalfa) * tan(zen)"),

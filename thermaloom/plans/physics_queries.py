@@ -78,7 +78,7 @@ define("k_weights", [*SITE, *radiation.k_weights()], [("kw_wall", 6), ("kw_veg",
 define("l_weights", [*SITE, *radiation.l_weights()], [("lw_wall", 6), ("lw_veg", 6), ("lw_sky", 6), ("lw_refl", 6)])
 _L = [*SITE, *radiation.CLEAR_SKY, ("ci", "0.3 + (t % 8) / 10.0"), ("tg_wall", "0.01 * radg"), *radiation.l_down()]
 define("ldown_iso", _L, [("l_down", 4)])
-_TG = [*SUNNY, ("altmax", "90.0 - abs(latitude - dec_deg)"), ("tgk", "0.37 + 0.0 * ta"), ("tstart", "-3.41 + 0.0 * ta"), ("tmax_h", "15.0"), ("ci_surface", "case when i0 > 1e-6 then least(1.0, radg / i0) end"), *radiation.SURFACE_WAVE]
+_TG = [*SUNNY, ("altmax", "90.0 - abs(latitude - dec_deg)"), ("tgk", "0.37 + 0.0 * ta"), ("tstart", "-3.41 + 0.0 * ta"), ("tmax_h", "15.0"), *radiation.CLEAR_GLOBAL, ("ci_surface", radiation.CI_SURFACE), *radiation.SURFACE_WAVE]
 define("surface_wave", _TG, [("tg_wave", 5), ("tg", 4)], where="altitude > 3.0 and abs(tmax_h - sunrise) > 0.01")
 define("night_branch", [*sky.LOCAL_SUN, ("tg", "0.0"), ("night", "altitude <= 0"), ("k_any", "case when night then 0.0 else radg end"), ("l_up", radiation.ground_flux())], [("night", None), ("k_any", 4), ("l_up", 4)], where="latitude is not null and abs(altitude) > 1e-6")
 _FLUX = [

@@ -1,31 +1,36 @@
 """From terrain, trees, land cover and forcing to mean radiant temperature, UTCI and WBGT of every cell and step.
 
-The plan is declared once; Catalyst prunes what a caller does not select. Only
-three things are not expressions: the marches (Arrow kernels over blocks), and
-the surface temperature carried from step to step, a fold over each cell's steps.
+The formulas of a step (sun, sky, clearness, humidity) and of comfort are expressions;
+the march, the carried surface temperature and the fluxes of a zone are one kernel
+(``operators/solve.py``). A cell is shuffled once for its sky view and once for each zone
+near it; what comes out is aggregated or written without another shuffle of cells and steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermaloom.functions import comfort, radiation, sky
 from thermaloom.functions.formula import Step, apply
-from thermaloom.operators import march, raster
+from thermaloom.operators import march, raster, solve
 from thermaloom.plans.bindings import cells, met
 
-#: The table of steps is broadcast if it has at most so many, and joined as any other beyond.
-MOST_STEPS = 24 * 31
+#: The table of steps is broadcast if it has at most so many rows, and joined as any other beyond.
+MOST_STEPS = 100_000
 OUTPUTS = ("tmrt", "utci", "wbgt", "lit", "k_down", "l_up")
+#: Cells around a zone that may cast shadows into it; a zone's steps are dealt to so many tasks.
+OVERLAP, PARTS = 60, 4
 
 #: What depends on the step alone.
 STEP_FORCING: list[Step] = [
     *sky.LOCAL_SUN, ("cos_alt", "cos(asin(least(1.0, greatest(-1.0, sin_alt))))"), *sky.DAY_LENGTH, *sky.CLEARNESS, *sky.diffuse_fraction(), *radiation.CLEAR_SKY,
     ("day", "altitude > 0"), ("altmax", "90.0 - abs(latitude - dec_deg)"), ("psi", "case when doy > 97 and doy < 300 then 0.03 else 0.5 end"),
-    ("ci_used", "least(coalesce(ci, 1.0), 1.0)"), ("ci_surface", "case when i0 > 1e-6 then least(1.0, radg / i0) else 0.0 end"),
+    ("ci_used", "least(coalesce(ci, 1.0), 1.0)"), *radiation.CLEAR_GLOBAL, ("ci_surface", radiation.CI_SURFACE),
     ("beam", "coalesce(direct, 0.0)"), ("scatter", "coalesce(diffuse, 0.0)"),
     ("tg_wall", "case when day then greatest((0.58 * altmax - 3.41) * sin((hour - sunrise) / (15.0 - sunrise) * pi() / 2.0) * ci_surface, 0.0) else 0.0 end"),
     ("va", "greatest(wind, 0.15)"),
@@ -33,109 +38,120 @@ STEP_FORCING: list[Step] = [
     *comfort.dew_point(), *comfort.wet_bulb(5), ("tw_c", "tw_k - 273.15"),
 ]
 
-#: What depends on cell and step, before the surface temperature is carried on.
-SURFACE: list[Step] = [
-    ("tg", "case when day then greatest((tgk * altmax + tstart) * sin((hour - sunrise) / (tmax_h - sunrise) * pi() / 2.0) * ci_surface, 0.0) else 0.0 end"),
-    ("l_up_now", f"{radiation.SBC} * emissivity * pow(tg * lit + ta + 273.15, 4.0)"),
-]
-
-#: ... and after.
-FLUXES: list[Step] = [
-    ("svfbuveg", "svf - (1.0 - svfveg) * (1.0 - 0.03)"),
-    ("svfalfa", "case when svf + svfveg - 1.0 < 1.0 - 1e-9 and svf + svfveg - 1.0 > 0 then asin(exp(ln(1.0 - (svf + svfveg - 1.0)) / 2.0)) end"),
-    *radiation.WEDGE,
-    ("diffuse", "scatter"), ("direct", "beam"), ("d_rad", "scatter * svfbuveg"),
-    ("k_down", f"case when day then {radiation.K_DOWN} else 0.0 end"),
-    ("k_up", "case when day then " + radiation.k_up("(albedo * lit)", "albedo") + " else 0.0 end"),
-    ("k_side_i", "case when day then beam * lit * cos_alt else 0.0 end"),
-    ("k_sides", "case when day then 4.0 * (0.5 * k_up + 0.5 * d_rad) else 0.0 end"),
-    ("ci", "ci_used"), *radiation.l_down(),
-    ("l_sides", "2.0 * (l_down + l_up)"),
-    ("tmrt", radiation.mean_radiant(radiation.SSTR["cyl_iso"])),
-    *comfort.UTCI, *comfort.GLOBE, ("wbgt", comfort.wbgt()),
-]
+#: What depends on the step and on tmrt.
+COMFORT: list[Step] = [*comfort.UTCI, *comfort.GLOBE, ("wbgt", comfort.wbgt())]
 
 _FORCING = ("t", "hour", "doy", "latitude", "ta", "rh", "radg", "wind", "p_kpa")
 
 
-def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Sequence[str] = ("tmrt", "utci"), scale: float = 1.0, block: int = 512, ground_only: bool = False, keys: Sequence[str] = ()) -> DataFrame:
-    """``keys, t, r, c`` and ``outputs`` for each cell and step; null in buildings, which ``ground_only`` leaves out.
+def around(cells: DataFrame, overlap: int, keep: Sequence[str], bucket: int = 64) -> DataFrame:
+    """``zone, own`` and the columns ``keep`` of the cells of each zone's extent and of ``overlap`` cells about it; ``own`` tells those of the zone itself.
 
-    Filter by place or step on the inputs, or on keys, t, r, c: a filter on an output
-    would make the optimizer write out its whole formula for the condition.
+    An equi-join on buckets of the plane, by which no cell meets a zone that is far off.
+    """
+    e = cells.groupBy("zone").agg(*(f(x).alias(f"{n}{x}") for x in "rc" for n, f in (("lo_", F.min), ("hi_", F.max))))
+    span = lambda x: F.sequence(F.floor((F.col(f"lo_{x}") - overlap) / bucket), F.floor((F.col(f"hi_{x}") + overlap) / bucket))
+    near = e.withColumn("br", F.explode(span("r"))).withColumn("bc", F.explode(span("c")))
+    own = cells.select(*keep, F.col("zone").alias("home"), F.floor(F.col("r") / bucket).alias("br"), F.floor(F.col("c") / bucket).alias("bc"))
+    inside = [F.col(x).between(F.col(f"lo_{x}") - overlap, F.col(f"hi_{x}") + overlap) for x in "rc"]
+    return own.join(near, ["br", "bc"]).where(inside[0] & inside[1]).select("zone", (F.col("home") == F.col("zone")).alias("own"), *keep)
+
+
+def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Sequence[str] = ("tmrt", "utci"), scale: float = 1.0, block: int = 512, ground_only: bool = False, keys: Sequence[str] = (), overlap: int = OVERLAP, parts: int = PARTS) -> DataFrame:
+    """``zone, keys, t, r, c`` and ``outputs`` for each cell and step of its zone; null in buildings, which ``ground_only`` leaves out.
+
+    ``city``: zone, r, c, dem, dsm, trees, lc. ``forcing``: zone, keys, t, hour, doy, latitude, ta, rh, radg, wind, p_kpa, one row a step;
+    ``keys`` tell apart series of steps (days), between which nothing is carried. A zone is solved by ``parts`` tasks, a series by one;
+    it should hold some 1,000 by 1,000 cells at most, as it is one array. Steps without a latitude or a measure give no rows.
 
-    ``city``: r, c, dem, dsm, trees, lc. ``forcing``: keys, t, hour, doy, latitude, ta, rh, radg, wind, p_kpa, one row a step;
-    ``keys`` tell apart series of steps (a station's day), each of which goes over all cells.
+    Filter by place or step on the inputs, or on zone, keys, t, r, c: a filter on an output
+    would make the optimizer write out its whole formula for the condition.
     """
     unknown = set(outputs) - set(OUTPUTS)
     if unknown:
         raise ValueError(f"unknown outputs: {sorted(unknown)}")
     spark = city.sparkSession
-    if not keys:
-        forcing, series = forcing.withColumn("series", F.lit(0)), ["series"]
-    else:
-        series = list(keys)
-    at = [*series, "t"]
-    steps = apply(forcing.select(*series, *_FORCING), STEP_FORCING)
-    few = forcing.limit(MOST_STEPS + 1).count() <= MOST_STEPS
-    with_steps = lambda rows: rows.join(F.broadcast(steps) if few else steps, at)
+    at = ["zone", *keys, "t"]
+    needed = ("hour", "doy", "latitude", "ta", "rh", "radg", "wind")
+    steps = apply(forcing.dropna(subset=list(needed)).select("zone", *keys, *_FORCING), STEP_FORCING)
     layered = raster.layers(city)
-    lit = march.sun_blocks(layered, steps.select(*at, "hour", "azimuth", "altitude"), series, top, block, scale)
-    view = march.sky_view_blocks(layered, top, block, scale).select("r", "c", "svf", F.col("veg").alias("svfveg"), F.col("aveg").alias("svfaveg"))
+    view = march.sky_view_blocks(layered, top, block, scale).select("r", "c", *(x for x in march.SKY if x != "total"))
     props = raster.land_cover_properties(spark)  # seven rows
-    ground = layered.select("r", "c", "ground", raster.clean_land_cover(F.col("lc")).cast("int").alias("lc")).join(F.broadcast(props), "lc", "left").join(view, ["r", "c"])
-    if ground_only:
-        ground = ground.where("ground = 1")
-    static = ["r", "c", "ground", "albedo", "emissivity", "tgk", "tstart", "tmax_h", "svf", "svfveg", "svfaveg"]
-    rows = with_steps(ground.select(*static).join(lit, ["r", "c"]))
-    rows = apply(rows.withColumn("lit", F.when(F.col("day"), F.greatest(F.col("sh") - (1 - F.col("vegsh")) * (1 - F.col("psi")), F.lit(0.0))).otherwise(0.0)), SURFACE)
-    folded = carried(rows.select(*series, *static, "t", "hour", "lit", "day", F.col("l_up_now").alias("x")), [*series, *static])
-    out = apply(with_steps(folded.drop("day")), FLUXES)
-    return out.select(*keys, "t", "r", "c", *(F.when(F.col("ground") == 1, F.col(o)).alias(o) for o in outputs))
-
+    seen = layered.select("zone", "r", "c", "ground", "dsm", "vegdsm", "vegdsm2", raster.clean_land_cover(F.col("lc")).cast("int").alias("lc")).join(F.broadcast(props), "lc", "left").join(view, ["r", "c"])
+    number = lambda c: F.col(c).cast("double").alias(c)
+    near = around(seen, overlap, ["r", "c", "dsm", "vegdsm", "vegdsm2", *solve.STATIC])
+    dealt = near.select("zone", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "own", "r", "c", *(number(x) for x in ("dsm", "vegdsm", "vegdsm2", *solve.STATIC)))
+    suns = steps.select("zone", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(parts)).cast("int").alias("part"), *keys, "t", *(number(x) for x in solve.STEP))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in suns.select(*at).schema)
+
+    def zone(t: pa.Table, sky_: pa.Table) -> pa.Table:
+        own = t["own"].to_numpy(zero_copy_only=False).astype(bool) if len(t) else np.zeros(0, bool)
+        if ground_only and len(t):
+            own &= t["ground"].to_numpy() == 1
+        n = sky_.num_rows
+        found = {o: np.zeros((n, 0)) for o in solve.OUT}
+        r, c = (t[x].to_numpy() if len(t) else np.zeros(0, np.int32) for x in "rc")
+        order = [(x, "ascending") for x in (*keys, "t")]
+        sky_ = sky_.sort_by(order) if n else sky_
+        if own.any() and n:
+            r0, c0 = r.min(), c.min()
+            planes = []
+            for p in ("dsm", "vegdsm", "vegdsm2"):
+                g = np.zeros((int(r.max() - r0 + 1), int(c.max() - c0 + 1)))
+                g[r - r0, c - c0] = np.nan_to_num(t[p].to_numpy())
+                planes.append(g)
+            static = {x: t[x].to_numpy(zero_copy_only=False)[own] for x in solve.STATIC}
+            series = list(zip(*(sky_[k].to_pylist() for k in keys))) if keys else [()] * n
+            found = solve.solve(planes, (r[own] - r0, c[own] - c0), static, sky_.select(list(solve.STEP)).to_pylist(), series, top, scale)
+        m = int(own.sum()) if n else 0
+        out = sky_.select(at).take(pa.array(np.repeat(np.arange(n), m), pa.int64()))
+        for name, v in (("r", np.tile(r[own], n) if n else r[:0]), ("c", np.tile(c[own], n) if n else c[:0]), ("ground", np.tile(t["ground"].to_numpy()[own], n) if n and len(t) else np.zeros(0)), *((o, found[o].ravel()) for o in solve.OUT)):
+            out = out.append_column(name, pa.array(v, pa.int32() if name in "rc" else pa.float64()))
+        return out
+
+    by = ["zone", "part"]
+    solved = dealt.groupBy(*by).cogroup(suns.groupBy(*by)).applyInArrow(zone, f"{types}, r int, c int, ground double, " + ", ".join(f"{o} double" for o in solve.OUT))
+    air = [c for c in steps.columns if c not in (*at, *solve.OUT)]
+    few = steps.limit(MOST_STEPS + 1).count() <= MOST_STEPS
+    rows = solved.join(F.broadcast(steps.select(*at, *air)) if few else steps.select(*at, *air), at)
+    out = apply(rows, COMFORT)
+    return out.select("zone", *keys, "t", "r", "c", *(F.when(F.col("ground") == 1, F.col(o)).alias(o) for o in outputs))
 
-def carried(rows: DataFrame, static: Sequence[str]) -> DataFrame:
-    """``x`` of each cell carried over its day: a step keeps exp(-33.27 dt) of the state, dt days before it; nights begin anew.
 
-    The state is renewed by a step that comes 59 minutes or more after it, as in the reference's wave delay.
-
-    ``rows``: static columns, t, hour, lit, day, x; gives ``l_up`` in place of hour and x.
-    """
-    g = rows.groupBy(*static).agg(F.array_sort(F.collect_list(F.struct("t", "hour", "lit", "day", "x"))).alias("xs"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(None).cast("double").alias("since"), F.array().cast("array<double>").alias("out"))
+# -- queries ------------------------------------------------------------------------------------------
+#: Rows of the city that make a zone.
+ZONE_ROWS = 32
 
-    def fold(acc, e):
-        gap = F.pmod(e["hour"] - acc["since"], F.lit(24.0))
-        keep = F.exp(-33.27 / 24 * gap)
-        first = acc["last"].isNull()
-        now = F.when(e["day"] & ~first, e["x"] * (1 - keep) + acc["last"] * keep).otherwise(e["x"])
-        renew = first | (gap >= 59 / 60 - 1e-9)
-        state = lambda new, old: F.when(e["day"], F.when(renew, new).otherwise(old))
-        return F.struct(state(now, acc["last"]).alias("last"), state(e["hour"], acc["since"]).alias("since"), F.concat(acc["out"], F.array(now)).alias("out"))
 
-    z = g.withColumn("z", F.aggregate("xs", start, fold)["out"])
-    e = z.withColumn("e", F.explode(F.zip_with("xs", "z", lambda a, b: F.struct(a["t"].alias("t"), a["lit"].alias("lit"), a["day"].alias("day"), b.alias("l_up")))))
-    return e.select(*static, "e.t", "e.lit", "e.day", "e.l_up")
+def _mean_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean day of each month in each tile, hour by hour, over all plausible readings of the tile's stations."""
+    m = met(spark, sf_dir).where("ta between -60 and 60 and rh between 1 and 100 and radg between 0 and 1300 and wind between 0 and 60 and latitude is not null")
+    mean = [F.avg(c).alias(c) for c in ("ta", "rh", "radg", "wind", "p_kpa")]
+    return m.groupBy("tile", F.month("obs_time").alias("month"), F.col("it").cast("int").alias("t")).agg(*mean, F.round(F.avg("doy")).alias("doy"), F.min("latitude").alias("latitude")).withColumn("hour", F.col("t") + 0.5)
 
 
-# -- queries ------------------------------------------------------------------------------------------
-def _station_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The usable steps of every station and day; ``t`` is the minute of the day."""
-    m = met(spark, sf_dir).where("ta between -60 and 60 and rh between 1 and 100 and radg between 0 and 1300 and wind between 0 and 60 and latitude is not null")
-    m = m.withColumn("date", F.to_date("obs_time"))
-    return m.groupBy("station", "date", (F.col("it") * 60 + F.col("imin")).cast("int").alias("t")).agg(*(F.min(c).alias(c) for c in ("hour", "doy", "latitude", "ta", "rh", "radg", "wind", "p_kpa")))
+def _zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The city in zones, and the mean days of the tile whose forcing each zone has: the tiles with stations, in turn."""
+    days = _mean_days(spark, sf_dir)
+    tiles = sorted(r.tile for r in days.select("tile").distinct().collect())  # the grid has 48
+    city = cells(spark, sf_dir).withColumn("zone", F.floor(F.col("r") / ZONE_ROWS).cast("int"))
+    which = city.select("zone").distinct().withColumn("tile", F.element_at(F.array(*map(F.lit, tiles)), (F.col("zone") % len(tiles) + 1).cast("int"))) if tiles else city.select("zone", F.lit(None).cast("string").alias("tile")).limit(0)
+    return city, which.join(days, "tile")
 
 
 def comfort_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean radiant temperature, UTCI and WBGT of every cell in every step of every station's days."""
-    out = thermal_comfort(cells(spark, sf_dir), _station_days(spark, sf_dir), 26.0, ("tmrt", "utci", "wbgt"), keys=("station", "date"))
-    return out.select("station", "date", "t", "r", "c", *(F.round(x, 4).alias(x) for x in ("tmrt", "utci", "wbgt")))
+    """Mean and largest mean radiant temperature, UTCI and WBGT of every ground cell over the hours of each month's mean day."""
+    city, forcing = _zones(spark, sf_dir)
+    out = thermal_comfort(city, forcing, 26.0, ("tmrt", "utci", "wbgt"), ground_only=True, keys=("month",))
+    mean = [g(x).alias(f"{n}_{x}") for x in ("tmrt", "utci", "wbgt") for n, g in (("mean", F.avg), ("max", F.max))]
+    return out.groupBy("r", "c", "month").agg(F.count("*").alias("hours"), *mean).select("r", "c", "month", "hours", *(F.round(f"{n}_{x}", 3).alias(f"{n}_{x}") for x in ("tmrt", "utci", "wbgt") for n in ("mean", "max")))
 
 
 def comfort_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many ground cells are in each heat-stress class in each step of every station's days."""
-    out = thermal_comfort(cells(spark, sf_dir), _station_days(spark, sf_dir), 26.0, ("utci", "tmrt"), ground_only=True, keys=("station", "date"))
-    return out.withColumn("stress", F.expr(comfort.utci_class())).groupBy("station", "date", "t", "stress").agg(F.count("*").alias("cells"), F.round(F.avg("utci"), 3).alias("mean_utci"), F.round(F.max("tmrt"), 3).alias("max_tmrt")).orderBy("station", "date", "t", "stress")
+    """How many ground cells are in each heat-stress class in each hour of each month's mean day."""
+    city, forcing = _zones(spark, sf_dir)
+    out = thermal_comfort(city, forcing, 26.0, ("utci", "tmrt"), ground_only=True, keys=("month",))
+    return out.withColumn("stress", F.expr(comfort.utci_class())).groupBy("month", "t", "stress").agg(F.count("*").alias("cells"), F.round(F.avg("utci"), 3).alias("mean_utci"), F.round(F.max("tmrt"), 3).alias("max_tmrt")).orderBy("month", "t", "stress")
 
 
 QUERIES = {"comfort_cells": comfort_cells, "comfort_by_hour": comfort_by_hour}
