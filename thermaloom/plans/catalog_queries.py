@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thermaloom.operators import collab, incremental, raster
+from thermaloom.operators.engine import ranked
 from thermaloom.plans.bindings import CELLS_SQL, MET_SQL, OPS_SQL, cells, met, ops
 from thermaloom.session import table
 
@@ -189,18 +190,6 @@ def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(rows, ["source_family"], "span", ["received_at", "workspace_id", "server_sequence"]).select("workspace_id", "server_sequence", "position", "queue")
 
 
-def ranked(rows: DataFrame, keys: list[str], span: str, order: list[str]) -> DataFrame:
-    """Rank within large groups: the rows of earlier spans are counted first, so that only the rows of one span are sorted together.
-
-    ``span`` must not decrease in the order. Adds ``position`` (from 1) and ``queue``, the size of the group.
-    """
-    per = rows.groupBy(*keys, span).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    before = per.select(*keys, span, (F.sum("n").over(w.orderBy(span).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(w).alias("queue"))
-    inside = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys, span).orderBy(*order)))
-    return inside.join(before, [*keys, span]).withColumn("position", F.col("before") + F.col("place")).drop("before", "place")
-
-
 @query(OP + ", b as (select workspace_id, source_family, server_sequence, cast(json_extract(payload, '$.time_start') as int) t0, cast(json_extract(payload, '$.time_stop') as int) t1 from op) select workspace_id, server_sequence, case when source_family in ('vegetation_geometry', 'building_geometry', 'landcover_surface') then 'ALL' when t0 is null then 'ALL' when t0 = t1 then 'ONE' when source_family = 'meteorological_forcing' then 'REPLAY' else 'RANGE' end as scope, coalesce(case when source_family = 'meteorological_forcing' then 23 else t1 end, 23) - coalesce(t0, 0) + 1 as steps from b")
 def temporal_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps that an operation makes stale: one, a range, all after it, or all."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermaloom.plans import catalog_queries, datasets, log_queries, physics_queries, pipeline, raster_queries, stream_queries
+from thermaloom.plans import catalog_queries, datasets, engine_queries, log_queries, physics_queries, pipeline, raster_queries, stream_queries
 
-MODULES = (datasets, physics_queries, raster_queries, log_queries, catalog_queries, stream_queries, pipeline)
+MODULES = (datasets, physics_queries, raster_queries, log_queries, catalog_queries, engine_queries, stream_queries, pipeline)
 
 
 def queries() -> dict:
