@@ -54,27 +54,30 @@ class Encoder:
         for token in ranks:
             codes = np.frombuffer(token, dtype=np.uint8)
             self.inside[codes[:-1], codes[1:]] = True
+        self.space = np.zeros(0x110000, dtype=bool)
+        self.space[_SPACES] = True
         self.encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def cuts(self, text: str) -> np.ndarray:
         """Positions (in characters) before which the text may be cut."""
         if len(text) < 2:
             return np.zeros(0, dtype=np.int64)
-        cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        last = np.where(cp < 0x80, cp, 0x80 | (cp & 0x3F))[:-1]
-        first = np.where(cp < 0x80, cp, np.where(cp < 0x800, 0xC0 | (cp >> 6), np.where(cp < 0x10000, 0xE0 | (cp >> 12), 0xF0 | (cp >> 18))))[1:]
-        sure = ~self.inside[last, first] & (cp[1:] != _APOSTROPHE) & ~np.isin(cp[:-1], _SPACES)
+        if text.isascii():
+            cp = np.frombuffer(text.encode(), dtype=np.uint8)
+            before, first = cp[:-1], cp[1:]
+        else:
+            cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+            before = np.where(cp < 0x80, cp, 0x80 | (cp & 0x3F))[:-1]
+            first = np.where(cp < 0x80, cp, np.where(cp < 0x800, 0xC0 | (cp >> 6), np.where(cp < 0x10000, 0xE0 | (cp >> 12), 0xF0 | (cp >> 18))))[1:]
+        sure = ~self.inside[before, first] & (cp[1:] != _APOSTROPHE) & ~self.space[cp[:-1]]
         return np.flatnonzero(sure) + 1
 
     def fragments(self, text: str, least: int = FRAGMENT) -> list[str]:
+        if len(text) <= least:
+            return [text]
         cuts = self.cuts(text)
         at, out = 0, []
-        for want in range(least, len(text), least):
-            if want < at + least:
-                continue
-            i = int(np.searchsorted(cuts, want))
-            if i == len(cuts):
-                break
+        while (i := int(np.searchsorted(cuts, at + least))) < len(cuts):
             out.append(text[at : cuts[i]])
             at = int(cuts[i])
         out.append(text[at:])
@@ -82,8 +85,9 @@ class Encoder:
 
     def encode(self, text: str | None, least: int = FRAGMENT) -> np.ndarray:
         if not text:
-            return np.zeros(0, dtype=np.uint32)
-        return np.concatenate([self.encoding.encode_to_numpy(part, disallowed_special=()) for part in self.fragments(text, least)])
+            return np.zeros(0, dtype=np.int32)
+        encode = self.encoding.encode_ordinary
+        return np.concatenate([np.array(encode(part), dtype=np.int32) for part in self.fragments(text, least)])
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -130,7 +134,7 @@ def _encoded(rows: DataFrame, text: str, get: Callable[[], Encoder]) -> DataFram
                 part = batch.slice(i, 1024)
                 ids = [encoder.encode(t.as_py()) for t in part.column(len(keep))]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
+                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*keep, "ids"])
 
     return thin.mapInArrow(run, out)
