@@ -102,16 +102,26 @@ def patches(option: int = 2) -> list[tuple[float, float, int, float, float]]:
     return [(alt, (azi + k * 360.0 / n) % 360.0 if azi + k * 360.0 / n > 360.0 else azi + k * 360.0 / n, n, lo, hi) for _, alt, azi, n, lo, hi in bands(option) for k in range(n)]
 
 
+#: Planes of a march: buildings, vegetation, vegetation before buildings.
+KINDS = ("svf", "veg", "aveg")
+#: Patches of the sky are marched in so many groups.
+GROUPS = 8
+#: Which patches of a group a cell sees, a bit each (below 2**53, so a double holds them), by kind and group.
+BITS = tuple(f"{kind}_bits{g}" for kind in KINDS for g in range(GROUPS))
+
+
 def sky_sums(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, top: float, scale: float, option: int, reach: tuple[int, int], some: Sequence[tuple]) -> dict[str, np.ndarray]:
-    """Weighted sums of what is visible over some patches of the sky, for buildings, vegetation, vegetation before buildings, all round and by side."""
-    out = {f"{kind}{side}": np.zeros(dsm.shape) for kind in ("svf", "veg", "aveg") for side in ("", "_e", "_s", "_w", "_n")}
-    for alt, azi, n, lo, hi in some:
+    """Weighted sums of what is visible over some patches of the sky, for buildings, vegetation, vegetation before buildings, all round and by side, and the patches themselves as bits."""
+    out = {f"{kind}_bits": np.zeros(dsm.shape) for kind in KINDS}
+    out |= {f"{kind}{side}": np.zeros(dsm.shape) for kind in ("svf", "veg", "aveg") for side in ("", "_e", "_s", "_w", "_n")}
+    for i, (alt, azi, n, lo, hi) in enumerate(some):
         planes = shadows(dsm, veg, trunk, step_table(azi, alt, top, *reach, scale))
         all_w = sum(annulus(k, n) for k in np.arange(lo + 1, hi + 1))
         half_w = sum(annulus(k, math.ceil(n / 2)) for k in np.arange(lo + 1, hi + 1))
         sides = [s for s, yes in (("_e", 0 <= azi < 180), ("_s", 90 <= azi < 270), ("_w", 180 <= azi < 360), ("_n", azi >= 270 or azi < 90)) if yes]
         for kind, plane in zip(("svf", "veg", "aveg"), planes):
             out[kind] += all_w * plane
+            out[kind + "_bits"] += plane * 2.0**i
             for s in sides:
                 out[kind + s] += half_w * plane
     return out
@@ -125,7 +135,7 @@ def sky_view(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, top: float, sc
         out["svf" + s] += LOW_ANNULI
         out["veg" + s] += bare
         out["aveg" + s] += bare
-    out = {k: np.minimum(v, 1.0) for k, v in out.items()}
+    out = {k: np.minimum(v, 1.0) for k, v in out.items() if not k.endswith("_bits")}
     out["total"] = out["svf"] - (1 - out["veg"]) * (1 - TRANSMISSION)
     return out
 
@@ -303,11 +313,13 @@ _PARTS = tuple(f"{kind}{side}" for kind in ("svf", "veg", "aveg") for side in ("
 SKY = (*_PARTS, "total")
 
 
-def sky_view_blocks(cells: DataFrame, top: float, size: int = 512, scale: float = 1.0, option: int = 2, groups: int = 8) -> DataFrame:
+def sky_view_blocks(cells: DataFrame, top: float, size: int = 512, scale: float = 1.0, option: int = 2) -> DataFrame:
     """Sky view factors of a raster with dsm, vegdsm, vegdsm2.
 
     The patches of the sky are dealt out in groups, so a block is marched by as many tasks, and their sums are added.
+    ``BITS`` tell which patches each cell sees; ``visible`` unpacks them.
     """
+    groups = GROUPS
     halo = reach_of(top, min(a for _, a, *_ in bands(option)), scale)
     total = F.least(F.col("svf"), F.lit(1.0)) - (1 - F.least(F.col("veg"), F.lit(1.0))) * (1 - TRANSMISSION)
 
@@ -316,12 +328,27 @@ def sky_view_blocks(cells: DataFrame, top: float, size: int = 512, scale: float
         if group == 0:
             for p in ("veg_s", "veg_w", "aveg_s", "aveg_w"):
                 sums[p] += np.where(g["vegdsm2"] == 0, LOW_ANNULI, 0.0)
-        return sums
+        return sums | {"group": np.full(g["dsm"].shape, float(group))}
 
-    parts = over_blocks(cells, ("dsm", "vegdsm", "vegdsm2"), kernel, _PARTS, halo, size, groups)
-    sums = parts.groupBy("r", "c").agg(*(F.sum(p).alias(p) for p in _PARTS))
+    parts = over_blocks(cells, ("dsm", "vegdsm", "vegdsm2"), kernel, (*_PARTS, *(f"{k}_bits" for k in KINDS), "group"), halo, size, groups)
+    seen = (F.sum(F.when(F.col("group") == g, F.col(f"{k}_bits"))).alias(f"{k}_bits{g}") for k in KINDS for g in range(groups))
+    sums = parts.groupBy("r", "c").agg(*(F.sum(p).alias(p) for p in _PARTS), *seen)
     low = {"svf_s": LOW_ANNULI, "svf_w": LOW_ANNULI}
-    return sums.select("r", "c", *(F.least(F.col(p) + low.get(p, 0.0), F.lit(1.0)).alias(p) for p in _PARTS), total.alias("total"))
+    return sums.select("r", "c", *(F.least(F.col(p) + low.get(p, 0.0), F.lit(1.0)).alias(p) for p in _PARTS), total.alias("total"), *BITS)
+
+
+def visible(bits: dict[str, np.ndarray], option: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Planes (cell, patch) of the patches that buildings, vegetation and vegetation before buildings leave open, from ``BITS``."""
+    n = len(patches(option))
+    out = []
+    for kind in KINDS:
+        plane = np.zeros((len(bits[f"{kind}_bits0"]), n), bool)
+        for g in range(GROUPS):
+            word = bits[f"{kind}_bits{g}"].astype(np.int64)
+            for j, patch in enumerate(range(g, n, GROUPS)):
+                plane[:, patch] = word >> j & 1
+        out.append(plane)
+    return tuple(out)
 
 
 def wall_light_blocks(cells: DataFrame, azimuth: float, altitude: float, top: float, size: int = 512) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from thermaloom.functions import radiation as rad
-from thermaloom.operators.march import TRANSMISSION, shadows
+from thermaloom.operators.march import BITS, TRANSMISSION, patches, shadows, visible
 from thermaloom.operators.raster import step_table
 
 SBC = float(rad.SBC)
@@ -22,7 +22,9 @@ SIDES = {"e": 180.0, "s": 270.0, "w": 0.0, "n": 90.0}
 #: Decay of the surface temperature, a day, and the gap from which a step renews the state, in hours.
 DECAY, RENEW = 33.27, 59 / 60 - 1e-9
 STATIC = ("ground", "albedo", "emissivity", "tgk", "tstart", "tmax_h", "svf", "veg", "aveg", *(f"{k}_{s}" for k in ("svf", "veg", "aveg") for s in SIDES))
-STEP = ("hour", "altitude", "azimuth", "zen", "sin_alt", "cos_alt", "sunrise", "altmax", "psi", "ci_surface", "ci_used", "esky", "ta", "radg", "beam", "scatter", "tg_wall")
+#: Parameters of the luminance of the sky, null where it is alike all over.
+PEREZ = ("px_a", "px_b", "px_c", "px_d", "px_e")
+STEP = (*PEREZ, "hour", "altitude", "azimuth", "zen", "sin_alt", "cos_alt", "sunrise", "altmax", "psi", "ci_surface", "ci_used", "esky", "ta", "radg", "beam", "scatter", "tg_wall")
 OUT = ("lit", "l_up", "k_down", "tmrt")
 
 
@@ -65,6 +67,83 @@ class Site:
             self.l[x] = (behind, open_ / total, (total - open_) / total, veg + svf - 1, alfa)
 
 
+class Dome:
+    """The sky and what stands before it, patch by patch, for the cells of a zone."""
+
+    def __init__(self, bits: dict[str, np.ndarray], svf: np.ndarray, option: int = 2) -> None:
+        p = patches(option)
+        self.alt, self.azi = np.radians([x[0] for x in p]), np.array([x[1] for x in p])
+        count, first = np.array([x[2] for x in p]), self.alt[0]
+        below = np.concatenate([[0.0], self.alt[:-1]])
+        wide = np.sin(self.alt + first) - np.sin(self.alt - first)
+        self.solid = 2 * np.pi / count * np.where(count > 1, wide, np.sin(self.alt) - np.sin(below + first))
+        self.side, self.down = self.solid * np.cos(self.alt), self.solid * np.sin(self.alt)
+        sh, veg, behind = visible(bits, option)
+        self.open_ = (sh - (1.0 - veg) * (1 - TRANSMISSION)).astype(np.float64)
+        self.wall = ~sh & behind
+        toward = np.stack([self.side, self.down], axis=1)
+        self.green = (~veg | ~behind) @ toward
+        self.walls = self.wall @ toward
+        self.mirror = (~sh | ~veg | ~behind) @ toward
+        # the emissivity of the sky is that of a band
+        bands, at = np.unique(self.alt, return_inverse=True)
+        one = np.eye(len(bands))[at]
+        self.sky_side, self.sky_down = (sh & veg) @ (one * self.side[:, None]), (sh & veg) @ (one * self.down[:, None])
+        self.path = 1 / np.cos(np.pi / 2 - bands)
+        with np.errstate(invalid="ignore"):
+            self.rise = np.tan(np.arccos(np.sqrt(np.clip(svf, 0, 1))))
+
+    def luminance(self, step: dict) -> np.ndarray:
+        """Share of each patch in the diffuse light."""
+        if any(step[x] is None for x in PEREZ):
+            return np.full(len(self.alt), 1 / len(self.alt))
+        a, b, c, d, e = (step[x] for x in PEREZ)
+        towards = np.sin(self.alt) * step["sin_alt"] + step["cos_alt"] * np.cos(self.alt) * np.cos(np.radians(self.azi - step["azimuth"]))
+        with np.errstate(over="ignore"):
+            bright = (1 + a * np.exp(b / np.maximum(np.sin(self.alt), 1e-9))) * (1 + c * np.exp(d * np.arccos(np.clip(towards, -1, 1))) + e * towards**2)
+        return bright / bright.sum()
+
+    def lit(self, step: dict, facing: bool) -> np.ndarray:
+        """(cell, side and down) of the walls that the sun lights; with ``facing`` only those opposite to it."""
+        turn = np.abs(step["azimuth"] - self.azi)
+        least = np.minimum(2 * np.cos(np.radians(turn)) * np.tan(np.radians(step["altitude"])), 0.0)
+        clear = self.rise[:, None] < np.tan(self.alt) - least
+        which = (turn > 90) & (turn < 270) if facing else np.ones(len(turn), bool)
+        return (clear & self.wall) @ (np.stack([self.side, self.down], axis=1) * which[:, None])
+
+
+def anisotropic(site: Site, dome: Dome, step: dict, lit: np.ndarray, l_up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Downward short wave and mean radiant temperature under a sky that is brighter here than there."""
+    s, day = site.s, step["altitude"] > 0
+    ta = step["ta"] + 273.15
+    ew, aw = rad.EMIS_WALL, rad.ALBEDO_WALL
+    k_down = k_up = k_side = np.zeros(len(lit))
+    if day:
+        share = shaded_share(step["zen"], site.alfa)
+        reflected = aw * (1 - site.buveg) * (step["radg"] * (1 - share) + step["scatter"] * share)
+        bright = dome.luminance(step)
+        total = (bright * dome.down).sum()
+        sky, beside = (dome.open_ @ np.stack([bright, bright * dome.side / total], axis=1)).T * step["scatter"]
+        k_down = step["beam"] * lit * step["sin_alt"] + sky + reflected
+        k_up = s["albedo"] * lit * step["beam"] * step["sin_alt"] + (step["scatter"] * site.buveg + reflected) * s["albedo"]
+        dark = aw * step["scatter"] * 0.5 / np.pi
+        sunny = (aw * step["beam"] * step["cos_alt"] + step["scatter"] * 0.5) / np.pi
+        on = dome.lit(step, False)[:, 0]
+        k_side = step["beam"] * lit * step["cos_alt"] + beside + dark * dome.green[:, 0] + sunny * on + dark * (dome.walls[:, 0] - on)
+    ci = step["ci_used"]
+    esky = ci * step["esky"] + 1 - ci if ci < 0.95 else step["esky"]
+    air = SBC * ta**4
+    from_sky = (1 - (1 - esky) * np.exp(0.308 * (1.7 - dome.path))) * air / np.pi
+    sky_side, sky_down = dome.sky_side @ from_sky, dome.sky_down @ from_sky
+    cold, warm = ew * air / np.pi, ew * SBC * (ta + step["tg_wall"]) ** 4 / np.pi
+    hot = dome.lit(step, True) if day else np.zeros((len(lit), 2))
+    back = (sky_down + l_up) * (1 - ew) * 0.5 / np.pi
+    l_side, l_down = (sky + cold * dome.green[:, i] + warm * hot[:, i] + cold * (dome.walls[:, i] - hot[:, i]) + back * dome.mirror[:, i] for i, sky in ((0, sky_side), (1, sky_down)))
+    absorbed = rad.ABS_K * (k_side * rad.F_CYL + (k_down + k_up) * rad.F_UP + 2 * k_up * rad.F_SIDE) + rad.ABS_L * ((l_down + l_up) * rad.F_UP + l_side * rad.F_CYL + 2 * l_up * rad.F_SIDE)
+    with np.errstate(invalid="ignore"):
+        return k_down, (absorbed / (rad.ABS_L * SBC)) ** 0.25 - 273.2
+
+
 def fluxes(site: Site, step: dict, lit: np.ndarray, l_up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Downward short wave and mean radiant temperature under an isotropic sky."""
     s, day = site.s, step["altitude"] > 0
@@ -105,13 +184,15 @@ def fluxes(site: Site, step: dict, lit: np.ndarray, l_up: np.ndarray) -> tuple[n
         return k_down, (absorbed / (rad.ABS_L * SBC)) ** 0.25 - 273.2
 
 
-def solve(planes: Sequence[np.ndarray], at: tuple[np.ndarray, np.ndarray], static: dict[str, np.ndarray], steps: Sequence[dict], series: Sequence, top: float, scale: float = 1.0) -> dict[str, np.ndarray]:
+def solve(planes: Sequence[np.ndarray], at: tuple[np.ndarray, np.ndarray], static: dict[str, np.ndarray], steps: Sequence[dict], series: Sequence, top: float, scale: float = 1.0, bits: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """``OUT`` of the cells ``at`` in each step, an array (step, cell) each.
 
     ``planes``: dsm, vegdsm, vegdsm2 of the zone with what lies around it; ``steps`` in order
-    of time within each of ``series``, for which the carried state begins anew.
+    of time within each of ``series``, for which the carried state begins anew. With ``bits``, the
+    patches that the cells see, the sky is anisotropic.
     """
     site, n, m = Site(static), len(steps), len(at[0])
+    dome = Dome(bits, static["svf"]) if bits is not None else None
     out = {o: np.zeros((n, m)) for o in OUT}
     reach = planes[0].shape
     last = since = None
@@ -138,5 +219,5 @@ def solve(planes: Sequence[np.ndarray], at: tuple[np.ndarray, np.ndarray], stati
         else:
             last = since = None
         out["lit"][i], out["l_up"][i] = lit, now
-        out["k_down"][i], out["tmrt"][i] = fluxes(site, step, lit, now)
+        out["k_down"][i], out["tmrt"][i] = fluxes(site, step, lit, now) if dome is None else anisotropic(site, dome, step, lit, now)
     return out

@@ -28,7 +28,7 @@ OVERLAP, PARTS = 60, 4
 
 #: What depends on the step alone.
 STEP_FORCING: list[Step] = [
-    *sky.LOCAL_SUN, ("cos_alt", "cos(asin(least(1.0, greatest(-1.0, sin_alt))))"), *sky.DAY_LENGTH, *sky.CLEARNESS, *sky.diffuse_fraction(), *radiation.CLEAR_SKY,
+    *sky.LOCAL_SUN, ("cos_alt", "cos(asin(least(1.0, greatest(-1.0, sin_alt))))"), *sky.DAY_LENGTH, *sky.CLEARNESS, *sky.diffuse_fraction(), *sky.PEREZ_STEPS, *radiation.CLEAR_SKY,
     ("day", "altitude > 0"), ("altmax", "90.0 - abs(latitude - dec_deg)"), ("psi", "case when doy > 97 and doy < 300 then 0.03 else 0.5 end"),
     ("ci_used", "least(coalesce(ci, 1.0), 1.0)"), *radiation.CLEAR_GLOBAL, ("ci_surface", radiation.CI_SURFACE),
     ("beam", "coalesce(direct, 0.0)"), ("scatter", "coalesce(diffuse, 0.0)"),
@@ -57,13 +57,15 @@ def around(cells: DataFrame, overlap: int, keep: Sequence[str], bucket: int = 64
     return own.join(near, ["br", "bc"]).where(inside[0] & inside[1]).select("zone", (F.col("home") == F.col("zone")).alias("own"), *keep)
 
 
-def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Sequence[str] = ("tmrt", "utci"), scale: float = 1.0, block: int = 512, ground_only: bool = False, keys: Sequence[str] = (), overlap: int = OVERLAP, parts: int = PARTS) -> DataFrame:
+def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Sequence[str] = ("tmrt", "utci"), scale: float = 1.0, block: int = 512, ground_only: bool = False, keys: Sequence[str] = (), overlap: int = OVERLAP, parts: int = PARTS, isotropic: bool = False) -> DataFrame:
     """``zone, keys, t, r, c`` and ``outputs`` for each cell and step of its zone; null in buildings, which ``ground_only`` leaves out.
 
     ``city``: zone, r, c, dem, dsm, trees, lc. ``forcing``: zone, keys, t, hour, doy, latitude, ta, rh, radg, wind, p_kpa, one row a step;
     ``keys`` tell apart series of steps (days), between which nothing is carried. A zone is solved by ``parts`` tasks, a series by one;
     it should hold some 1,000 by 1,000 cells at most, as it is one array. Steps without a latitude or a measure give no rows.
 
+    The sky is anisotropic, summed over 153 patches, unless ``isotropic``.
+
     Filter by place or step on the inputs, or on zone, keys, t, r, c: a filter on an output
     would make the optimizer write out its whole formula for the condition.
     """
@@ -75,19 +77,20 @@ def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Se
     needed = ("hour", "doy", "latitude", "ta", "rh", "radg", "wind")
     steps = apply(forcing.dropna(subset=list(needed)).select("zone", *keys, *_FORCING), STEP_FORCING)
     layered = raster.layers(city)
-    view = march.sky_view_blocks(layered, top, block, scale).select("r", "c", *(x for x in march.SKY if x != "total"))
+    view = march.sky_view_blocks(layered, top, block, scale).select("r", "c", *(x for x in march.SKY if x != "total"), *([] if isotropic else march.BITS))
     props = raster.land_cover_properties(spark)  # seven rows
     seen = layered.select("zone", "r", "c", "ground", "dsm", "vegdsm", "vegdsm2", raster.clean_land_cover(F.col("lc")).cast("int").alias("lc")).join(F.broadcast(props), "lc", "left").join(view, ["r", "c"])
     number = lambda c: F.col(c).cast("double").alias(c)
-    near = around(seen, overlap, ["r", "c", "dsm", "vegdsm", "vegdsm2", *solve.STATIC])
-    dealt = near.select("zone", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "own", "r", "c", *(number(x) for x in ("dsm", "vegdsm", "vegdsm2", *solve.STATIC)))
+    fixed = (*solve.STATIC, *(() if isotropic else march.BITS))
+    near = around(seen, overlap, ["r", "c", "dsm", "vegdsm", "vegdsm2", *fixed])
+    dealt = near.select("zone", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "own", "r", "c", *(number(x) for x in ("dsm", "vegdsm", "vegdsm2")), *(F.when(F.col("own"), F.col(x).cast("double")).alias(x) for x in fixed))
     suns = steps.select("zone", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(parts)).cast("int").alias("part"), *keys, "t", *(number(x) for x in solve.STEP))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in suns.select(*at).schema)
 
     def zone(t: pa.Table, sky_: pa.Table) -> pa.Table:
         own = t["own"].to_numpy(zero_copy_only=False).astype(bool) if len(t) else np.zeros(0, bool)
         if ground_only and len(t):
-            own &= t["ground"].to_numpy() == 1
+            own &= t["ground"].to_numpy(zero_copy_only=False) == 1
         n = sky_.num_rows
         found = {o: np.zeros((n, 0)) for o in solve.OUT}
         r, c = (t[x].to_numpy() if len(t) else np.zeros(0, np.int32) for x in "rc")
@@ -102,10 +105,10 @@ def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Se
                 planes.append(g)
             static = {x: t[x].to_numpy(zero_copy_only=False)[own] for x in solve.STATIC}
             series = list(zip(*(sky_[k].to_pylist() for k in keys))) if keys else [()] * n
-            found = solve.solve(planes, (r[own] - r0, c[own] - c0), static, sky_.select(list(solve.STEP)).to_pylist(), series, top, scale)
+            found = solve.solve(planes, (r[own] - r0, c[own] - c0), static, sky_.select(list(solve.STEP)).to_pylist(), series, top, scale, None if isotropic else {x: t[x].to_numpy(zero_copy_only=False)[own] for x in march.BITS})
         m = int(own.sum()) if n else 0
         out = sky_.select(at).take(pa.array(np.repeat(np.arange(n), m), pa.int64()))
-        for name, v in (("r", np.tile(r[own], n) if n else r[:0]), ("c", np.tile(c[own], n) if n else c[:0]), ("ground", np.tile(t["ground"].to_numpy()[own], n) if n and len(t) else np.zeros(0)), *((o, found[o].ravel()) for o in solve.OUT)):
+        for name, v in (("r", np.tile(r[own], n) if n else r[:0]), ("c", np.tile(c[own], n) if n else c[:0]), ("ground", np.tile(t["ground"].to_numpy(zero_copy_only=False)[own], n) if n and len(t) else np.zeros(0)), *((o, found[o].ravel()) for o in solve.OUT)):
             out = out.append_column(name, pa.array(v, pa.int32() if name in "rc" else pa.float64()))
         return out
 
