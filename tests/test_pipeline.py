@@ -205,6 +205,8 @@ def test_kernel_agrees_with_the_expressions(spark):
     chain = [
         ("both", "svf + svfveg - 1.0"), ("svfalfa", "case when both < 1.0 and both > 0 then asin(sqrt(1.0 - both)) end"), *radiation.WEDGE, ("svfbuveg", "svf - (1.0 - svfveg) * 0.97"),
         ("sin_alt", "cos(zen)"), ("direct", "beam"), ("diffuse", "scatter"), ("d_rad", "scatter * svfbuveg"), ("k_down", radiation.K_DOWN), ("rh", "50.0 + 0.0 * ta"), *radiation.CLEAR_SKY, *radiation.l_down(),
+        ("k_up", radiation.k_up("(0.15 * lit)", "0.15")), ("k_side_i", "direct * lit * sin(zen)"), ("azimuth", "200.0 + 0.0 * ta"), ("l_up", "400.0 + 0.0 * ta"),
+        *radiation.k_weights(), *radiation.l_weights(), *radiation.FOUR_SIDES, ("tmrt", radiation.mean_radiant(radiation.SSTR["cyl_iso"])),
     ]
     df = apply(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)), chain)
     for r in df.collect():
@@ -212,7 +214,8 @@ def test_kernel_agrees_with_the_expressions(spark):
         step = {"altitude": 90 - math.degrees(r.zen), "azimuth": 200.0, "zen": r.zen, "sin_alt": math.cos(r.zen), "cos_alt": math.sin(r.zen), "ta": r.ta, "ci_used": r.ci, "esky": r.esky, "radg": r.radg, "beam": r.beam, "scatter": r.scatter, "tg_wall": r.tg_wall}
         site = solve.Site(one)
         assert solve.shaded_share(r.zen, site.alfa)[0] == pytest.approx(r.f_sh, abs=1e-9)
-        assert solve.fluxes(site, step, np.array([r.lit]), np.array([400.0]))[0][0] == pytest.approx(r.k_down)
+        k_down, tmrt = solve.fluxes(site, step, np.array([r.lit]), np.array([400.0]))
+        assert k_down[0] == pytest.approx(r.k_down) and tmrt[0] == pytest.approx(r.tmrt, abs=1e-7)
 
 
 def test_nothing_to_solve(spark):

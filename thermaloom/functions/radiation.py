@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thermaloom.functions.formula import Step
+from thermaloom.functions.formula import Step, wrap360
 
 #: Fixed value: the Stefan-Boltzmann constant as the radiation model rounds it.
 SBC = "5.67051e-8"
@@ -115,6 +115,19 @@ def l_down(ta: str = "ta", wall: str = "tg_wall") -> list[Step]:
     return [("ld_clear", form("esky")), ("ld_cloud", form("1.0")), ("l_down", "case when ci < 0.95 then ci * ld_clear + (1.0 - ci) * ld_cloud else ld_clear end")]
 
 
+#: Sum over the four sides of a site that is alike in all directions, under an isotropic sky, from k_weights, l_weights, radg, diffuse, f_sh, k_up,
+#: l_down, l_up, esky, ci, ta, tg_wall, azimuth, svf, svfveg. The sun heats the walls that a side sees while it stands within half a turn beyond ``HEATED``.
+HEATED = {"e": 180.0, "s": 270.0, "w": 0.0, "n": 90.0}
+FOUR_SIDES: list[Step] = [
+    ("sides_seen", "kw_wall + kw_veg * 0.97"),
+    ("k_sides", f"2.0 * (diffuse * (1.0 - sides_seen) + {ALBEDO_WALL} * sides_seen * (radg * (1.0 - f_sh) + diffuse * f_sh) + k_up)"),
+    ("sides_turn", "2.0 * f_sh - 1.0"), ("sides_alfa", "asin(sqrt(1.0 - svf))"), ("sides_high", "cos((atan(sides_alfa) + atan(tan(sides_alfa * sides_turn))) / 2.0)"),
+    ("sides_air", f"{SBC} * pow(ta + 273.15, 4.0)"), ("sides_ci", "least(coalesce(ci, 1.0), 1.0)"),
+    *((f"sides_at_{x}", wrap360(f"azimuth + 360.0 - {start}")) for x, start in HEATED.items()),
+    *((f"sides_wall_{x}", f"case when sides_at_{x} > 0.0 and sides_at_{x} <= 180.0 then {SBC} * pow(ta + 273.15 + tg_wall * sin(sides_at_{x} * (pi() / 180.0)), 4.0) * (1.0 - sides_turn) * sides_high + sides_air * sides_turn else sides_air end") for x in HEATED),
+    ("l_sides", f"2.0 * ((svf + svfveg - 1.0) * sides_air * (esky * sides_ci + 1.0 - sides_ci) * lw_sky + {EMIS_WALL} * sides_air * lw_veg + l_up + (l_down + l_up) * lw_refl * (1.0 - {EMIS_WALL})) + 0.5 * {EMIS_WALL} * lw_wall * (" + " + ".join(f"sides_wall_{x}" for x in HEATED) + ")"),
+]
+
 #: Absorbed flux of a cylinder under an isotropic sky, of a cylinder under an anisotropic sky, and of a box.
 SSTR = {
     "cyl_iso": f"{ABS_K} * (k_side_i * {F_CYL} + (k_down + k_up) * {F_UP} + k_sides * {F_SIDE}) + {ABS_L} * ((l_down + l_up) * {F_UP} + l_sides * {F_SIDE})",

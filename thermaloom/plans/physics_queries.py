@@ -83,11 +83,13 @@ define("surface_wave", _TG, [("tg_wave", 5), ("tg", 4)], where="altitude > 3.0 a
 define("night_branch", [*sky.LOCAL_SUN, ("tg", "0.0"), ("night", "altitude <= 0"), ("k_any", "case when night then 0.0 else radg end"), ("l_up", radiation.ground_flux())], [("night", None), ("k_any", 4), ("l_up", 4)], where="latitude is not null and abs(altitude) > 1e-6")
 _FLUX = [
     *_TG, *sky.diffuse_fraction(), *SITE, *radiation.WEDGE, ("d_rad", "diffuse * svfbuveg"), *radiation.CLEAR_SKY, ("tg_wall", "greatest(0.6 * tg, 0.0)"), *radiation.l_down(),
-    ("k_down", radiation.K_DOWN), ("k_up", radiation.k_up("(0.15 * lit)", "0.15")), ("k_side_i", "direct * lit * cos_alt"), ("k_sides", "4.0 * (0.5 * k_up + 0.5 * d_rad)"), ("k_side", "k_side_i + 0.5 * d_rad"),
-    ("l_up", radiation.ground_flux("ta", "(tg * lit)")), ("l_sides", "2.0 * (l_down + l_up)"), ("l_side", "0.5 * (l_down + l_up)"),
+    ("k_down", radiation.K_DOWN), ("k_up", radiation.k_up("(0.15 * lit)", "0.15")), ("k_side_i", "direct * lit * cos_alt"),
+    ("l_up", radiation.ground_flux("ta", "(tg * lit)")), *radiation.k_weights(), *radiation.l_weights(), *radiation.FOUR_SIDES,
 ]
-for _kind, _form in radiation.SSTR.items():
-    define(f"sstr_{_kind}", [*_FLUX, ("sstr", _form), ("tmrt", radiation.mean_radiant(_form))], [("sstr", 3), ("tmrt", 3)], where="altitude > 3.0 and abs(tmax_h - sunrise) > 0.01")
+#: A reading has no patches of sky: the anisotropic form is that of the pipeline over cells.
+for _kind in ("cyl_iso", "box"):
+    _form = radiation.SSTR[_kind]
+    define(f"sstr_{_kind}", [*_FLUX, ("sstr", _form), ("tmrt", radiation.mean_radiant(_form))], [("sstr", 3), ("tmrt", 3)], where="altitude > 3.0 and abs(tmax_h - sunrise) > 0.01 and " + " and ".join(f"abs(azimuth - {a}) > 1e-6" for a in (90.0, 180.0, 270.0)))
 # -- comfort --------------------------------------------------------------------------
 define("utci", [*AIR, *comfort.UTCI], [("utci", 5)])
 define("utci_category", [*AIR, *comfort.UTCI, ("utci_r", "round(utci, 3)"), ("stress", comfort.utci_class("utci_r"))], [("stress", None)])
