@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thermaloom.functions.formula import Step, horner
+from thermaloom.functions.formula import by_itself, horner, Step
 
 # Coefficients of the sixth-order UTCI regression (Broede et al. 2012), for the
 # monomials Pa^l * dT^k * va^j * Ta^i with l + k + j + i <= 6, in the order l, k, j, i, i running fastest.
@@ -66,7 +66,8 @@ def utci_polynomial(ta: str = "ta", dt: str = "d_tmrt", va: str = "va", pa: str
             by_va = []
             for j in range(7 - l - k):
                 by_va.append(horner(ta, [f"({next(at)!r})" for _ in range(7 - l - k - j)]))
-            by_dt.append(horner(va, by_va))
+            part = horner(va, by_va)
+            by_dt.append(by_itself(part) if len(by_va) > 1 else part)
         by_pa.append(horner(dt, by_dt))
     return f"{ta} + {horner(pa, by_pa)}"
 

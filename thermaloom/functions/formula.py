@@ -37,6 +37,15 @@ def chain_sql(base: str, steps: Sequence[Step]) -> str:
     return sql
 
 
+def by_itself(expression: str) -> str:
+    """The same value, written twice: Spark evaluates what is repeated once, in a method of its own.
+
+    The JVM does not compile methods beyond 8,000 bytes of code; a long polynomial in one piece
+    runs ten times slower.
+    """
+    return f"greatest({expression}, {expression})"
+
+
 def horner(x: str, coefficients: Sequence[str | float]) -> str:
     """Polynomial with the lowest power first."""
     out = str(coefficients[-1])

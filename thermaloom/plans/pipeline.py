@@ -44,12 +44,12 @@ COMFORT: list[Step] = [*comfort.UTCI, *comfort.GLOBE, ("wbgt", comfort.wbgt())]
 _FORCING = ("t", "hour", "doy", "latitude", "ta", "rh", "radg", "wind", "p_kpa")
 
 
-def around(cells: DataFrame, overlap: int, keep: Sequence[str], bucket: int = 64) -> DataFrame:
+def around(cells: DataFrame, zones: DataFrame, overlap: int, keep: Sequence[str], bucket: int = 64) -> DataFrame:
     """``zone, own`` and the columns ``keep`` of the cells of each zone's extent and of ``overlap`` cells about it; ``own`` tells those of the zone itself.
 
-    An equi-join on buckets of the plane, by which no cell meets a zone that is far off.
+    ``zones``: zone, r, c of the cells that make up the zones. An equi-join on buckets of the plane, by which no cell meets a zone that is far off.
     """
-    e = cells.groupBy("zone").agg(*(f(x).alias(f"{n}{x}") for x in "rc" for n, f in (("lo_", F.min), ("hi_", F.max))))
+    e = zones.groupBy("zone").agg(*(f(x).alias(f"{n}{x}") for x in "rc" for n, f in (("lo_", F.min), ("hi_", F.max))))
     span = lambda x: F.sequence(F.floor((F.col(f"lo_{x}") - overlap) / bucket), F.floor((F.col(f"hi_{x}") + overlap) / bucket))
     near = e.withColumn("br", F.explode(span("r"))).withColumn("bc", F.explode(span("c")))
     own = cells.select(*keep, F.col("zone").alias("home"), F.floor(F.col("r") / bucket).alias("br"), F.floor(F.col("c") / bucket).alias("bc"))
@@ -82,7 +82,7 @@ def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Se
     seen = layered.select("zone", "r", "c", "ground", "dsm", "vegdsm", "vegdsm2", raster.clean_land_cover(F.col("lc")).cast("int").alias("lc")).join(F.broadcast(props), "lc", "left").join(view, ["r", "c"])
     number = lambda c: F.col(c).cast("double").alias(c)
     fixed = (*solve.STATIC, *(() if isotropic else march.BITS))
-    near = around(seen, overlap, ["r", "c", "dsm", "vegdsm", "vegdsm2", *fixed])
+    near = around(seen, city.select("zone", "r", "c"), overlap, ["r", "c", "dsm", "vegdsm", "vegdsm2", *fixed])
     dealt = near.select("zone", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "own", "r", "c", *(number(x) for x in ("dsm", "vegdsm", "vegdsm2")), *(F.when(F.col("own"), F.col(x).cast("double")).alias(x) for x in fixed))
     suns = steps.select("zone", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(parts)).cast("int").alias("part"), *keys, "t", *(number(x) for x in solve.STEP))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in suns.select(*at).schema)
