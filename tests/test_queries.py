@@ -171,5 +171,5 @@ def test_closure_of_all_painted_cells(spark):
     there = {(x.r, x.c) for x in cells(spark, DATA).select("r", "c").collect()}
     painted = {(x.r, x.c) for x in collab.painted_cells(ops(spark, DATA)).select("r", "c").collect()}
     want = {(r - dr, c - dc) for r, c in there & painted for dr, dc in [(0, 0), *((a, b) for _, a, b, _ in catalog_queries._A)]} & there
-    got = [(x.r, x.c) for x in registry.queries()["corridor_closure_log"](spark, DATA).collect()]
+    got = [(x.r, x.c) for x in registry.queries()["corridor_closure"](spark, DATA).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want

@@ -147,15 +147,6 @@ def shadow_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["r", "c"]).where("sh <> later").select("r", "c", F.when(F.col("sh") == 0, "lightened").otherwise("darkened").alias("change"))
 
 
-@query(CELL + f", e as (select r, c from cell where r % 25 = 7 and c % 40 = 11) select distinct cell.r, cell.c from e, {_VALUES(_A, 's')}, cell where (cell.r = e.r - s.dr and cell.c = e.c - s.dc) or (cell.r = e.r and cell.c = e.c)")
-def corridor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells that edits of some cells can shade: the edited cells and those down-sun along the steps."""
-    c = cells(spark, sf_dir).select("r", "c")
-    steps = F.explode(F.array(F.struct(F.lit(0).alias("dr"), F.lit(0).alias("dc")), *(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for _, a, b, _ in _A)))
-    touched = c.where("r % 25 = 7 and c % 40 = 11").withColumn("s", steps).select((F.col("r") - F.col("s.dr")).alias("r"), (F.col("c") - F.col("s.dc")).alias("c")).distinct()
-    return c.join(touched, ["r", "c"], "left_semi")
-
-
 def closure(c: DataFrame, edited: DataFrame) -> DataFrame:
     """Cells of ``c`` that edits of its cells ``edited`` can shade: the edited cells and those down-sun along the steps."""
     steps = F.explode(F.array(F.struct(F.lit(0).alias("dr"), F.lit(0).alias("dc")), *(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for _, a, b, _ in _A)))
@@ -163,8 +154,8 @@ def closure(c: DataFrame, edited: DataFrame) -> DataFrame:
     return c.join(touched, ["r", "c"], "left_semi")
 
 
-@query()
-def corridor_closure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(OP + f", cell as ({CELLS_SQL}), p as (select cast(json_extract(payload, '$.class') as int) k, cast(json_extract(payload, '$.window.row_start') as int) r0, cast(json_extract(payload, '$.window.row_stop') as int) r1, cast(json_extract(payload, '$.window.col_start') as int) c0, cast(json_extract(payload, '$.window.col_stop') as int) c1 from op where source_family = 'landcover_surface' and verb = 'paint'), e as (select distinct cell.r, cell.c from cell join p on cell.r >= p.r0 and cell.r < p.r1 and cell.c >= p.c0 and cell.c < p.c1 where p.k is not null), t as (select r, c from e union select e.r - s.dr, e.c - s.dc from e, {_VALUES(_A, 's')}) select cell.r, cell.c from cell join t on cell.r = t.r and cell.c = t.c")
+def corridor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that the edits in the log can shade: all cells painted in any workspace and those down-sun of them."""
     return closure(cells(spark, sf_dir).select("r", "c"), collab.painted_cells(ops(spark, sf_dir)).select("r", "c").distinct())
 

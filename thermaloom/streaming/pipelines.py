@@ -18,8 +18,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from thermaloom.session import scratch_path
 
-#: Files of the log come in any order, so lateness covers the whole log: no row is dropped for its time.
-LATE = "3650 days"
+#: Files of the log come in any order, so lateness covers a log of a quarter of a year; what is older than that is let go of state.
+LATE = "90 days"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -64,28 +64,32 @@ def last_counts(updates: DataFrame) -> DataFrame:
 
 
 class TreeState(StatefulProcessor):
-    """Keyed state of one tree: operations are applied in sequence order; those that come after a later one
-    was applied are kept aside in the state's history, and the tree is replayed from it."""
+    """Keyed state of one tree, the same whatever the order of arrival.
+
+    An ``add`` sets a tree anew, so what matters of all before the latest one is how many there were. A tree lives if no
+    ``delete`` comes after its latest add, and then every update after it took effect. Hence three
+    largest sequence numbers and the set of adds (each counts once) are the whole state; an
+    operation costs one look-up, however long the history.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.history = handle.getListState("history", "s bigint, verb string, carries boolean, x double, y double, h double, r double")
+        self.adds = handle.getMapState("adds", "s bigint", "seen boolean")
+        self.top = handle.getValueState("top", "generation int, added bigint, deleted bigint, updated bigint, applied bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = {row[0]: tuple(row) for row in self.history.get()}
+        generation, added, deleted, updated, applied = self.top.get() if self.top.exists() else (-1, -1, -1, -1, 0)
         for pdf in rows:
-            for row in pdf[["s", "verb", "carries", "x", "y", "h", "r"]].itertuples(index=False):
-                seen.setdefault(int(row.s), (int(row.s), row.verb, bool(row.carries), *(None if v != v else float(v) for v in (row.x, row.y, row.h, row.r))))
-        ordered = [seen[s] for s in sorted(seen)]
-        self.history.put(ordered)
-        generation, live, last = -1, False, None
-        for s, verb, carries, *_ in ordered:
-            if verb == "add":
-                generation, live, last = generation + 1, True, s
-            elif live and verb == "delete":
-                live = False
-            elif live and carries and verb in ("replace", "move"):
-                last = s
-        yield pd.DataFrame({"workspace_id": [key[0]], "entity_id": [key[1]], "generation": [generation], "live": [live], "last_sequence": [last if last is not None else -1], "applied": [len(ordered)]})
+            applied += len(pdf)
+            for s in pdf.loc[pdf["verb"] == "add", "s"].drop_duplicates().astype(int):
+                if not self.adds.containsKey((s,)):
+                    self.adds.updateValue((s,), (True,))
+                    generation, added = generation + 1, max(added, s)
+            carrying = pdf["verb"].isin(["replace", "move"]) & pdf["carries"].fillna(False).astype(bool)
+            deleted = max(deleted, *pdf.loc[pdf["verb"] == "delete", "s"].astype(int), -1)
+            updated = max(updated, *pdf.loc[carrying, "s"].astype(int), -1)
+        self.top.update((generation, added, deleted, updated, applied))
+        live = added > deleted
+        yield pd.DataFrame({"workspace_id": [key[0]], "entity_id": [key[1]], "generation": [generation], "live": [live], "last_sequence": [max(added, updated) if live else -1], "applied": [applied]})
 
     def close(self) -> None:
         pass
