@@ -24,7 +24,7 @@ from thermaloom.plans.bindings import cells, met
 MOST_STEPS = 100_000
 OUTPUTS = ("tmrt", "utci", "wbgt", "lit", "k_down", "l_up")
 #: Cells around a zone that may cast shadows into it; a zone's steps are dealt to so many tasks.
-OVERLAP, PARTS = 60, 4
+OVERLAP, PARTS = 60, 2
 
 #: What depends on the step alone.
 STEP_FORCING: list[Step] = [
@@ -82,15 +82,23 @@ def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Se
     seen = layered.select("zone", "r", "c", "ground", "dsm", "vegdsm", "vegdsm2", raster.clean_land_cover(F.col("lc")).cast("int").alias("lc")).join(F.broadcast(props), "lc", "left").join(view, ["r", "c"])
     number = lambda c: F.col(c).cast("double").alias(c)
     fixed = (*solve.STATIC, *(() if isotropic else march.BITS))
-    near = around(seen, city.select("zone", "r", "c"), overlap, ["r", "c", "dsm", "vegdsm", "vegdsm2", *fixed])
-    dealt = near.select("zone", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "own", "r", "c", *(number(x) for x in ("dsm", "vegdsm", "vegdsm2")), *(F.when(F.col("own"), F.col(x).cast("double")).alias(x) for x in fixed))
+    packed = seen.select("zone", "r", "c", *(number(x) for x in ("dsm", "vegdsm", "vegdsm2")), F.array(*(F.col(x).cast("double") for x in fixed)).alias("fixed"))
+    near = around(packed, city.select("zone", "r", "c"), overlap, ["r", "c", "dsm", "vegdsm", "vegdsm2", "fixed"])
+    # cells around a zone only cast shadows: they go without what is known of them
+    dealt = near.select("zone", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "own", "r", "c", "dsm", "vegdsm", "vegdsm2", F.when(F.col("own"), F.col("fixed")).alias("fixed"))
     suns = steps.select("zone", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(parts)).cast("int").alias("part"), *keys, "t", *(number(x) for x in solve.STEP))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in suns.select(*at).schema)
 
     def zone(t: pa.Table, sky_: pa.Table) -> pa.Table:
         own = t["own"].to_numpy(zero_copy_only=False).astype(bool) if len(t) else np.zeros(0, bool)
-        if ground_only and len(t):
-            own &= t["ground"].to_numpy(zero_copy_only=False) == 1
+        known = np.zeros((0, len(fixed)))
+        if own.any():
+            known = t["fixed"].filter(pa.array(own)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(fixed))
+            if ground_only:
+                keep = known[:, 0] == 1
+                own[np.flatnonzero(own)[~keep]] = False
+                known = known[keep]
+        of = dict(zip(fixed, known.T))
         n = sky_.num_rows
         found = {o: np.zeros((n, 0)) for o in solve.OUT}
         r, c = (t[x].to_numpy() if len(t) else np.zeros(0, np.int32) for x in "rc")
@@ -103,12 +111,11 @@ def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Se
                 g = np.zeros((int(r.max() - r0 + 1), int(c.max() - c0 + 1)))
                 g[r - r0, c - c0] = np.nan_to_num(t[p].to_numpy())
                 planes.append(g)
-            static = {x: t[x].to_numpy(zero_copy_only=False)[own] for x in solve.STATIC}
             series = list(zip(*(sky_[k].to_pylist() for k in keys))) if keys else [()] * n
-            found = solve.solve(planes, (r[own] - r0, c[own] - c0), static, sky_.select(list(solve.STEP)).to_pylist(), series, top, scale, None if isotropic else {x: t[x].to_numpy(zero_copy_only=False)[own] for x in march.BITS})
+            found = solve.solve(planes, (r[own] - r0, c[own] - c0), of, sky_.select(list(solve.STEP)).to_pylist(), series, top, scale, None if isotropic else of)
         m = int(own.sum()) if n else 0
         out = sky_.select(at).take(pa.array(np.repeat(np.arange(n), m), pa.int64()))
-        for name, v in (("r", np.tile(r[own], n) if n else r[:0]), ("c", np.tile(c[own], n) if n else c[:0]), ("ground", np.tile(t["ground"].to_numpy(zero_copy_only=False)[own], n) if n and len(t) else np.zeros(0)), *((o, found[o].ravel()) for o in solve.OUT)):
+        for name, v in (("r", np.tile(r[own], n) if n else r[:0]), ("c", np.tile(c[own], n) if n else c[:0]), ("ground", np.tile(of["ground"], n) if n else np.zeros(0)), *((o, found[o].ravel()) for o in solve.OUT)):
             out = out.append_column(name, pa.array(v, pa.int32() if name in "rc" else pa.float64()))
         return out
 
