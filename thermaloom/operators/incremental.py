@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from collections.abc import Iterable
 
 import pandas as pd
@@ -43,26 +41,18 @@ def closure(spark: SparkSession) -> DataFrame:
 
 
 def topological_order(pairs: Iterable[tuple[str, str]] = EDGES) -> list[str]:
-    """Order in which each node follows its producers; ties by name."""
-    nodes = sorted({n for names in NODES.values() for n in names})
-    waiting = {n: 0 for n in nodes}
-    out: dict[str, list[str]] = {n: [] for n in nodes}
-    for a, b in pairs:
-        waiting[b] += 1
-        out[a].append(b)
-    ready = [n for n in nodes if not waiting[n]]
-    heapq.heapify(ready)
-    order = []
-    while ready:
-        n = heapq.heappop(ready)
-        order.append(n)
-        for m in out[n]:
-            waiting[m] -= 1
-            if not waiting[m]:
-                heapq.heappush(ready, m)
-    if len(order) < len(nodes):
-        raise ValueError("the graph has a cycle")
-    return order
+    """Nodes by the length of the longest path that leads to them, then by name; so each follows its producers."""
+    pairs = list(pairs)
+    nodes = {n for names in NODES.values() for n in names}
+    depth, left = {}, set(nodes)
+    while left:
+        held = {b for a, b in pairs if a in left}
+        level = left - held
+        if not level:
+            raise ValueError("the graph has a cycle")
+        depth |= {n: len(set(depth.values())) for n in level}
+        left -= level
+    return sorted(nodes, key=lambda n: (depth[n], n))
 
 
 def influence_reach(height: Column, radius: Column) -> Column:

@@ -255,25 +255,24 @@ def canopy_wind(height: Column, density: Column, z: float = 1.5, reference_rough
     return F.when((height <= 0) | (density <= 0), 1.0).otherwise(F.least(F.when(h > z, inside).otherwise(outside), F.lit(most)))
 
 
-def components(cells: DataFrame, rounds: int = 60) -> DataFrame:
+def components(cells: DataFrame) -> DataFrame:
     """Connected components (by edges) of the cells given: r, c and the least cell number of the component.
 
     Labels spread over runs of rows and columns by window minima, so a round crosses
-    a whole run; it stops when nothing changes. Each round is written to the shared
+    a whole run; labels only fall, so it ends, when nothing changes. Each round is written to the shared
     folder, so lineage does not grow and no executor's loss repeats it.
     """
     from thermaloom.session import materialize
 
-    lab = cells.select("r", "c", (F.col("r").cast("bigint") * 1_000_000 + F.col("c")).alias("label"))
+    lab = cells.select("r", "c", (F.col("r").cast("bigint") * (1 << 31) + F.col("c")).alias("label"))
     for axis, other in (("r", "c"), ("c", "r")):
         w = Window.partitionBy(axis).orderBy(other)
         lab = lab.withColumn(f"run_{axis}", F.col(other) - F.row_number().over(w))
     lab = materialize(lab, "components")
-    for _ in range(rounds):
+    while True:
         low = lab.withColumn("a", F.min("label").over(Window.partitionBy("r", "run_r"))).withColumn("b", F.min("a").over(Window.partitionBy("c", "run_c")))
         after = materialize(low.select("r", "c", "run_r", "run_c", "label", F.col("b").alias("next")), "components")
         changed = after.where("next < label").limit(1).count()
         lab = after.select("r", "c", F.col("next").alias("label"), "run_r", "run_c")
         if not changed:
             return lab.select("r", "c", F.col("label").alias("component"))
-    raise RuntimeError(f"the components are not settled after {rounds} rounds")

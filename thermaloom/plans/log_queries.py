@@ -46,7 +46,10 @@ def graph_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.closure(spark)
 
 
-@query()
+_NODES = "(values " + ", ".join(f"('{n}')" for names in incremental.NODES.values() for n in names) + ") n(node)"
+
+
+@query(f"with recursive p(node, d) as (select node, 0 from {_NODES} union select e.dst, p.d + 1 from p join {_EDGES} on e.src = p.node) select row_number() over (order by max(d), node) - 1 as position, node from p group by node")
 def graph_topo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topological order of the dependency graph."""
     return spark.createDataFrame([(i, n) for i, n in enumerate(incremental.topological_order())], "position int, node string")
@@ -206,7 +209,10 @@ def tombstone_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("verb in ('move', 'replace') and (la is null or coalesce(ld, 0) > la)").select("workspace_id", "entity_id", "server_sequence", "verb", F.when(F.col("la").isNull(), "unknown").otherwise("tombstone").alias("reason"))
 
 
-@query()
+_P6_AT = lambda rows: P6_SQL.replace("from operation_log", f"from {rows}")
+
+
+@query("with mid as (select workspace_id w, floor(max(server_sequence) / 2) m from operation_log group by 1), early as (select o.* from operation_log o join mid on mid.w = o.workspace_id where o.server_sequence <= mid.m), a as (" + _P6_AT("early") + "), b as (" + P6_SQL + ") select coalesce(a.workspace_id, b.workspace_id) as workspace_id, coalesce(a.entity_id, b.entity_id) as entity_id, case when a.entity_id is null then 'added' when b.entity_id is null then 'deleted' else 'changed' end as change from a full join b on a.workspace_id = b.workspace_id and a.entity_id = b.entity_id where a.entity_id is null or b.entity_id is null or (a.x_cm, a.y_cm, a.height_cm, a.radius_cm) is distinct from (b.x_cm, b.y_cm, b.height_cm, b.radius_cm)")
 def epoch_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Net change of the trees between the middle of each workspace's log and its end: added, deleted, changed."""
     o = ops(spark, sf_dir)
@@ -221,7 +227,7 @@ def epoch_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.withColumn("change", change).where("change is not null").select(*keys, "change")
 
 
-@query()
+@query(OP.replace("with ", "with recursive ") + ", o as (select workspace_id, server_sequence, epoch_us(received_at) t from op where received_at is not null), s(w, began, n) as (select workspace_id, min(t), 0 from o group by 1 union all select s.w, min(o.t), s.n + 1 from s join o on o.workspace_id = s.w and o.t >= s.began + 100000 group by s.w, s.n), f as (select w, began, n, lead(began) over (partition by w order by began) nxt from s) select o.workspace_id, o.server_sequence, cast(f.n as bigint) as epoch from o join f on f.w = o.workspace_id and o.t >= f.began and (f.nxt is null or o.t < f.nxt)")
 def epoch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity-opened epochs of 100 ms."""
     return collab.micro_epochs(ops(spark, sf_dir))

@@ -351,7 +351,12 @@ def raster_tree_disc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.discs_on_cells(_trees(spark, sf_dir), 2.0).groupBy("r", "c").agg(F.max("height").alias("canopy"), F.count("*").alias("crowns"))
 
 
-@query()
+_HEX = ((0, 4), (6, 0), (14, 0), (20, 4), (14, 9), (6, 9))
+#: A convex ring holds a point if it lies on one side of every edge, or on it.
+_INSIDE = " and ".join(f"({bx - ax}) * (r + 0.5e0 - oy - {ay}) - ({by - ay}) * (c + 0.5e0 - ox - {ax}) >= 0" for (ax, ay), (bx, by) in zip(_HEX, _HEX[1:] + _HEX[:1]))
+
+
+@query(f"with p as (select s_suppkey * 53 % 900 ox, s_suppkey * 29 % 900 oy, 3e0 + s_suppkey % 30 as height from supplier), x as (select p.*, ox + unnest(range(0, 21)) c from p), y as (select x.*, oy + unnest(range(0, 10)) r from x) select cast(r as int) as r, cast(c as int) as c, max(height) as height from y where {_INSIDE} group by 1, 2")
 def raster_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Building heights on cells from hexagonal footprints, the highest where they overlap."""
     k = F.col("s_suppkey")
@@ -391,13 +396,13 @@ def wind_coeff_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("r", "c", F.round(raster.canopy_wind(F.col("mean_height"), F.col("lambda_f")), 6).alias("coefficient"))
 
 
-@query()
+@query(CELL.replace("with ", "with recursive ") + ", b as (select r, c, dsm - dem h from cell where dsm - dem >= 2), w(r, c, r0, c0) as (select r, c, r, c from b union select b.r, b.c, w.r0, w.c0 from w join b on abs(b.r - w.r) + abs(b.c - w.c) = 1), l as (select r, c, min(r0 * 1000000 + c0) k from w group by 1, 2) select min(b.r) as r0, max(b.r) as r1, min(b.c) as c0, max(b.c) as c1, count(*) as cells, round(avg(h), 6) as mean_height from l join b on b.r = l.r and b.c = l.c group by k")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buildings as connected components with their box, size and mean height."""
     c = cells(spark, sf_dir).where("dsm - dem >= 2").withColumn("h", F.col("dsm") - F.col("dem"))
     lab = raster.components(c)
     g = lab.join(c.select("r", "c", "h"), ["r", "c"]).groupBy("component")
-    return g.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("cells"), F.round(F.avg("h"), 6).alias("mean_height"))
+    return g.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("cells"), F.round(F.avg("h"), 6).alias("mean_height")).drop("component")
 
 
 _NAMES = "case event_id % 4 when 0 then 'wrfout_d0' || (1 + event_id % 3) || '_2020-08-' || lpad(cast(1 + event_id % 28 as varchar), 2, '0') || '_' || lpad(cast(event_id % 24 as varchar), 2, '0') when 1 then 'wrfout_d02_2020-08-13_12:30:45' when 2 then 'out/wrfout_d01_2020-08-13_06_00_00' else 'wrfinput_d01' end"

@@ -36,6 +36,7 @@ def stateful_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"dedup_stream": dedup_stream, "epoch_stream": epoch_stream, "stateful_reduce": stateful_reduce}
 SQL = {
+    "epoch_stream": "select workspace_id, source_family, cast(time_bucket(interval 10 minute, accepted_at) as timestamp) as opened, count(*) as n, max(server_sequence) as last_seq from operation_log where accepted_at is not null group by 1, 2, 3",
     "dedup_stream": "select distinct workspace_id, server_sequence, verb from operation_log where server_sequence is not null and accepted_at is not null",
     "stateful_reduce": "select workspace_id, entity_id, generation, last_sequence from (" + DATASET_SQL["p6_found"] + ") q",
 }
