@@ -110,10 +110,15 @@ def sessions(rows: DataFrame, keys: list[str], at: str, gap_s: int) -> DataFrame
 
 
 def sliding_load(rows: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
-    """Operations of the key within the seconds before each row, itself included."""
-    sec = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy(sec).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("load", F.count("*").over(w))
+    """Operations of the key within the seconds before each row, itself included.
+
+    A row is dealt to its own stretch of so many seconds and to the next, so no window holds more of a key than two stretches.
+    """
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    own = F.floor(us / (seconds * 1_000_000))
+    dealt = rows.withColumn("_us", us).withColumn("_own", own).withColumn("_b", F.explode(F.array(own, own + 1)))
+    w = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    return dealt.withColumn("load", F.count("*").over(w)).where("_own = _b").drop("_us", "_own", "_b")
 
 
 def latest(rows: DataFrame, keys: list[str], order: Column, keep: list[str]) -> DataFrame:

@@ -49,6 +49,50 @@ def ranked(rows: DataFrame, keys: list[str], span: str, order: list[str]) -> Dat
     return inside.join(before, [*keys, span]).withColumn("position", F.col("before") + F.col("place")).drop("before", "place")
 
 
+def running(rows: DataFrame, keys: Sequence[str], span: str, order: Sequence[str], column: str, how: str) -> DataFrame:
+    """Largest (``max``) or last known (``last``) value of each key up to and with each row, as ``running``.
+
+    Large groups are split by ``span``, which must not be null nor fall in the order: what a span ends with is found first, so
+    only the rows of one span are sorted together, and one row a span follows the whole group.
+    """
+    value, at = F.col(column), F.struct(*order)
+    end = F.max(value) if how == "max" else F.max_by(value, F.when(value.isNotNull(), at))
+    per = rows.groupBy(*keys, span).agg(end.alias("_end"))
+    through = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select(*keys, span, (F.max("_end") if how == "max" else F.last("_end", ignorenulls=True)).over(through).alias("_before"))
+    within = Window.partitionBy(*keys, span).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_inside", F.max(value).over(within) if how == "max" else F.last(value, ignorenulls=True).over(within))
+    both = F.greatest("_inside", "_before") if how == "max" else F.coalesce("_inside", "_before")
+    met = [inside[k].eqNullSafe(before[k]) for k in keys] + [inside[span] == before[span]]
+    joined = inside.join(before, met[0] if len(met) == 1 else _all(met), "left")
+    return joined.select(*(inside[c] for c in rows.columns), both.alias("running"))
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float], names: Sequence[str], width: float) -> DataFrame:
+    """Discrete quantiles (the value at rank ceil(p n)) of large groups: ``keys, n`` and ``names``.
+
+    Equal values are counted before the shuffle, counts are summed over spans of ``width`` of the value, and no task holds a whole group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k")).withColumn("_span", F.floor(F.col(value) / width))
+    per = counts.groupBy(*keys, "_span").agg(F.sum("_k").alias("_s"))
+    w = Window.partitionBy(*keys)
+    before = per.select(*keys, "_span", (F.sum("_s").over(w.orderBy("_span").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_b"), F.sum("_s").over(w).alias("n"))
+    reach = F.sum("_k").over(Window.partitionBy(*keys, "_span").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    inside = counts.withColumn("_reach", reach)
+    joined = inside.join(before, _all([*(inside[k].eqNullSafe(before[k]) for k in keys), inside["_span"] == before["_span"]]))
+    high = F.col("_b") + F.col("_reach")
+    rank = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1))
+    pick = [F.max(F.when((high >= rank(p)) & (high - F.col("_k") < rank(p)), F.col(value))).alias(name) for p, name in zip(ps, names)]
+    return joined.groupBy(*(inside[k] for k in keys)).agg(F.max("n").alias("n"), *pick, F.max(value).alias("worst"))
+
+
 def contiguous(rows: DataFrame, keys: Sequence[str], span: str, order: Sequence[str], base: Column) -> DataFrame:
     """Sequence numbers without gaps from ``base`` on, large groups being ranked by span: see ``ranked``."""
     return ranked(rows, list(keys), span, list(order)).withColumn("sequence", base + F.col("position"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermaloom.operators import engine
+
 #: Density times heat capacity of air, by which radiation is scaled for the heat-island amplitude.
 RHO_CP = 1.225 * 1005.0
 #: Fixed value: radiation up to this (W/m2) is night for the heat-island profile.
@@ -43,9 +45,10 @@ def night_profile(met: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def forward_fill(met: DataFrame, column: str) -> DataFrame:
-    """The last known value of the station at each row's time."""
-    w = Window.partitionBy("station").orderBy("obs_time", "reading_id").rowsBetween(Window.unboundedPreceding, 0)
-    return met.select("reading_id", "station", F.last(column, ignorenulls=True).over(w).alias(f"{column}_filled"))
+    """The last known value of the station at each row's time; a station is split by day."""
+    day = F.coalesce(F.datediff(F.to_date("obs_time"), F.lit("1970-01-01")), F.lit(-(1 << 31)))  # rows without a time come first
+    rows = met.select("reading_id", "station", "obs_time", column).withColumn("_day", day)
+    return engine.running(rows, ["station"], "_day", ["obs_time", "reading_id"], column, "last").select("reading_id", "station", F.col("running").alias(f"{column}_filled"))
 
 
 def tile_means(met: DataFrame, grid: DataFrame) -> DataFrame:
@@ -67,20 +70,38 @@ def fan_out(series: DataFrame, grid: DataFrame) -> DataFrame:
     return series.join(tiles, F.lit(True)).withColumn("to_tile", F.explode("tiles")).drop("tiles")
 
 
-def nearest_tile(grid: DataFrame, reach: float, bucket: float) -> DataFrame:
-    """The nearest other tile (by origin) within ``reach``, by equi-join on buckets and their neighbours; ties by name."""
-    steps = int(reach // bucket) + 1
-    near = F.array(*(F.lit(i) for i in range(-steps, steps + 1)))
-    at = grid.select("tile", "origin_x", "origin_y", F.floor(F.col("origin_x") / bucket).alias("bx"), F.floor(F.col("origin_y") / bucket).alias("by"))
-    probe = at.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select(F.col("tile").alias("a"), F.col("origin_x").alias("ax"), F.col("origin_y").alias("ay"), (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by"))
+def _nearest_within(probes: DataFrame, grid: DataFrame, reach: float) -> DataFrame:
+    at = grid.select("tile", "origin_x", "origin_y", F.floor(F.col("origin_x") / reach).alias("bx"), F.floor(F.col("origin_y") / reach).alias("by"))
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    probe = probes.select(F.col("tile").alias("a"), F.col("origin_x").alias("ax"), F.col("origin_y").alias("ay")).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+    probe = probe.withColumn("bx", F.floor(F.col("ax") / reach) + F.col("dx")).withColumn("by", F.floor(F.col("ay") / reach) + F.col("dy"))
     d = F.sqrt((F.col("ax") - F.col("origin_x")) ** 2 + (F.col("ay") - F.col("origin_y")) ** 2)
     pairs = probe.join(at, ["bx", "by"]).where("a <> tile").withColumn("distance", d).where(F.col("distance") <= reach)
     return pairs.groupBy(F.col("a").alias("tile")).agg(F.min_by("tile", F.struct("distance", "tile")).alias("nearest"), F.min("distance").alias("distance"))
 
 
+def nearest_tile(grid: DataFrame, reach: float) -> DataFrame:
+    """The nearest other tile (by origin), by equi-join on squares of side ``reach`` and their neighbours; ties by name.
+
+    What has none within reach is sought again within twice as much, until all have one or the grid is crossed.
+    """
+    from thermaloom.session import materialize
+
+    e = grid.agg(F.min("origin_x"), F.max("origin_x"), F.min("origin_y"), F.max("origin_y")).first()
+    across = 0.0 if e[0] is None else (e[1] - e[0]) + (e[3] - e[2])
+    left, found = grid.select("tile", "origin_x", "origin_y"), None
+    while True:
+        here = materialize(_nearest_within(left, grid, reach), "nearest")
+        found = here if found is None else found.unionByName(here)
+        left = left.join(here.select("tile"), "tile", "left_anti")
+        if reach > across or left.isEmpty():
+            return found
+        reach *= 2
+
+
 def as_of_daily(met: DataFrame, daily: DataFrame) -> DataFrame:
-    """Each row with the latest daily amplitude at or before its day (as-of join by union and window)."""
-    left = met.select("station", F.to_date("obs_time").alias("day"), F.lit(1).alias("side"), "reading_id", F.lit(None).cast("double").alias("amplitude"))
-    right = daily.where("amplitude > 0").select("station", "day", F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("reading_id"), "amplitude")
-    w = Window.partitionBy("station").orderBy("day", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return left.unionByName(right).withColumn("as_of", F.last("amplitude", ignorenulls=True).over(w)).where("side = 1").select("reading_id", "as_of")
+    """Each row with the latest daily amplitude at or before its day: carried along the days, one row each, then joined."""
+    rows = met.select("station", F.to_date("obs_time").alias("day"), "reading_id")
+    days = rows.select("station", "day").distinct().join(daily.where("amplitude > 0").select("station", "day", "amplitude"), ["station", "day"], "full")
+    w = Window.partitionBy("station").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(days.select("station", "day", F.last("amplitude", ignorenulls=True).over(w).alias("as_of")), ["station", "day"], "left").select("reading_id", "as_of")

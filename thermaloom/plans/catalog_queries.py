@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thermaloom.operators import collab, incremental, raster
-from thermaloom.operators.engine import ranked
+from thermaloom.operators.engine import exact_quantiles, ranked
 from thermaloom.plans.bindings import CELLS_SQL, MET_SQL, OPS_SQL, cells, met, ops
 from thermaloom.session import table
 
@@ -105,8 +105,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latency from receipt to acceptance of each workspace."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     o = ops(spark, sf_dir).where("accepted_at is not null and received_at is not null").select("workspace_id", ((us("accepted_at") - us("received_at")) / 1e3).alias("ms"))
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by ms)")
-    return o.groupBy("workspace_id").agg(F.count("*").alias("n"), disc(0.5).alias("p50"), disc(0.95).alias("p95"), disc(0.99).alias("p99"), F.max("ms").alias("worst"))
+    return exact_quantiles(o, ["workspace_id"], "ms", (0.5, 0.95, 0.99), ("p50", "p95", "p99"), 10.0)
 
 
 @query(MET + "select tile, count(ta) as n, round(avg(case when ta > 30 then 1e0 else 0e0 end) + 1e-9, 6) + 0e0 as share_hot, round(regr_slope(ta, radg) + 1e-9, 6) + 0e0 as slope from met where ta between -60 and 60 and radg between 0 and 1500 group by 1 having var_pop(radg) > 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thermaloom.functions import radiation, sky
 from thermaloom.functions.formula import apply, real
-from thermaloom.operators import collab, incremental
+from thermaloom.operators import collab, engine, incremental
 from thermaloom.operators.replay import replay
 from thermaloom.plans.bindings import MET_SQL, OPS_SQL, met, ops
 from thermaloom.plans.datasets import SQL as DATASET_SQL
@@ -254,8 +254,10 @@ def admission_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(OP + "select workspace_id, server_sequence, max(base_revision) over w as known_revision, server_sequence - row_number() over (partition by workspace_id order by server_sequence) as missing_before from op window w as (partition by workspace_id order by server_sequence rows unbounded preceding)")
 def revision_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Highest revision seen so far, and how many sequences are missing before each operation."""
-    w = Window.partitionBy("workspace_id").orderBy("server_sequence")
-    return ops(spark, sf_dir).select("workspace_id", "server_sequence", F.max("base_revision").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("known_revision"), (F.col("server_sequence") - F.row_number().over(w)).alias("missing_before"))
+    o = ops(spark, sf_dir).select("workspace_id", "server_sequence", "base_revision").withColumn("span", F.coalesce(F.floor(F.col("server_sequence") / 4096), F.lit(-1)))
+    known = engine.running(o, ["workspace_id"], "span", ["server_sequence"], "base_revision", "max")
+    placed = engine.ranked(known, ["workspace_id"], "span", ["server_sequence"])
+    return placed.select("workspace_id", "server_sequence", F.col("running").alias("known_revision"), (F.col("server_sequence") - F.col("position")).alias("missing_before"))
 
 
 @query(OP + ", m as (select workspace_id, max(server_sequence) * 9 // 10 as acked from op group by 1) select op.workspace_id, op.server_sequence, op.operation_id, op.verb from op join m on m.workspace_id = op.workspace_id where op.server_sequence > m.acked")

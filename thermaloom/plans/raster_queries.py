@@ -106,10 +106,10 @@ def own_met_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with p as (select a.tile, b.tile nearest, sqrt((a.origin_x - b.origin_x) * (a.origin_x - b.origin_x) + (a.origin_y - b.origin_y) * (a.origin_y - b.origin_y)) distance from grid_tiles a join grid_tiles b on a.tile <> b.tile)
- select tile, nearest, round(distance, 6) + 0e0 as distance from p where distance <= 2000 qualify row_number() over (partition by tile order by distance, nearest) = 1""")
+ select tile, nearest, round(distance, 6) + 0e0 as distance from p qualify row_number() over (partition by tile order by distance, nearest) = 1""")
 def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest other tile within 2 km by bucket join."""
-    return forcing.nearest_tile(table(spark, sf_dir, "grid_tiles"), 2000.0, 1000.0).select("tile", "nearest", r6("distance"))
+    """Nearest other tile, by squares of 2 km and wider ones where those hold none."""
+    return forcing.nearest_tile(table(spark, sf_dir, "grid_tiles"), 2000.0).select("tile", "nearest", r6("distance"))
 
 
 # -- grid preparation --------------------------------------------------------------------------
