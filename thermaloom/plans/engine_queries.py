@@ -204,8 +204,8 @@ def fallback_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route of each run by measured cost: a full solve where a case is little known, or the local one took longer than nine in ten."""
     r = table(spark, sf_dir, "raw_runs").select("run_id", "rep", "case_id", "timings_s").distinct().select("run_id", "rep", "case_id", F.col("timings_s.total_s").alias("x")).where("x is not null and not isnan(x)")
     known = r.groupBy("case_id").agg(F.count("*").alias("n")).withColumnRenamed("case_id", "k")
-    m = r.agg(F.expr("percentile_disc(0.9) within group (order by x)").alias("m"))
-    joined = r.join(known, F.col("case_id").eqNullSafe(F.col("k"))).join(F.broadcast(m))  # one row
+    top = engine.exact_quantiles(r.withColumn("all", F.lit(0)), ["all"], "x", (0.9,), ("m",), 1.0).first()
+    joined = r.join(known, F.col("case_id").eqNullSafe(F.col("k"))).withColumn("m", F.lit(top.m if top else None).cast("double"))
     return joined.select("run_id", "rep", F.when(F.col("n") < 30, "FULL").when(F.col("x") > F.col("m"), "FULL").otherwise("LOCAL").alias("route"))
 
 
