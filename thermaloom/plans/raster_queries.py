@@ -388,7 +388,13 @@ def wind_coeff_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).select("r", "c", F.round(raster.canopy_wind(F.col("trees"), F.lit(0.4)), 7).alias("coefficient"))
 
 
-@query()
+_WIND = (
+    "select b.r, b.c, round(case when b.h <= 0 or f.l <= 0 then 1e0 else least(case when hh > 1.5e0 then exp(9.6e0 * f.l * (1.5e0 / hh - 1)) * ln(greatest(0.3e0 * hh / greatest(0.1e0 * hh, 0.03e0), 1.01e0)) else ln(case when (1.5e0 - 0.7e0 * hh) / greatest(0.1e0 * hh, 0.03e0) <= 1 then 1.01e0 else (1.5e0 - 0.7e0 * hh) / greatest(0.1e0 * hh, 0.03e0) end) end / ln(1.5e0 / 0.03e0), 1e0) end, 6) as coefficient from (select *, greatest(h, 1e-6) hh from ("
+    + CELL + _BOX + "select r, c, case when m > 0 then h / m else 0e0 end as h from bx) q) b join (" + SQL["frontal_area"].replace("round(least(s / n / pi(), 1.0e0), 7) + 0e0 as lambda_f", "least(s / n / pi(), 1.0e0) as l") + ") f on f.r = b.r and f.c = b.c"
+)
+
+
+@query(_WIND)
 def wind_coeff_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wind coefficient at 1.5 m from the mean height and frontal area of the buildings around."""
     c = cells(spark, sf_dir)
