@@ -124,8 +124,9 @@ def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Se
     air = [c for c in steps.columns if c not in (*at, *solve.OUT)]
     few = steps.limit(MOST_STEPS + 1).count() <= MOST_STEPS
     rows = solved.join(F.broadcast(steps.select(*at, *air)) if few else steps.select(*at, *air), at)
-    out = apply(rows, COMFORT)
-    return out.select("zone", *keys, "t", "r", "c", *(F.when(F.col("ground") == 1, F.col(o)).alias(o) for o in outputs))
+    # null goes through the formulas: as a condition around them it would keep Spark from compiling them in pieces
+    out = apply(rows.withColumns({o: F.when(F.col("ground") == 1, F.col(o)) for o in solve.OUT}), COMFORT)
+    return out.select("zone", *keys, "t", "r", "c", *outputs)
 
 
 # -- queries ------------------------------------------------------------------------------------------
