@@ -174,8 +174,15 @@ def test_wall_light():
 
 
 def test_sky_view_has_every_kind_by_side(spark):
-    """Vegetation, and vegetation before buildings, by side too: 15 planes and the total."""
-    cells, *_ = scene(spark)
+    """Vegetation, and vegetation before buildings, by side too: 15 planes and the total; and the patches seen, as bits."""
+    cells, _, dsm, trees = scene(spark)
+    veg, trunk = (np.where(trees > 0, part * trees + dsm, 0.0) for part in (1.0, 0.25))
     got = march.sky_view_blocks(raster.layers(cells), 13.0)
-    assert set(got.columns) == {"r", "c", "total", *(k + s for k in ("svf", "veg", "aveg") for s in ("", "_e", "_s", "_w", "_n"))}
-    assert set(got.columns) == {"r", "c", *march.SKY}
+    planes = {"total", *(k + s for k in ("svf", "veg", "aveg") for s in ("", "_e", "_s", "_w", "_n"))}
+    assert set(got.columns) == {"r", "c", *planes, *march.BITS} and planes == set(march.SKY)
+    rows = got.collect()
+    seen = march.visible({b: np.array([r[b] for r in rows]) for b in march.BITS})
+    at = ([r.r for r in rows], [r.c for r in rows])
+    for i, (alt, azi, *_) in enumerate(march.patches(2)):
+        for plane, want in zip(seen, march.shadows(dsm, veg, trunk, raster.step_table(azi, alt, 13.0, *dsm.shape))):
+            assert (plane[:, i] == want[at].astype(bool)).all(), (i, alt, azi)

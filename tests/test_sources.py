@@ -69,7 +69,7 @@ def test_components_against_flood_fill(spark):
                 part.add(p)
                 stack += [(p[0] + a, p[1] + b) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]
         for p in part:
-            want[p] = min(r * 1_000_000 + c for r, c in part)
+            want[p] = min((r << 31) + c for r, c in part)
     assert got == want
 
 
@@ -107,10 +107,11 @@ def test_pipeline_runs_every_series_and_marches_low_suns(spark):
     assert lit[18, 19] == 1 and lit[12, 0] == 0
 
 
-def test_registered_pipeline_has_every_station_day(spark):
+def test_registered_pipeline_has_every_hour_of_every_mean_day(spark):
     data = "/root/testdata/sf0.001"
     if not os.path.isdir(data):
         pytest.skip("no test tables")
-    got = pipeline.comfort_by_hour(spark, data).groupBy("station", "date", "t").count()
-    want = pipeline._station_days(spark, data).select("station", "date", "t")
-    assert got.count() == want.count() > 1000 and want.join(got, ["station", "date", "t"], "left_anti").count() == 0
+    got = {(r.month, r.t) for r in pipeline.comfort_by_hour(spark, data).select("month", "t").collect()}
+    city, forcing = pipeline._zones(spark, data)
+    assert got == {(r.month, r.t) for r in forcing.select("month", "t").collect()} and len(got) >= 24
+    assert {r.zone for r in city.select("zone").distinct().collect()} == {r.zone for r in forcing.select("zone").distinct().collect()}

@@ -121,7 +121,7 @@ def sky_sums(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, top: float, sc
         sides = [s for s, yes in (("_e", 0 <= azi < 180), ("_s", 90 <= azi < 270), ("_w", 180 <= azi < 360), ("_n", azi >= 270 or azi < 90)) if yes]
         for kind, plane in zip(("svf", "veg", "aveg"), planes):
             out[kind] += all_w * plane
-            out[kind + "_bits"] += plane * 2.0**i
+            out[kind + "_bits"] += (plane != 0) * 2.0**i
             for s in sides:
                 out[kind + s] += half_w * plane
     return out

@@ -60,7 +60,7 @@ def around(cells: DataFrame, zones: DataFrame, overlap: int, keep: Sequence[str]
 def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Sequence[str] = ("tmrt", "utci"), scale: float = 1.0, block: int = 512, ground_only: bool = False, keys: Sequence[str] = (), overlap: int = OVERLAP, parts: int = PARTS, isotropic: bool = False) -> DataFrame:
     """``zone, keys, t, r, c`` and ``outputs`` for each cell and step of its zone; null in buildings, which ``ground_only`` leaves out.
 
-    ``city``: zone, r, c, dem, dsm, trees, lc. ``forcing``: zone, keys, t, hour, doy, latitude, ta, rh, radg, wind, p_kpa, one row a step;
+    ``city``: zone (or none), r, c, dem, dsm, trees, lc. ``forcing``: zone, keys, t, hour, doy, latitude, ta, rh, radg, wind, p_kpa, one row a step;
     ``keys`` tell apart series of steps (days), between which nothing is carried. A zone is solved by ``parts`` tasks, a series by one;
     it should hold some 1,000 by 1,000 cells at most, as it is one array. Steps without a latitude or a measure give no rows.
 
@@ -73,6 +73,8 @@ def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Se
     if unknown:
         raise ValueError(f"unknown outputs: {sorted(unknown)}")
     spark = city.sparkSession
+    if "zone" not in city.columns:  # one zone
+        city, forcing = city.withColumn("zone", F.lit(0)), forcing.withColumn("zone", F.lit(0))
     at = ["zone", *keys, "t"]
     needed = ("hour", "doy", "latitude", "ta", "rh", "radg", "wind")
     steps = apply(forcing.dropna(subset=list(needed)).select("zone", *keys, *_FORCING), STEP_FORCING)
