@@ -24,7 +24,7 @@ from thermaloom.plans.bindings import cells, met
 MOST_STEPS = 100_000
 OUTPUTS = ("tmrt", "utci", "wbgt", "lit", "k_down", "l_up")
 #: Cells around a zone that may cast shadows into it; a zone's steps are dealt to so many tasks.
-OVERLAP, PARTS = 60, 2
+OVERLAP, PARTS = 60, 1
 
 #: What depends on the step alone.
 STEP_FORCING: list[Step] = [
