@@ -68,3 +68,34 @@ def test_mean_radiant_of_a_uniform_field(spark):
     flux = "(5.67051e-8 * pow(t + 273.2, 4.0))"
     got = one(spark, [("l_down", flux), ("l_up", flux), ("l_sides", f"4.0 * {flux}"), ("k_down", "0.0"), ("k_up", "0.0"), ("k_sides", "0.0"), ("k_side_i", "0.0"), ("tmrt", radiation.mean_radiant(radiation.SSTR["cyl_iso"]))], t=25.0)
     assert got.tmrt == pytest.approx(25.0, abs=0.01)
+
+
+def _odd_readings(spark, folder, rows):
+    """Tables of a few readings (ta, rh, p), all else missing."""
+    from thermaloom.plans.bindings import MEASURES
+
+    plain = "station string, tile string, obs_time timestamp, t int, iy int, id int, it int, imin int"
+    schema = f"reading_id bigint, {plain}, " + ", ".join(f"{m} double" for m in MEASURES)
+    here = [(i, "s001", "a", None, 0, 2025, 180, 12, 0, *(x.get(m) for m in MEASURES)) for i, x in enumerate(dict(zip(("ta", "rh", "p"), r)) for r in rows)]
+    spark.createDataFrame(here, schema).coalesce(1).write.parquet(f"{folder}/met_inputs.parquet")
+    spark.createDataFrame([("a", 48.0)], "tile string, latitude double").coalesce(1).write.parquet(f"{folder}/grid_tiles.parquet")
+
+
+def _equals_sql(spark, folder, name):
+    duckdb = pytest.importorskip("duckdb")
+    from thermaloom.plans import physics_queries
+
+    con = duckdb.connect()
+    for t in ("met_inputs", "grid_tiles"):
+        con.sql(f"create view {t} as from '{folder}/{t}.parquet/*.parquet'")
+    got = sorted(tuple(map(str, r)) for r in physics_queries.QUERIES[name](spark, str(folder)).collect())
+    assert got == sorted(tuple(map(str, r)) for r in con.sql(physics_queries.SQL[name]).fetchall()) and got
+
+
+#: Temperatures at which the Magnus formula divides by zero, itself or by way of its result, and plain ones.
+ODD_READINGS = [(-243.5, 50.0, 1000.0), (-233.5, 50.0, 1000.0), (-243.4, 99.0, 1000.0), (-243.6, 20.0, None), (-250.0, 100.0, 1000.0), (-243.5, None, 1000.0), (-243.45, -16.0, 1000.0), (None, 50.0, 1000.0), (20.0, 50.0, 1000.0), (20.0, 150.0, 900.0), (float("nan"), 1.0, 1.0)]
+
+
+def test_magnus_of_impossible_temperatures(spark, tmp_path):
+    _odd_readings(spark, tmp_path, ODD_READINGS)
+    _equals_sql(spark, tmp_path, "magnus_rh")

@@ -46,6 +46,11 @@ def by_itself(expression: str) -> str:
     return f"greatest({expression}, {expression})"
 
 
+def over(a: str, b: str) -> str:
+    """The quotient as floating point has it, for Spark, where ``a / b`` fails if b is 0: infinite, or NaN of 0 by 0; null of null."""
+    return f"coalesce(try_divide({a}, {b}), case when ({b}) = 0 then ({a}) * cast('Infinity' as double) end)"
+
+
 def horner(x: str, coefficients: Sequence[str | float]) -> str:
     """Polynomial with the lowest power first."""
     out = str(coefficients[-1])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermaloom.functions import comfort, radiation, sky
-from thermaloom.functions.formula import Step, apply, chain_sql, real, wrap360
+from thermaloom.functions.formula import Step, apply, chain_sql, over, real, wrap360
 from thermaloom.plans import bindings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,12 +29,15 @@ SITE: list[Step] = [
 AIR: list[Step] = [("tmrt", "case when abs(ta) < 90.0 and abs(radg) < 2000.0 then ta + 0.03 * radg end"), ("va", "case when wind is not null and wind < 100.0 then greatest(wind, 0.15) end")]
 
 
-def define(name: str, steps: Sequence[Step], out: Sequence[tuple[str, int | None]], keep: Sequence[str] = ("reading_id",), base: str = "met", where: str | None = None) -> None:
-    """A query that applies a chain to a base relation and gives ``keep`` and rounded ``out`` columns."""
+def define(name: str, steps: Sequence[Step], out: Sequence[tuple[str, int | None]], keep: Sequence[str] = ("reading_id",), base: str = "met", where: str | None = None, plan: Sequence[Step] | None = None) -> None:
+    """A query that applies a chain to a base relation and gives ``keep`` and rounded ``out`` columns.
+
+    ``plan``: the same chain in Spark's words, where they differ from those of the SQL.
+    """
     make, sql = {"met": (bindings.met, bindings.MET_SQL), "cells": (bindings.cells, bindings.CELLS_SQL)}[base]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = apply(make(spark, sf_dir), steps)
+        df = apply(make(spark, sf_dir), steps if plan is None else plan)
         if where:
             df = df.where(real(where))
         return df.select(*keep, *(F.col(c) if digits is None else F.expr(f"round({c}, {digits}) + 0e0").alias(c) for c, digits in out))
@@ -46,9 +49,12 @@ def define(name: str, steps: Sequence[Step], out: Sequence[tuple[str, int | None
 
 
 MAGNUS = "6.112 * exp(17.67 * ({0}) / (({0}) + 243.5))"
+#: The same for Spark: near -243.5 degrees, as broken sensors report, the divisor or the whole is 0.
+_MAGNUS = "6.112 * exp(" + over("17.67 * ({0})", "({0}) + 243.5") + ")"
 # -- forcing ------------------------------------------------------------------
 define("met_clean", [], [(m, None) for m in bindings.MEASURES], keep=("reading_id", "station", "tile", "obs_time"))
-define("magnus_rh", [("dew", "ta - (100.0 - rh) / 5.0"), ("rh_magnus", f"least(100.0, greatest(0.0, 100.0 * ({MAGNUS.format('dew')}) / ({MAGNUS.format('ta')})))")], [("rh_magnus", 6)])
+define("magnus_rh", [("dew", "ta - (100.0 - rh) / 5.0"), ("rh_magnus", f"least(100.0, greatest(0.0, 100.0 * ({MAGNUS.format('dew')}) / ({MAGNUS.format('ta')})))")], [("rh_magnus", 6)],
+       plan=[("dew", "ta - (100.0 - rh) / 5.0"), ("e_dew", _MAGNUS.format("dew")), ("e_ta", _MAGNUS.format("ta")), ("rh_magnus", f"least(100.0, greatest(0.0, {over('100.0 * e_dew', 'e_ta')}))")])
 define("wind_speed_dir", [("u", "-wind * sin(wd * (pi() / 180.0))"), ("v", "-wind * cos(wd * (pi() / 180.0))"), ("speed", "sqrt(u * u + v * v)"), ("wind_from", f"case when speed > 0.01 then {wrap360('270.0 - atan2(v, u) / (pi() / 180.0)')} when speed is not null then 0.0 end"), ("dir_wrapped", "case when wind_from > 359.999999 then 0.0 else wind_from end")], [("speed", 6), ("dir_wrapped", 5)])
 define("wrf_rh", [("q2", "0.002 + rh / 8000.0"), ("e_pa", "q2 * (p * 100.0) / (287.05 / 461.5 + q2)"), ("rh_wrf", f"least(100.0, greatest(0.0, e_pa / (100.0 * {MAGNUS.format('ta')}) * 100.0))")], [("rh_wrf", 6)])
 define("wind_rotation", [("turn", "latitude / 200.0"), ("u", "-wind * sin(wd * (pi() / 180.0))"), ("v", "-wind * cos(wd * (pi() / 180.0))"), ("u_earth", "u * cos(turn) - v * sin(turn)"), ("v_earth", "v * cos(turn) + u * sin(turn)")], [("u_earth", 6), ("v_earth", 6)])
