@@ -99,3 +99,8 @@ ODD_READINGS = [(-243.5, 50.0, 1000.0), (-233.5, 50.0, 1000.0), (-243.4, 99.0, 1
 def test_magnus_of_impossible_temperatures(spark, tmp_path):
     _odd_readings(spark, tmp_path, ODD_READINGS)
     _equals_sql(spark, tmp_path, "magnus_rh")
+
+
+def test_wrf_humidity_of_impossible_temperatures(spark, tmp_path):
+    _odd_readings(spark, tmp_path, ODD_READINGS)
+    _equals_sql(spark, tmp_path, "wrf_rh")

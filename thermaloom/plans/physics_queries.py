@@ -56,7 +56,8 @@ define("met_clean", [], [(m, None) for m in bindings.MEASURES], keep=("reading_i
 define("magnus_rh", [("dew", "ta - (100.0 - rh) / 5.0"), ("rh_magnus", f"least(100.0, greatest(0.0, 100.0 * ({MAGNUS.format('dew')}) / ({MAGNUS.format('ta')})))")], [("rh_magnus", 6)],
        plan=[("dew", "ta - (100.0 - rh) / 5.0"), ("e_dew", _MAGNUS.format("dew")), ("e_ta", _MAGNUS.format("ta")), ("rh_magnus", f"least(100.0, greatest(0.0, {over('100.0 * e_dew', 'e_ta')}))")])
 define("wind_speed_dir", [("u", "-wind * sin(wd * (pi() / 180.0))"), ("v", "-wind * cos(wd * (pi() / 180.0))"), ("speed", "sqrt(u * u + v * v)"), ("wind_from", f"case when speed > 0.01 then {wrap360('270.0 - atan2(v, u) / (pi() / 180.0)')} when speed is not null then 0.0 end"), ("dir_wrapped", "case when wind_from > 359.999999 then 0.0 else wind_from end")], [("speed", 6), ("dir_wrapped", 5)])
-define("wrf_rh", [("q2", "0.002 + rh / 8000.0"), ("e_pa", "q2 * (p * 100.0) / (287.05 / 461.5 + q2)"), ("rh_wrf", f"least(100.0, greatest(0.0, e_pa / (100.0 * {MAGNUS.format('ta')}) * 100.0))")], [("rh_wrf", 6)])
+define("wrf_rh", [("q2", "0.002 + rh / 8000.0"), ("e_pa", "q2 * (p * 100.0) / (287.05 / 461.5 + q2)"), ("rh_wrf", f"least(100.0, greatest(0.0, e_pa / (100.0 * {MAGNUS.format('ta')}) * 100.0))")], [("rh_wrf", 6)],
+       plan=[("q2", "0.002 + rh / 8000.0"), ("e_pa", over("q2 * (p * 100.0)", "287.05 / 461.5 + q2")), ("e_ta", _MAGNUS.format("ta")), ("rh_wrf", f"least(100.0, greatest(0.0, {over('e_pa', '100.0 * e_ta')} * 100.0))")])
 define("wind_rotation", [("turn", "latitude / 200.0"), ("u", "-wind * sin(wd * (pi() / 180.0))"), ("v", "-wind * cos(wd * (pi() / 180.0))"), ("u_earth", "u * cos(turn) - v * sin(turn)"), ("v_earth", "v * cos(turn) + u * sin(turn)")], [("u_earth", 6), ("v_earth", 6)])
 define("wind_dir_bin", [("dir_bin", f"case when wd >= 0 then cast(floor(({wrap360('wd')} + 15.0) / 30.0) * 30 as int) % 360 end")], [("dir_bin", None)])
 define("met_file_format", [("f_wind", "coalesce(round(wind, 5), -999.0)"), ("f_ta", "coalesce(round(ta, 2), -999.0)"), ("f_rh", "coalesce(round(rh, 2), -999.0)"), ("f_kdn", "coalesce(round(radg, 2), -999.0)"), ("f_press", "coalesce(round(p_kpa, 2), -999.0)")], [("f_wind", None), ("f_ta", None), ("f_rh", None), ("f_kdn", None), ("f_press", None)], keep=("reading_id", "iy", "doy", "it", "imin"))
