@@ -186,3 +186,11 @@ def test_sky_view_has_every_kind_by_side(spark):
     for i, (alt, azi, *_) in enumerate(march.patches(2)):
         for plane, want in zip(seen, march.shadows(dsm, veg, trunk, raster.step_table(azi, alt, 13.0, *dsm.shape))):
             assert (plane[:, i] == want[at].astype(bool)).all(), (i, alt, azi)
+
+
+def test_vegetation_shadow_broadcasts_nothing(spark):
+    """What cells send is many times the cells: no join may take it for small and gather it at the driver."""
+    cells = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (1, 0, 9.0, 0.0, 0.0)], "r int, c int, dsm double, vegdsm double, vegdsm2 double")
+    got = raster.vegetation_shadow(cells, raster.step_table(180.0, 45.0, 9.0, 10, 10))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 0, 1, 1), (1, 0, 1, 1, 1)]

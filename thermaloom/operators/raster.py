@@ -157,15 +157,20 @@ def vegetation_shadow(cells: DataFrame, steps: Sequence[tuple]) -> DataFrame:
     """Building and vegetation shadow by an ordered fold over the steps of each cell (1 lit, 0 shaded).
 
     The vegetation state is cleared where the building front shades the cell, so order matters; ``cells`` has dsm, vegdsm, vegdsm2.
+    A cell sends its heights to itself as well, so one aggregation has all that it needs: what cells send is many times the cells,
+    which a join's estimate of its size does not see.
     """
-    s = F.col("s")
-    sent = cells.select("dsm", "vegdsm", "vegdsm2", "r", "c", _steps(steps).alias("s")).select(
+    s, own = F.col("s"), -1
+    sent = cells.select("dsm", "vegdsm", "vegdsm2", "r", "c", _steps([(own, 0, 0, 0.0), *steps]).alias("s")).select(
         (F.col("r") - s["dr"]).alias("r"), (F.col("c") - s["dc"]).alias("c"),
-        F.struct(s["i"].alias("i"), s["drop"].alias("drop"), (F.col("dsm") - s["drop"]).alias("a"), (F.col("vegdsm") - s["drop"]).alias("v"), (F.col("vegdsm2") - s["drop"]).alias("w")).alias("x"),
+        F.struct(s["i"].alias("i"), F.struct(F.col("dsm").alias("a"), F.col("vegdsm").alias("v"), F.col("vegdsm2").alias("w")).alias("x")).alias("e"),
     )
-    got = sent.groupBy("r", "c").agg(F.map_from_entries(F.collect_list(F.struct(F.col("x.i"), F.col("x")))).alias("m"))
-    every = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(z)).alias("drop"), F.lit(0.0).alias("a"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w")) for i, _, _, z in steps))
-    here = cells.select("r", "c", "dsm", "vegdsm2").join(got, ["r", "c"], "left").withColumn("xs", F.transform(every, lambda e: F.coalesce(F.element_at("m", e["i"]), e)))
+    got = sent.groupBy("r", "c").agg(F.map_from_entries(F.collect_list("e")).alias("m")).withColumn("own", F.element_at("m", own)).where("own is not null")
+    every = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(z)).alias("drop")) for i, _, _, z in steps))
+    met = F.transform(every, lambda e: F.struct(e["i"].alias("i"), e["drop"].alias("drop"), F.element_at("m", e["i"]).alias("x")))
+    lowered = lambda e, h: F.when(e["x"].isNull(), 0.0).otherwise(e["x"][h] - e["drop"]).alias(h)
+    xs = F.transform(met, lambda e: F.struct(e["i"].alias("i"), e["drop"].alias("drop"), *(lowered(e, h) for h in "avw")))
+    here = got.select("r", "c", F.col("own.a").alias("dsm"), F.col("own.w").alias("vegdsm2"), xs.alias("xs"))
     start = F.struct(F.col("dsm").alias("f"), F.lit(0.0).alias("veg"), F.lit(0.0).alias("vb"))
 
     def fold(acc: Column, x: Column) -> Column:
