@@ -194,3 +194,20 @@ def test_vegetation_shadow_broadcasts_nothing(spark):
     got = raster.vegetation_shadow(cells, raster.step_table(180.0, 45.0, 9.0, 10, 10))
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == [(0, 0, 0, 1, 1), (1, 0, 1, 1, 1)]
+
+
+@pytest.mark.parametrize("many", [1, 24])
+def test_sky_of_what_cells_see(spark, monkeypatch, many):
+    """View factors from the patches seen are those of the sums, whether a block is one task or several."""
+    monkeypatch.setattr(march, "MANY_BLOCKS", many)
+    cells, *_ = scene(spark)
+    layered = raster.layers(cells)
+    got = {(x.r, x.c): x.bits for x in march.sky_bits_blocks(layered, 12.0, 8).collect()}
+    want = march.sky_view_blocks(layered, 12.0, 8).join(layered.select("r", "c", "vegdsm2"), ["r", "c"]).collect()
+    assert len(got) == len(want) == 14 * 11
+    at = [(x.r, x.c) for x in want]
+    bits = dict(zip(march.SEEN, np.array([got[x] for x in at]).T))
+    sky = march.sky_of(bits, np.array([x.vegdsm2 == 0 for x in want]))
+    for name, v in sky.items():
+        assert np.allclose(v, [x[name] for x in want], atol=1e-12), name
+    assert all((bits[b] == np.array([x[b] for x in want])).all() for b in march.BITS)

@@ -211,16 +211,24 @@ def reach_of(top: float, altitude: float, scale: float = 1.0) -> int:
     return math.ceil(top * scale / math.tan(math.radians(altitude))) + 1
 
 
-def over_blocks(cells: DataFrame, planes: Sequence[str], kernel: Callable[..., dict[str, np.ndarray]], out: Sequence[str], halo: int, size: int = 512, groups: int = 0) -> DataFrame:
+def over_blocks(cells: DataFrame, planes: Sequence[str], kernel: Callable[..., dict[str, np.ndarray]], out: Sequence[str], halo: int, size: int = 512, groups: int = 0, within: Sequence[int] | None = None) -> DataFrame:
     """Run a kernel over square blocks with a symmetric halo and return the cores: ``r, c`` and the kernel's planes.
 
     Cells that are missing inside a block count as 0, as beyond the border. A cell
     goes to as many blocks as reach it; with blocks wider than twice the halo that
     is four at most. With ``groups`` every block is given to the kernel once for
-    each group, with its number, and a cell comes back as often.
+    each group, with its number, and a cell comes back as often. ``within``: least and largest r and c of all
+    cells, by which none are dealt to blocks that have no cells of their own.
     """
     size = max(size, 2 * halo)
-    near = lambda x: F.sequence(F.floor((F.col(x) - halo) / size).cast("int"), F.floor((F.col(x) + halo) / size).cast("int"))
+
+    def near(x: str):
+        low, high = (F.floor((F.col(x) + d) / size).cast("int") for d in (-halo, halo))
+        if within:
+            first, last = within["rc".index(x) * 2 :][:2]
+            low, high = F.greatest(low, F.lit(first // size)), F.least(high, F.lit(last // size))
+        return F.sequence(low, high)
+
     dealt = cells.select("r", "c", *(F.col(p).cast("double").alias(p) for p in planes)).withColumn("br", F.explode(near("r"))).withColumn("bc", F.explode(near("c")))
     ddl = "r int, c int, " + ", ".join(f"{o} double" for o in out)
     schema = pa.schema([("r", pa.int32()), ("c", pa.int32()), *((o, pa.float64()) for o in out)])
@@ -337,11 +345,69 @@ def sky_view_blocks(cells: DataFrame, top: float, size: int = 512, scale: float
     return sums.select("r", "c", *(F.least(F.col(p) + low.get(p, 0.0), F.lit(1.0)).alias(p) for p in _PARTS), total.alias("total"), *BITS)
 
 
-def visible(bits: dict[str, np.ndarray], option: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: The same for ``visible`` and for patches before which vegetation stands alone: these count twice in the sums of aveg.
+_WORDS = (*KINDS, "alone")
+SEEN = (*BITS, *(f"alone_bits{g}" for g in range(GROUPS)))
+#: From so many blocks on, one task marches all patches of a block.
+MANY_BLOCKS = 24
+
+
+def sky_bits_blocks(cells: DataFrame, top: float, size: int = 512, scale: float = 1.0, option: int = 2) -> DataFrame:
+    """``r, c, bits``: the patches that each cell sees, an integer for each of ``SEEN``; ``sky_of`` gives the sky view factors.
+
+    Many blocks are marched by a task each and nothing is shuffled behind them; of few, the patches are dealt out in groups.
+    """
+    halo = reach_of(top, min(a for _, a, *_ in bands(option)), scale)
+    e = cells.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    within, wide = tuple(e) if e[0] is not None else (0, 0, 0, 0), max(size, 2 * halo)
+    many = (within[1] // wide - within[0] // wide + 1) * (within[3] // wide - within[2] // wide + 1) >= MANY_BLOCKS
+
+    def words(g: dict[str, np.ndarray], group: int) -> list[np.ndarray]:
+        out = [np.zeros(g["dsm"].shape) for _ in _WORDS]
+        for i, (alt, azi, *_) in enumerate(patches(option)[group::GROUPS]):
+            open_ = shadows(g["dsm"], g["vegdsm"], g["vegdsm2"], step_table(azi, alt, top, halo + 1, halo + 1, scale))
+            for word, plane in zip(out, (*open_, open_[2] > 1)):
+                word += (plane != 0) * 2.0**i
+        return out
+
+    def all_of(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        by = [words(g, group) for group in range(GROUPS)]
+        return {f"{kind}_bits{group}": by[group][k] for k, kind in enumerate(_WORDS) for group in range(GROUPS)}
+
+    def some_of(g: dict[str, np.ndarray], group: int) -> dict[str, np.ndarray]:
+        return dict(zip(_WORDS, words(g, group))) | {"group": np.full(g["dsm"].shape, float(group))}
+
+    planes = ("dsm", "vegdsm", "vegdsm2")
+    if many:
+        return over_blocks(cells, planes, all_of, SEEN, halo, size, within=within).select("r", "c", F.array(*(F.col(b).cast("int") for b in SEEN)).alias("bits"))
+    parts = over_blocks(cells, planes, some_of, ("group", *_WORDS), halo, size, GROUPS, within)
+    each = F.struct(*(F.col(x).cast("int").alias(x) for x in ("group", *_WORDS)))
+    m = parts.groupBy("r", "c").agg(F.array_sort(F.collect_list(each)).alias("m"))  # all groups, in order
+    return m.select("r", "c", F.array(*(F.col("m")[g][kind] for kind in _WORDS for g in range(GROUPS))).alias("bits"))
+
+
+def sky_of(bits: dict[str, np.ndarray], bare: np.ndarray, option: int = 2) -> dict[str, np.ndarray]:
+    """Sky view factors from the patches that cells see; ``bare``: cells without a trunk zone."""
+    weights = np.zeros((5, len(patches(option))))
+    for i, (_, azi, n, lo, hi) in enumerate(patches(option)):
+        some = np.arange(lo + 1, hi + 1)
+        weights[0, i] = sum(annulus(k, n) for k in some)
+        sides = (0 <= azi < 180, 90 <= azi < 270, 180 <= azi < 360, azi >= 270 or azi < 90)
+        weights[1:, i] = np.array(sides) * sum(annulus(k, math.ceil(n / 2)) for k in some)
+    out = {}
+    sh, veg, aveg, alone = visible(bits, option, _WORDS)
+    for kind, plane in zip(KINDS, (sh, veg, aveg.astype(float) + alone)):
+        for side, w in zip(("", "_e", "_s", "_w", "_n"), weights):
+            low = LOW_ANNULI * (1.0 if kind == "svf" else bare) if side in ("_s", "_w") else 0.0
+            out[kind + side] = np.minimum(plane @ w + low, 1.0)
+    return out
+
+
+def visible(bits: dict[str, np.ndarray], option: int = 2, kinds: Sequence[str] = KINDS) -> tuple[np.ndarray, ...]:
     """Planes (cell, patch) of the patches that buildings, vegetation and vegetation before buildings leave open, from ``BITS``."""
     n = len(patches(option))
     out = []
-    for kind in KINDS:
+    for kind in kinds:
         plane = np.zeros((len(bits[f"{kind}_bits0"]), n), bool)
         for g in range(GROUPS):
             word = bits[f"{kind}_bits{g}"].astype(np.int64)

@@ -79,28 +79,37 @@ def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Se
     needed = ("hour", "doy", "latitude", "ta", "rh", "radg", "wind")
     steps = apply(forcing.dropna(subset=list(needed)).select("zone", *keys, *_FORCING), STEP_FORCING)
     layered = raster.layers(city)
-    view = march.sky_view_blocks(layered, top, block, scale).select("r", "c", *(x for x in march.SKY if x != "total"), *([] if isotropic else march.BITS))
-    props = raster.land_cover_properties(spark)  # seven rows
-    seen = layered.select("zone", "r", "c", "ground", "dsm", "vegdsm", "vegdsm2", raster.clean_land_cover(F.col("lc")).cast("int").alias("lc")).join(F.broadcast(props), "lc", "left").join(view, ["r", "c"])
+    # what a cell sees travels as bits, and its cover as a class: view factors and properties are worked out where a zone is solved
+    view = march.sky_bits_blocks(layered, top, block, scale)
     number = lambda c: F.col(c).cast("double").alias(c)
-    fixed = (*solve.STATIC, *(() if isotropic else march.BITS))
-    packed = seen.select("zone", "r", "c", *(number(x) for x in ("dsm", "vegdsm", "vegdsm2")), F.array(*(F.col(x).cast("double") for x in fixed)).alias("fixed"))
+    seen = layered.select("zone", "r", "c", "ground", *(number(x) for x in ("dsm", "vegdsm", "vegdsm2")), raster.clean_land_cover(F.col("lc")).cast("int").alias("lc")).join(view, ["r", "c"])
+    packed = seen.select("zone", "r", "c", "dsm", "vegdsm", "vegdsm2", F.concat(F.array("ground", "lc"), "bits").alias("fixed"))
     near = around(packed, city.select("zone", "r", "c"), overlap, ["r", "c", "dsm", "vegdsm", "vegdsm2", "fixed"])
     # cells around a zone only cast shadows: they go without what is known of them
     dealt = near.select("zone", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "own", "r", "c", "dsm", "vegdsm", "vegdsm2", F.when(F.col("own"), F.col("fixed")).alias("fixed"))
     suns = steps.select("zone", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(parts)).cast("int").alias("part"), *keys, "t", *(number(x) for x in solve.STEP))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in suns.select(*at).schema)
 
+    fixed = ("ground", "lc", *march.SEEN)
+
+    def static(known: np.ndarray, trunk: np.ndarray) -> dict[str, np.ndarray]:
+        of = dict(zip(fixed, known.T))
+        cover = np.array(raster.LAND_COVER)
+        at = np.searchsorted(cover[:, 0], of["lc"])
+        props = dict(zip(("albedo", "emissivity", "tgk", "tstart", "tmax_h"), cover[at, 1:].T))
+        return of | props | march.sky_of(of, trunk == 0)
+
     def zone(t: pa.Table, sky_: pa.Table) -> pa.Table:
         own = t["own"].to_numpy(zero_copy_only=False).astype(bool) if len(t) else np.zeros(0, bool)
-        known = np.zeros((0, len(fixed)))
+        known = np.zeros((0, len(fixed)), np.int64)
         if own.any():
             known = t["fixed"].filter(pa.array(own)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(fixed))
             if ground_only:
                 keep = known[:, 0] == 1
                 own[np.flatnonzero(own)[~keep]] = False
                 known = known[keep]
-        of = dict(zip(fixed, known.T))
+        trunk = np.nan_to_num(t["vegdsm2"].to_numpy(zero_copy_only=False))[own] if len(t) else np.zeros(0)
+        of = static(known, trunk)
         n = sky_.num_rows
         found = {o: np.zeros((n, 0)) for o in solve.OUT}
         r, c = (t[x].to_numpy() if len(t) else np.zeros(0, np.int32) for x in "rc")
