@@ -226,3 +226,42 @@ def test_nothing_to_solve(spark):
     with pytest.raises(ValueError):
         pipeline.thermal_comfort(city, forcing, 14.0, ("heat",))
     assert sky.bands()  # the sky has patches
+
+
+def test_summary_is_the_hours_grouped(spark):
+    """Folded where a zone is solved, or every hour grouped by cell and series: the same."""
+    every = day(spark, 2).withColumnRenamed("day", "spell")
+    night = every.withColumn("spell", F.lit("b")).where("t < 5").withColumn("ta", F.col("ta") - 9)
+    city, forcing = scene(spark, zones=2), every.where("t > 3").unionByName(night)
+    hours = pipeline.thermal_comfort(city, forcing, 14.0, ("tmrt", "utci", "wbgt"), keys=("spell",), ground_only=True)
+    slow = hours.groupBy("zone", "spell", "r", "c").agg(F.count("*").alias("hours"), *(g(x).alias(f"{n}_{x}") for x in ("tmrt", "utci", "wbgt") for n, g in (("mean", F.avg), ("max", F.max))))
+    key = lambda r: (r.zone, r.spell, r.r, r.c, r.hours)
+    want = {key(r): [r[x] for x in slow.columns[5:]] for r in slow.collect()}
+    once = forcing.where("zone = 0").withColumnRenamed("zone", "place").withColumn("place", F.lit("here"))
+    which = spark.createDataFrame([(0, "here"), (1, "here")], "zone int, place string")
+    for out in (pipeline.thermal_summary(city, forcing, 14.0, keys=("spell",)), pipeline.thermal_summary(city, once, 14.0, keys=("spell",), which=which)):
+        got = {key(r): [r[x] for x in slow.columns[5:]] for r in out.collect()}
+        assert len(want) == 2 * 380 and got.keys() == want.keys() and all(v == pytest.approx(want[k], abs=1e-9) for k, v in got.items())
+
+
+def test_comfort_cells_joins_no_cell_with_steps(spark):
+    """Cells times steps never are rows: what solves a zone gives the result, with no join, shuffle or aggregation behind it, and readings are grouped once."""
+    out = pipeline.comfort_cells(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    behind = plan[: plan.index("FlatMapCoGroupsInArrow")]
+    assert not any(x in behind for x in ("Join", "Exchange", "Aggregate")), behind
+    assert "met_inputs" not in plan
+
+
+@pytest.mark.parametrize("low", [0.0, -2.0])
+def test_part_of_a_march(spark, low):
+    """What surrounds a part casts shadows into it as in the whole."""
+    rng = np.random.default_rng(5)
+    for azimuth, altitude in ((20.0, 8.0), (135.0, 30.0), (250.0, 2.0), (300.0, 65.0)):
+        dsm = low + rng.integers(0, 9, (23, 31)) / 4 + 12.0 * (rng.random((23, 31)) < 0.2)
+        trees = rng.integers(3, 9, dsm.shape) * (rng.random(dsm.shape) < 0.2)
+        planes = (dsm, np.where(trees == 0, 0.0, trees + dsm), np.where(trees == 0, 0.0, trees / 4 + dsm))
+        steps = raster.step_table(azimuth, altitude, 26.0, 24, 32)
+        core = (slice(7, 15), slice(0, 30))
+        for whole, part in zip(march.shadows(*planes, steps), march.shadows(*planes, steps, core)):
+            assert (whole[core] == part).all()

@@ -34,50 +34,46 @@ def shifted(plane: np.ndarray, dr: int, dc: int, fill: float = 0.0) -> np.ndarra
     return out
 
 
-def _overlap(shape: tuple[int, int], dr: int, dc: int) -> tuple[tuple[slice, slice], tuple[slice, slice]] | None:
-    """Slices of the cells whose source at (r + dr, c + dc) exists, and of those sources."""
-    n, m = shape
-    if abs(dr) >= n or abs(dc) >= m:
-        return None
-    r0, r1, c0, c1 = max(0, -dr), min(n, n - dr), max(0, -dc), min(m, m - dc)
-    return (slice(r0, r1), slice(c0, c1)), (slice(r0 + dr, r1 + dr), slice(c0 + dc, c1 + dc))
-
-
-def shadows(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, steps: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shadows(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, steps: Sequence[tuple], core: tuple[slice, slice] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(building, vegetation, vegetation before buildings), 1 lit and 0 shaded, by one march from index 1.
 
     Only the cells whose source lies inside are touched in a step; a source beyond
     the border has height 0, which can rise only above ground below 0.
+    With ``core`` the planes of that part alone, upon which the rest casts its shadows.
     """
-    front = dsm.copy()
-    shade = np.zeros(dsm.shape, bool)
-    tree, behind = np.zeros(dsm.shape, bool), np.zeros(dsm.shape, bool)
-    planted = bool((veg > 0).any())
+    n, m = dsm.shape
+    rows, cols = core or (slice(0, n), slice(0, m))
+    whole = dsm[rows, cols]
+    shade = np.zeros(whole.shape, bool)
+    tree, behind = np.zeros(whole.shape, bool), np.zeros(whole.shape, bool)
+    planted, before = bool((veg > 0).any()), np.ones(whole.shape, bool)
     sunken = bool((dsm < 0).any())
-    rooted = trunk > dsm
-    relief = max(dsm.max(), veg.max()) - dsm.min() if dsm.size and not sunken else math.inf
+    rooted = trunk[rows, cols] > whole
+    relief = max(dsm.max(), veg.max()) - whole.min() if whole.size and not sunken else math.inf
+    canopy = veg.max() - whole.min() if whole.size and not sunken else math.inf
     for i, dr, dc, drop in steps:
         if i > 2 and drop >= relief:  # nothing is left that could rise above any ground
             break
-        both = _overlap(dsm.shape, dr, dc)
+        if planted and i > 2 and drop >= canopy:  # no vegetation is left that could; what buildings shade from here on is taken out at the end
+            planted, before = False, shade.copy()
+        r0, r1, c0, c1 = max(rows.start, -dr), min(rows.stop, n - dr), max(cols.start, -dc), min(cols.stop, m - dc)
+        both = r0 < r1 and c0 < c1
+        here, there = (slice(r0 - rows.start, r1 - rows.start), slice(c0 - cols.start, c1 - cols.start)), (slice(r0 + dr, r1 + dr), slice(c0 + dc, c1 + dc))
         if sunken:  # beyond the border
-            outside = np.ones(dsm.shape, bool)
+            outside = whole < 0
             if both:
-                outside[both[0]] = False
-            front[outside] = np.maximum(front[outside], 0.0)
-            shade = front > dsm
+                outside[here] = False
+            shade |= outside
             tree &= ~shade
         if both:
-            here, there = both
-            ground, f = dsm[here], front[here]
+            ground, s = whole[here], shade[here]
             a = dsm[there] - drop
-            np.maximum(f, a, out=f)
-            np.greater(f, ground, out=shade[here])
+            s |= a > ground
             if planted:
                 v = veg[there] - drop
                 t = tree[here]
-                t |= (v > ground) & ~(trunk[there] - drop > ground)
-                t &= ~shade[here]
+                t |= (v > ground) & (trunk[there] - drop <= ground)
+                np.greater(t, s, out=t)  # and not in the shade of a building
                 if i == 1:
                     gap = v - a
                     t |= (gap > 0) & (gap < drop) | (gap <= 0) & (1000.0 < drop)
@@ -89,7 +85,8 @@ def shadows(dsm: np.ndarray, veg: np.ndarray, trunk: np.ndarray, steps: Sequence
         elif i == 2 or sunken:
             behind |= tree
         elif both:
-            behind[both[0]] |= tree[both[0]]
+            behind[here] |= tree[here]
+    tree &= ~shade | before
     return 1.0 - shade, 1.0 - tree, 1.0 - (behind.astype(float) - tree)
 
 
@@ -211,14 +208,15 @@ def reach_of(top: float, altitude: float, scale: float = 1.0) -> int:
     return math.ceil(top * scale / math.tan(math.radians(altitude))) + 1
 
 
-def over_blocks(cells: DataFrame, planes: Sequence[str], kernel: Callable[..., dict[str, np.ndarray]], out: Sequence[str], halo: int, size: int = 512, groups: int = 0, within: Sequence[int] | None = None) -> DataFrame:
+def over_blocks(cells: DataFrame, planes: Sequence[str], kernel: Callable[..., dict[str, np.ndarray]], out: Sequence[str], halo: int, size: int = 512, groups: int = 0, within: Sequence[int] | None = None, cores: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Run a kernel over square blocks with a symmetric halo and return the cores: ``r, c`` and the kernel's planes.
 
     Cells that are missing inside a block count as 0, as beyond the border. A cell
     goes to as many blocks as reach it; with blocks wider than twice the halo that
     is four at most. With ``groups`` every block is given to the kernel once for
     each group, with its number, and a cell comes back as often. ``within``: least and largest r and c of all
-    cells, by which none are dealt to blocks that have no cells of their own.
+    cells, by which none are dealt to blocks that have no cells of their own. With ``cores`` the kernel also gets
+    the slices of a block's core, and gives the planes of the core alone. Columns ``carry`` come back with each cell as they are.
     """
     size = max(size, 2 * halo)
 
@@ -229,11 +227,12 @@ def over_blocks(cells: DataFrame, planes: Sequence[str], kernel: Callable[..., d
             low, high = F.greatest(low, F.lit(first // size)), F.least(high, F.lit(last // size))
         return F.sequence(low, high)
 
-    dealt = cells.select("r", "c", *(F.col(p).cast("double").alias(p) for p in planes)).withColumn("br", F.explode(near("r"))).withColumn("bc", F.explode(near("c")))
-    ddl = "r int, c int, " + ", ".join(f"{o} double" for o in out)
-    schema = pa.schema([("r", pa.int32()), ("c", pa.int32()), *((o, pa.float64()) for o in out)])
+    dealt = cells.select("r", "c", *(F.col(p).cast("double").alias(p) for p in planes), *carry).withColumn("br", F.explode(near("r"))).withColumn("bc", F.explode(near("c")))
+    ddl = ", ".join(("r int, c int", *(f"{o} double" for o in out), *(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*carry).schema)))
+    plain = pa.schema([("r", pa.int32()), ("c", pa.int32()), *((o, pa.float64()) for o in out)])
 
     def block(t: pa.Table) -> pa.Table:
+        schema = pa.schema([*plain, *(t.schema.field(x) for x in carry)])
         r, c = t["r"].to_numpy(), t["c"].to_numpy()
         br, bc = t["br"][0].as_py(), t["bc"][0].as_py()
         inner = (r // size == br) & (c // size == bc)
@@ -246,9 +245,12 @@ def over_blocks(cells: DataFrame, planes: Sequence[str], kernel: Callable[..., d
             g = np.zeros(shape)
             g[r - r0, c - c0] = np.nan_to_num(t[p].to_numpy(zero_copy_only=False))
             grids[p] = g
-        done = kernel(grids, t["g"][0].as_py()) if groups else kernel(grids)
         ri, ci = r[inner], c[inner]
-        return pa.table([pa.array(ri, pa.int32()), pa.array(ci, pa.int32()), *(pa.array(done[o][ri - r0, ci - c0]) for o in out)], schema=schema)
+        core = (slice(int(ri.min() - r0), int(ri.max() - r0 + 1)), slice(int(ci.min() - c0), int(ci.max() - c0 + 1)))
+        done = kernel(grids, *([t["g"][0].as_py()] if groups else []), *([core] if cores else []))
+        if cores:
+            r0, c0 = r0 + core[0].start, c0 + core[1].start
+        return pa.table([pa.array(ri, pa.int32()), pa.array(ci, pa.int32()), *(pa.array(done[o][ri - r0, ci - c0]) for o in out), *(t[x].filter(pa.array(inner)) for x in carry)], schema=schema)
 
     if groups:
         dealt = dealt.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -350,40 +352,48 @@ _WORDS = (*KINDS, "alone")
 SEEN = (*BITS, *(f"alone_bits{g}" for g in range(GROUPS)))
 #: From so many blocks on, one task marches all patches of a block.
 MANY_BLOCKS = 24
+#: A march goes over so many cells at a time, which a core's cache holds.
+STRIP = 65_536
 
 
-def sky_bits_blocks(cells: DataFrame, top: float, size: int = 512, scale: float = 1.0, option: int = 2) -> DataFrame:
-    """``r, c, bits``: the patches that each cell sees, an integer for each of ``SEEN``; ``sky_of`` gives the sky view factors.
+def sky_bits_blocks(cells: DataFrame, top: float, size: int = 512, scale: float = 1.0, option: int = 2, carry: Sequence[str] = ()) -> DataFrame:
+    """``r, c, carry, bits``: the patches that each cell sees, an integer for each of ``SEEN``; ``sky_of`` gives the sky view factors.
 
-    Many blocks are marched by a task each and nothing is shuffled behind them; of few, the patches are dealt out in groups.
+    Columns ``carry`` travel with the cells, so that none has to be joined with what it sees. Many blocks are marched by a task each and nothing is shuffled behind them; of few, the patches are dealt out in groups.
     """
     halo = reach_of(top, min(a for _, a, *_ in bands(option)), scale)
     e = cells.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
     within, wide = tuple(e) if e[0] is not None else (0, 0, 0, 0), max(size, 2 * halo)
     many = (within[1] // wide - within[0] // wide + 1) * (within[3] // wide - within[2] // wide + 1) >= MANY_BLOCKS
 
-    def words(g: dict[str, np.ndarray], group: int) -> list[np.ndarray]:
-        out = [np.zeros(g["dsm"].shape) for _ in _WORDS]
+    def words(g: dict[str, np.ndarray], group: int, core: tuple[slice, slice]) -> list[np.ndarray]:
+        rows, cols = core
+        out = [np.zeros((rows.stop - rows.start, cols.stop - cols.start)) for _ in _WORDS]
+        high = max(1, STRIP // out[0].shape[1])
         for i, (alt, azi, *_) in enumerate(patches(option)[group::GROUPS]):
-            open_ = shadows(g["dsm"], g["vegdsm"], g["vegdsm2"], step_table(azi, alt, top, halo + 1, halo + 1, scale))
-            for word, plane in zip(out, (*open_, open_[2] > 1)):
-                word += (plane != 0) * 2.0**i
+            steps = step_table(azi, alt, top, halo + 1, halo + 1, scale)
+            for first in range(rows.start, rows.stop, high):
+                strip = slice(first, min(first + high, rows.stop))
+                open_ = shadows(g["dsm"], g["vegdsm"], g["vegdsm2"], steps, (strip, cols))
+                for word, plane in zip(out, (*open_, open_[2] > 1)):
+                    word[strip.start - rows.start : strip.stop - rows.start] += (plane != 0) * 2.0**i
         return out
 
-    def all_of(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        by = [words(g, group) for group in range(GROUPS)]
+    def all_of(g: dict[str, np.ndarray], core: tuple[slice, slice]) -> dict[str, np.ndarray]:
+        by = [words(g, group, core) for group in range(GROUPS)]
         return {f"{kind}_bits{group}": by[group][k] for k, kind in enumerate(_WORDS) for group in range(GROUPS)}
 
-    def some_of(g: dict[str, np.ndarray], group: int) -> dict[str, np.ndarray]:
-        return dict(zip(_WORDS, words(g, group))) | {"group": np.full(g["dsm"].shape, float(group))}
+    def some_of(g: dict[str, np.ndarray], group: int, core: tuple[slice, slice]) -> dict[str, np.ndarray]:
+        out = words(g, group, core)
+        return dict(zip(_WORDS, out)) | {"group": np.full(out[0].shape, float(group))}
 
     planes = ("dsm", "vegdsm", "vegdsm2")
     if many:
-        return over_blocks(cells, planes, all_of, SEEN, halo, size, within=within).select("r", "c", F.array(*(F.col(b).cast("int") for b in SEEN)).alias("bits"))
-    parts = over_blocks(cells, planes, some_of, ("group", *_WORDS), halo, size, GROUPS, within)
+        return over_blocks(cells, planes, all_of, SEEN, halo, size, within=within, cores=True, carry=carry).select("r", "c", *carry, F.array(*(F.col(b).cast("int") for b in SEEN)).alias("bits"))
+    parts = over_blocks(cells, planes, some_of, ("group", *_WORDS), halo, size, GROUPS, within, cores=True, carry=carry)
     each = F.struct(*(F.col(x).cast("int").alias(x) for x in ("group", *_WORDS)))
-    m = parts.groupBy("r", "c").agg(F.array_sort(F.collect_list(each)).alias("m"))  # all groups, in order
-    return m.select("r", "c", F.array(*(F.col("m")[g][kind] for kind in _WORDS for g in range(GROUPS))).alias("bits"))
+    m = parts.groupBy("r", "c", *carry).agg(F.array_sort(F.collect_list(each)).alias("m"))  # all groups, in order
+    return m.select("r", "c", *carry, F.array(*(F.col("m")[g][kind] for kind in _WORDS for g in range(GROUPS))).alias("bits"))
 
 
 def sky_of(bits: dict[str, np.ndarray], bare: np.ndarray, option: int = 2) -> dict[str, np.ndarray]:

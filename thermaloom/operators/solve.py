@@ -8,11 +8,12 @@ of ``functions/radiation.py``, to which the tests compare.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 from thermaloom.functions import radiation as rad
+from thermaloom.functions.comfort import UTCI_COEFFICIENTS
 from thermaloom.operators.march import BITS, TRANSMISSION, patches, shadows, visible
 from thermaloom.operators.raster import step_table
 
@@ -26,6 +27,10 @@ STATIC = ("ground", "albedo", "emissivity", "tgk", "tstart", "tmax_h", "svf", "v
 PEREZ = ("px_a", "px_b", "px_c", "px_d", "px_e")
 STEP = (*PEREZ, "hour", "altitude", "azimuth", "zen", "sin_alt", "cos_alt", "sunrise", "altmax", "psi", "ci_surface", "ci_used", "esky", "ta", "radg", "beam", "scatter", "tg_wall")
 OUT = ("lit", "l_up", "k_down", "tmrt")
+#: What comfort needs of a step besides, and what is folded over the steps of a series.
+AIR, FELT = ("va", "pa", "tw_c", "bg_a"), ("tmrt", "utci", "wbgt")
+#: So many numbers are worked out at once for the sky over all cells in several steps.
+AT_ONCE = 1 << 20
 
 
 def side_weight(x: np.ndarray) -> np.ndarray:
@@ -80,10 +85,11 @@ class Dome:
         self.side, self.down = self.solid * np.cos(self.alt), self.solid * np.sin(self.alt)
         sh, veg, behind = visible(bits, option)
         self.open_ = (sh - (1.0 - veg) * (1 - TRANSMISSION)).astype(np.float64)
-        self.wall = ~sh & behind
+        wall = ~sh & behind
+        self.wall = wall.T.copy()
         toward = np.stack([self.side, self.down], axis=1)
         self.green = (~veg | ~behind) @ toward
-        self.walls = self.wall @ toward
+        self.walls = wall @ toward
         self.mirror = (~sh | ~veg | ~behind) @ toward
         # the emissivity of the sky is that of a band
         bands, at = np.unique(self.alt, return_inverse=True)
@@ -103,16 +109,37 @@ class Dome:
             bright = (1 + a * np.exp(b / np.maximum(np.sin(self.alt), 1e-9))) * (1 + c * np.exp(d * np.arccos(np.clip(towards, -1, 1))) + e * towards**2)
         return bright / bright.sum()
 
-    def lit(self, step: dict, facing: bool) -> np.ndarray:
-        """(cell, side and down) of the walls that the sun lights; with ``facing`` only those opposite to it."""
-        turn = np.abs(step["azimuth"] - self.azi)
-        least = np.minimum(2 * np.cos(np.radians(turn)) * np.tan(np.radians(step["altitude"])), 0.0)
-        clear = self.rise[:, None] < np.tan(self.alt) - least
-        which = (turn > 90) & (turn < 270) if facing else np.ones(len(turn), bool)
-        return (clear & self.wall) @ (np.stack([self.side, self.down], axis=1) * which[:, None])
+    def skies(self, steps: Sequence[dict]) -> Iterator[tuple[np.ndarray, ...]]:
+        """By cell, for each of the steps that is by day: diffuse light of the open sky on the level and from the side, and of the walls that the sun lights
+        all from the side, those opposite to it from the side and down.
 
+        What is summed over the same patches for all cells is one product for many steps.
+        """
+        days = [s for s in steps if s["altitude"] > 0]
+        size = max(1, AT_ONCE // max(1, 5 * len(self.rise)))
+        low, high = self.rise.min(initial=np.inf), self.rise.max(initial=-np.inf)
+        for first in range(0, len(days), size):
+            some = days[first : first + size]
+            bright, beside, wide, edges = [], [], [], []
+            for s in some:
+                x = self.luminance(s)
+                bright.append(x * s["scatter"])
+                beside.append(bright[-1] * self.side / (x * self.down).sum())
+                turn = np.abs(s["azimuth"] - self.azi)
+                which = (turn > 90) & (turn < 270)
+                wide.append(np.stack([self.side, self.side * which, self.down * which]))
+                # a wall is lit where the cell's sky rises less than this
+                edges.append(np.tan(self.alt) - np.minimum(2 * np.cos(np.radians(turn)) * np.tan(np.radians(s["altitude"])), 0.0))
+            every = [w * (e > high) for w, e in zip(wide, edges)]
+            n = len(some)
+            sky = np.array([*bright, *beside]) @ self.open_.T
+            lit = (np.concatenate(every) @ self.wall).reshape(n, 3, -1)
+            for i, (w, e) in enumerate(zip(wide, edges)):
+                p = np.flatnonzero((e > low) & (e <= high))  # for some cells and not for others
+                yield sky[i], sky[n + i], *(lit[i] + w[:, p] @ (self.wall[p] & (self.rise < e[p, None])))
 
-def anisotropic(site: Site, dome: Dome, step: dict, lit: np.ndarray, l_up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def anisotropic(site: Site, dome: Dome, step: dict, lit: np.ndarray, l_up: np.ndarray, skies: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """Downward short wave and mean radiant temperature under a sky that is brighter here than there."""
     s, day = site.s, step["altitude"] > 0
     ta = step["ta"] + 273.15
@@ -121,14 +148,11 @@ def anisotropic(site: Site, dome: Dome, step: dict, lit: np.ndarray, l_up: np.nd
     if day:
         share = shaded_share(step["zen"], site.alfa)
         reflected = aw * (1 - site.buveg) * (step["radg"] * (1 - share) + step["scatter"] * share)
-        bright = dome.luminance(step)
-        total = (bright * dome.down).sum()
-        sky, beside = (dome.open_ @ np.stack([bright, bright * dome.side / total], axis=1)).T * step["scatter"]
+        sky, beside, on, *hot = next(skies)
         k_down = step["beam"] * lit * step["sin_alt"] + sky + reflected
         k_up = s["albedo"] * lit * step["beam"] * step["sin_alt"] + (step["scatter"] * site.buveg + reflected) * s["albedo"]
         dark = aw * step["scatter"] * 0.5 / np.pi
         sunny = (aw * step["beam"] * step["cos_alt"] + step["scatter"] * 0.5) / np.pi
-        on = dome.lit(step, False)[:, 0]
         k_side = step["beam"] * lit * step["cos_alt"] + beside + dark * dome.green[:, 0] + sunny * on + dark * (dome.walls[:, 0] - on)
     ci = step["ci_used"]
     esky = ci * step["esky"] + 1 - ci if ci < 0.95 else step["esky"]
@@ -136,12 +160,13 @@ def anisotropic(site: Site, dome: Dome, step: dict, lit: np.ndarray, l_up: np.nd
     from_sky = (1 - (1 - esky) * np.exp(0.308 * (1.7 - dome.path))) * air / np.pi
     sky_side, sky_down = dome.sky_side @ from_sky, dome.sky_down @ from_sky
     cold, warm = ew * air / np.pi, ew * SBC * (ta + step["tg_wall"]) ** 4 / np.pi
-    hot = dome.lit(step, True) if day else np.zeros((len(lit), 2))
+    if not day:
+        hot = np.zeros((2, len(lit)))
     back = (sky_down + l_up) * (1 - ew) * 0.5 / np.pi
-    l_side, l_down = (sky + cold * dome.green[:, i] + warm * hot[:, i] + cold * (dome.walls[:, i] - hot[:, i]) + back * dome.mirror[:, i] for i, sky in ((0, sky_side), (1, sky_down)))
+    l_side, l_down = (sky + cold * dome.green[:, i] + warm * hot[i] + cold * (dome.walls[:, i] - hot[i]) + back * dome.mirror[:, i] for i, sky in ((0, sky_side), (1, sky_down)))
     absorbed = rad.ABS_K * (k_side * rad.F_CYL + (k_down + k_up) * rad.F_UP + 2 * k_up * rad.F_SIDE) + rad.ABS_L * ((l_down + l_up) * rad.F_UP + l_side * rad.F_CYL + 2 * l_up * rad.F_SIDE)
     with np.errstate(invalid="ignore"):
-        return k_down, (absorbed / (rad.ABS_L * SBC)) ** 0.25 - 273.2
+        return k_down, np.sqrt(np.sqrt(absorbed / (rad.ABS_L * SBC))) - 273.2
 
 
 def fluxes(site: Site, step: dict, lit: np.ndarray, l_up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,31 +209,34 @@ def fluxes(site: Site, step: dict, lit: np.ndarray, l_up: np.ndarray) -> tuple[n
         return k_down, (absorbed / (rad.ABS_L * SBC)) ** 0.25 - 273.2
 
 
-def solve(planes: Sequence[np.ndarray], at: tuple[np.ndarray, np.ndarray], static: dict[str, np.ndarray], steps: Sequence[dict], series: Sequence, top: float, scale: float = 1.0, bits: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
-    """``OUT`` of the cells ``at`` in each step, an array (step, cell) each.
+def each(planes: Sequence[np.ndarray], at: tuple[np.ndarray, np.ndarray], static: dict[str, np.ndarray], steps: Sequence[dict], series: Sequence, top: float, scale: float = 1.0, bits: dict[str, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """``OUT`` of the cells ``at``, step by step.
 
     ``planes``: dsm, vegdsm, vegdsm2 of the zone with what lies around it; ``steps`` in order
     of time within each of ``series``, for which the carried state begins anew. With ``bits``, the
     patches that the cells see, the sky is anisotropic.
     """
-    site, n, m = Site(static), len(steps), len(at[0])
+    site, m = Site(static), len(at[0])
     dome = Dome(bits, static["svf"]) if bits is not None else None
-    out = {o: np.zeros((n, m)) for o in OUT}
+    skies = dome.skies(steps) if dome else None
     reach = planes[0].shape
+    # only the cells' own part is marched; what lies around it casts shadows
+    core = tuple(slice(int(x.min()), int(x.max()) + 1) for x in at) if m else None
+    inside = tuple(x - s.start for x, s in zip(at, core)) if m else at
     last = since = None
     for i, step in enumerate(steps):
         if i == 0 or series[i] != series[i - 1]:
             last = since = None
         day, ta = step["altitude"] > 0, step["ta"]
         if day:
-            sh, veg, _ = shadows(*planes, step_table(step["azimuth"], step["altitude"], top, reach[0] + 1, reach[1] + 1, scale))
-            lit = np.maximum(sh[at] - (1 - veg[at]) * (1 - step["psi"]), 0.0)
+            sh, veg, _ = shadows(*planes, step_table(step["azimuth"], step["altitude"], top, reach[0] + 1, reach[1] + 1, scale), core)
+            lit = np.maximum(sh[inside] - (1 - veg[inside]) * (1 - step["psi"]), 0.0)
             with np.errstate(all="ignore"):
                 wave = np.sin((step["hour"] - step["sunrise"]) / (static["tmax_h"] - step["sunrise"]) * np.pi / 2)
             tg = np.maximum(np.nan_to_num((static["tgk"] * step["altmax"] + static["tstart"]) * wave * step["ci_surface"]), 0.0)
         else:
             lit = tg = np.zeros(m)
-        now = SBC * static["emissivity"] * (tg * lit + ta + 273.15) ** 4
+        now = SBC * static["emissivity"] * np.square(np.square(tg * lit + ta + 273.15))
         if day:
             gap = 0.0 if since is None else (step["hour"] - since) % 24.0
             keep = np.exp(-DECAY / 24 * gap)
@@ -218,6 +246,68 @@ def solve(planes: Sequence[np.ndarray], at: tuple[np.ndarray, np.ndarray], stati
             now = held
         else:
             last = since = None
-        out["lit"][i], out["l_up"][i] = lit, now
-        out["k_down"][i], out["tmrt"][i] = fluxes(site, step, lit, now) if dome is None else anisotropic(site, dome, step, lit, now)
+        yield (lit, now, *(fluxes(site, step, lit, now) if dome is None else anisotropic(site, dome, step, lit, now, skies)))
+
+
+def solve(planes: Sequence[np.ndarray], at: tuple[np.ndarray, np.ndarray], static: dict[str, np.ndarray], steps: Sequence[dict], series: Sequence, top: float, scale: float = 1.0, bits: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """``OUT`` of the cells ``at`` in each step, an array (step, cell) each; the arguments are those of ``each``."""
+    out = {o: np.zeros((len(steps), len(at[0]))) for o in OUT}
+    for i, found in enumerate(each(planes, at, static, steps, series, top, scale, bits)):
+        for o, v in zip(OUT, found):
+            out[o][i] = v
     return out
+
+
+def utci_by_radiation(ta: np.ndarray, va: np.ndarray, pa: np.ndarray) -> list[np.ndarray]:
+    """UTCI - ta as a polynomial in tmrt - ta for each state of the air, constant first; the order is that of ``comfort.utci_polynomial``."""
+    out, at = [np.zeros(len(ta)) for _ in range(7)], iter(UTCI_COEFFICIENTS)
+    for l in range(7):
+        for k in range(7 - l):
+            for j in range(7 - l - k):
+                out[k] += pa**l * va**j * sum(next(at) * ta**i for i in range(7 - l - k - j))
+    return out
+
+
+def felt(step: dict, by: np.ndarray, tmrt: np.ndarray, lit: np.ndarray) -> tuple[np.ndarray | None, ...]:
+    """UTCI and WBGT in a step; None for one that the step's air leaves undefined. ``by``: the step's ``utci_by_radiation``. The formulas are ``comfort.UTCI``, ``comfort.GLOBE`` and ``comfort.wbgt``."""
+    ta, va, pa, tw, a = step["ta"], *(step[x] for x in AIR)
+    utci = wbgt = None
+    if None not in (va, pa):
+        d = tmrt - ta
+        utci = np.full(len(d), by[-1])
+        for x in by[-2::-1]:
+            utci *= d
+            utci += x
+        utci += ta
+    if None not in (tw, a):
+        b = np.square(np.square(tmrt + 273.15)) + a * (ta + 273.15)
+        e = np.cbrt(9 * a * a + 1.73205 * np.sqrt(27 * a**4 + 256 * b * b * b))
+        k = 0.381571 * e - 3.4943 * b / e
+        globe = 0.5 * np.sqrt(np.maximum(2 * a / np.sqrt(np.maximum(k, 1e-30)) - k, 0.0)) - 0.5 * np.sqrt(np.maximum(k, 0.0)) - 273.15
+        wbgt = 0.7 * tw + np.where(lit < 0.1, 0.3 * globe, 0.2 * globe + 0.1 * ta)
+    return utci, wbgt
+
+
+def fold(found: Iterator[tuple[np.ndarray, ...]], steps: Sequence[dict], series: Sequence, m: int) -> Iterator[tuple[int, int, dict[str, np.ndarray | None]]]:
+    """(first step, steps, mean_x and max_x of each x of ``FELT`` by cell) of each series; what a step leaves undefined is left out."""
+    first, n, total, most = 0, {}, {}, {}
+    by = np.transpose(utci_by_radiation(*(np.array([s[x] for s in steps], float) for x in ("ta", "va", "pa"))))
+    for i, (step, (lit, _, _, tmrt)) in enumerate(zip(steps, found)):
+        if i and series[i] != series[i - 1]:
+            yield first, i - first, _folded(n, total, most)
+            first, n, total, most = i, {}, {}, {}
+        for x, v in zip(FELT, (tmrt, *felt(step, by[i], tmrt, lit))):
+            if v is None:
+                continue
+            n[x] = n.get(x, 0) + 1
+            if n[x] == 1:
+                total[x], most[x] = v.copy(), v.copy()
+            else:
+                total[x] += v
+                np.maximum(most[x], v, out=most[x])
+    if steps:
+        yield first, len(steps) - first, _folded(n, total, most)
+
+
+def _folded(n: dict[str, int], total: dict[str, np.ndarray], most: dict[str, np.ndarray]) -> dict[str, np.ndarray | None]:
+    return {f"mean_{x}": total[x] / n[x] if x in n else None for x in FELT} | {f"max_{x}": most.get(x) for x in FELT}

@@ -4,11 +4,12 @@ The formulas of a step (sun, sky, clearness, humidity) and of comfort are expres
 the march, the carried surface temperature and the fluxes of a zone are one kernel
 (``operators/solve.py``). A cell is shuffled once for its sky view and once for each zone
 near it; what comes out is aggregated or written without another shuffle of cells and steps.
+``thermal_summary`` folds the steps of a series in the kernel, so that cells times steps rows never are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from thermaloom.functions import comfort, radiation, sky
 from thermaloom.functions.formula import Step, apply
 from thermaloom.operators import march, raster, solve
 from thermaloom.plans.bindings import cells, met
+from thermaloom.session import materialize
 
 #: The table of steps is broadcast if it has at most so many rows, and joined as any other beyond.
 MOST_STEPS = 100_000
@@ -40,6 +42,8 @@ STEP_FORCING: list[Step] = [
 
 #: What depends on the step and on tmrt.
 COMFORT: list[Step] = [*comfort.UTCI, *comfort.GLOBE, ("wbgt", comfort.wbgt())]
+#: The part of it that depends on the step alone.
+AIR: list[Step] = [x for x in (*comfort.UTCI, *comfort.GLOBE) if x[0] in ("tk", "pa", "hc", "bg_a")]
 
 _FORCING = ("t", "hour", "doy", "latitude", "ta", "rh", "radg", "wind", "p_kpa")
 
@@ -72,23 +76,85 @@ def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Se
     unknown = set(outputs) - set(OUTPUTS)
     if unknown:
         raise ValueError(f"unknown outputs: {sorted(unknown)}")
-    spark = city.sparkSession
+    city, steps = _zoned(city, forcing, keys)
+    at = ["zone", *keys, "t"]
+
+    def rows(sky_: pa.Table, series: Sequence, m: int, ground: np.ndarray, r: np.ndarray, c: np.ndarray, found: Iterator[tuple[np.ndarray, ...]]) -> pa.Table:
+        n = sky_.num_rows
+        planes = {o: np.zeros((n, m)) for o in solve.OUT}
+        for i, step in enumerate(found):
+            for o, v in zip(solve.OUT, step):
+                planes[o][i] = v
+        out = sky_.select(at).take(pa.array(np.repeat(np.arange(n), m), pa.int64()))
+        for name, v in (("r", np.tile(r, n)), ("c", np.tile(c, n)), ("ground", np.tile(ground, n)), *((o, planes[o].ravel()) for o in solve.OUT)):
+            out = out.append_column(name, pa.array(v, pa.int32() if name in "rc" else pa.float64()))
+        return out
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in steps.select(*at).schema)
+    solved = _solved(city, steps, keys, solve.STEP, rows, f"{types}, r int, c int, ground double, " + ", ".join(f"{o} double" for o in solve.OUT), top, scale, block, ground_only, overlap, parts, isotropic)
+    air = [c for c in steps.columns if c not in (*at, *solve.OUT)]
+    few = steps.limit(MOST_STEPS + 1).count() <= MOST_STEPS
+    joined = solved.join(F.broadcast(steps.select(*at, *air)) if few else steps.select(*at, *air), at)
+    # null goes through the formulas: as a condition around them it would keep Spark from compiling them in pieces
+    out = apply(joined.withColumns({o: F.when(F.col("ground") == 1, F.col(o)) for o in solve.OUT}), COMFORT)
+    return out.select("zone", *keys, "t", "r", "c", *outputs)
+
+
+def thermal_summary(city: DataFrame, forcing: DataFrame, top: float, keys: Sequence[str] = (), which: DataFrame | None = None, scale: float = 1.0, block: int = 512, overlap: int = OVERLAP, parts: int = PARTS, isotropic: bool = False) -> DataFrame:
+    """``zone, keys, r, c, hours`` and mean and largest tmrt, UTCI and WBGT of each ground cell over the steps of each series; the arguments are those of ``thermal_comfort``.
+
+    What ``thermal_comfort`` gives, grouped by cell and series: ``hours`` counts steps, what is null in a step is left out of mean and maximum.
+    ``which``: zone and another column by which the forcing goes instead of the zone, where zones share it. A series is in one task whole, so its steps are folded there. Nothing is shuffled behind, and steps meet cells by zone and not in a join.
+    """
+    if which is None:
+        city, steps = _zoned(city, forcing, keys)
+    else:
+        shared = next(x for x in which.columns if x != "zone")
+        steps = _zoned(city, forcing.withColumnRenamed(shared, "zone"), keys)[1].withColumnRenamed("zone", shared)
+    steps = apply(steps, AIR).select(*(["zone"] if which is None else [shared]), *keys, "t", *solve.STEP, *solve.AIR)
+    steps = steps if which is None else which.join(steps, shared).drop(shared)
+    at = ["zone", *keys]
+    out = [f"{n}_{x}" for x in solve.FELT for n in ("mean", "max")]
+
+    def rows(sky_: pa.Table, series: Sequence, m: int, ground: np.ndarray, r: np.ndarray, c: np.ndarray, found: Iterator[tuple[np.ndarray, ...]]) -> pa.Table:
+        first, hours, parts_ = [], [], {o: [] for o in out}
+        wanted = sky_.select([*solve.STEP, *solve.AIR]).to_pylist() if m else []
+        for begin, n, felt in solve.fold(found, wanted, series, m):
+            first.append(begin)
+            hours.append(n)
+            for o in out:
+                parts_[o].append(pa.nulls(m, pa.float64()) if felt[o] is None else pa.array(felt[o]))
+        k = len(first)
+        table = sky_.select(at).take(pa.array(np.repeat(np.array(first, np.int64), m), pa.int64()))
+        for name, v in (("r", pa.array(np.tile(r, k), pa.int32())), ("c", pa.array(np.tile(c, k), pa.int32())), ("hours", pa.array(np.repeat(np.array(hours, np.int64), m), pa.int64())), *((o, pa.chunked_array(parts_[o], pa.float64())) for o in out)):
+            table = table.append_column(name, v)
+        return table
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in steps.select(*at).schema)
+    return _solved(city, steps, keys, (*solve.STEP, *solve.AIR), rows, f"{types}, r int, c int, hours bigint, " + ", ".join(f"{o} double" for o in out), top, scale, block, True, overlap, parts, isotropic)
+
+
+def _zoned(city: DataFrame, forcing: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The city in zones, and what depends on the step alone."""
     if "zone" not in city.columns:  # one zone
         city, forcing = city.withColumn("zone", F.lit(0)), forcing.withColumn("zone", F.lit(0))
-    at = ["zone", *keys, "t"]
     needed = ("hour", "doy", "latitude", "ta", "rh", "radg", "wind")
-    steps = apply(forcing.dropna(subset=list(needed)).select("zone", *keys, *_FORCING), STEP_FORCING)
+    return city, apply(forcing.dropna(subset=list(needed)).select("zone", *keys, *_FORCING), STEP_FORCING)
+
+
+def _solved(city: DataFrame, steps: DataFrame, keys: Sequence[str], columns: Sequence[str], rows: Callable[..., pa.Table], ddl: str, top: float, scale: float, block: int, ground_only: bool, overlap: int, parts: int, isotropic: bool) -> DataFrame:
+    """What ``rows`` makes of each zone's steps, cells and what ``solve.each`` finds for them."""
     layered = raster.layers(city)
     # what a cell sees travels as bits, and its cover as a class: view factors and properties are worked out where a zone is solved
-    view = march.sky_bits_blocks(layered, top, block, scale)
     number = lambda c: F.col(c).cast("double").alias(c)
-    seen = layered.select("zone", "r", "c", "ground", *(number(x) for x in ("dsm", "vegdsm", "vegdsm2")), raster.clean_land_cover(F.col("lc")).cast("int").alias("lc")).join(view, ["r", "c"])
-    packed = seen.select("zone", "r", "c", "dsm", "vegdsm", "vegdsm2", F.concat(F.array("ground", "lc"), "bits").alias("fixed"))
+    known = layered.select("zone", "r", "c", "ground", *(number(x) for x in ("dsm", "vegdsm", "vegdsm2")), raster.clean_land_cover(F.col("lc")).cast("int").alias("lc"))
+    height = {x: F.col(x).alias(f"{x}_") for x in ("dsm", "vegdsm", "vegdsm2")}  # as planes the march takes null for 0
+    seen = march.sky_bits_blocks(known.select("*", *height.values()), top, block, scale, carry=["zone", "ground", "lc", *(f"{x}_" for x in height)])
+    packed = seen.select("zone", "r", "c", *(F.col(f"{x}_").alias(x) for x in height), F.concat(F.array("ground", "lc"), "bits").alias("fixed"))
     near = around(packed, city.select("zone", "r", "c"), overlap, ["r", "c", "dsm", "vegdsm", "vegdsm2", "fixed"])
     # cells around a zone only cast shadows: they go without what is known of them
     dealt = near.select("zone", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "own", "r", "c", "dsm", "vegdsm", "vegdsm2", F.when(F.col("own"), F.col("fixed")).alias("fixed"))
-    suns = steps.select("zone", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(parts)).cast("int").alias("part"), *keys, "t", *(number(x) for x in solve.STEP))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in suns.select(*at).schema)
+    suns = steps.select("zone", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(parts)).cast("int").alias("part"), *keys, "t", *(number(x) for x in columns))
 
     fixed = ("ground", "lc", *march.SEEN)
 
@@ -110,34 +176,23 @@ def thermal_comfort(city: DataFrame, forcing: DataFrame, top: float, outputs: Se
                 known = known[keep]
         trunk = np.nan_to_num(t["vegdsm2"].to_numpy(zero_copy_only=False))[own] if len(t) else np.zeros(0)
         of = static(known, trunk)
-        n = sky_.num_rows
-        found = {o: np.zeros((n, 0)) for o in solve.OUT}
+        n, m = sky_.num_rows, int(own.sum())
         r, c = (t[x].to_numpy() if len(t) else np.zeros(0, np.int32) for x in "rc")
-        order = [(x, "ascending") for x in (*keys, "t")]
-        sky_ = sky_.sort_by(order) if n else sky_
-        if own.any() and n:
+        sky_ = sky_.sort_by([(x, "ascending") for x in (*keys, "t")]) if n else sky_
+        series = list(zip(*(sky_[k].to_pylist() for k in keys))) if keys else [()] * n
+        found = iter(())
+        if m and n:
             r0, c0 = r.min(), c.min()
             planes = []
             for p in ("dsm", "vegdsm", "vegdsm2"):
                 g = np.zeros((int(r.max() - r0 + 1), int(c.max() - c0 + 1)))
                 g[r - r0, c - c0] = np.nan_to_num(t[p].to_numpy())
                 planes.append(g)
-            series = list(zip(*(sky_[k].to_pylist() for k in keys))) if keys else [()] * n
-            found = solve.solve(planes, (r[own] - r0, c[own] - c0), of, sky_.select(list(solve.STEP)).to_pylist(), series, top, scale, None if isotropic else of)
-        m = int(own.sum()) if n else 0
-        out = sky_.select(at).take(pa.array(np.repeat(np.arange(n), m), pa.int64()))
-        for name, v in (("r", np.tile(r[own], n) if n else r[:0]), ("c", np.tile(c[own], n) if n else c[:0]), ("ground", np.tile(of["ground"], n) if n else np.zeros(0)), *((o, found[o].ravel()) for o in solve.OUT)):
-            out = out.append_column(name, pa.array(v, pa.int32() if name in "rc" else pa.float64()))
-        return out
+            found = solve.each(planes, (r[own] - r0, c[own] - c0), of, sky_.select(list(solve.STEP)).to_pylist(), series, top, scale, None if isotropic else of)
+        return rows(sky_, series, m, of["ground"], r[own], c[own], found)
 
     by = ["zone", "part"]
-    solved = dealt.groupBy(*by).cogroup(suns.groupBy(*by)).applyInArrow(zone, f"{types}, r int, c int, ground double, " + ", ".join(f"{o} double" for o in solve.OUT))
-    air = [c for c in steps.columns if c not in (*at, *solve.OUT)]
-    few = steps.limit(MOST_STEPS + 1).count() <= MOST_STEPS
-    rows = solved.join(F.broadcast(steps.select(*at, *air)) if few else steps.select(*at, *air), at)
-    # null goes through the formulas: as a condition around them it would keep Spark from compiling them in pieces
-    out = apply(rows.withColumns({o: F.when(F.col("ground") == 1, F.col(o)) for o in solve.OUT}), COMFORT)
-    return out.select("zone", *keys, "t", "r", "c", *outputs)
+    return dealt.groupBy(*by).cogroup(suns.groupBy(*by)).applyInArrow(zone, ddl)
 
 
 # -- queries ------------------------------------------------------------------------------------------
@@ -152,27 +207,26 @@ def _mean_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("tile", F.month("obs_time").alias("month"), F.col("it").cast("int").alias("t")).agg(*mean, F.round(F.avg("doy")).alias("doy"), F.min("latitude").alias("latitude")).withColumn("hour", F.col("t") + 0.5)
 
 
-def _zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The city in zones, and the mean days of the tile whose forcing each zone has: the tiles with stations, in turn."""
-    days = _mean_days(spark, sf_dir)
+def _zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The city in zones, the mean days of tiles, and the tile whose forcing each zone has: the tiles with stations, in turn."""
+    days = materialize(_mean_days(spark, sf_dir), "days")  # a few rows a tile, of which all readings are the input: made once
     tiles = sorted(r.tile for r in days.select("tile").distinct().collect())  # the grid has 48
     city = cells(spark, sf_dir).withColumn("zone", F.floor(F.col("r") / ZONE_ROWS).cast("int"))
     which = city.select("zone").distinct().withColumn("tile", F.element_at(F.array(*map(F.lit, tiles)), (F.col("zone") % len(tiles) + 1).cast("int"))) if tiles else city.select("zone", F.lit(None).cast("string").alias("tile")).limit(0)
-    return city, which.join(days, "tile")
+    return city, days, which
 
 
 def comfort_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and largest mean radiant temperature, UTCI and WBGT of every ground cell over the hours of each month's mean day."""
-    city, forcing = _zones(spark, sf_dir)
-    out = thermal_comfort(city, forcing, 26.0, ("tmrt", "utci", "wbgt"), ground_only=True, keys=("month",))
-    mean = [g(x).alias(f"{n}_{x}") for x in ("tmrt", "utci", "wbgt") for n, g in (("mean", F.avg), ("max", F.max))]
-    return out.groupBy("r", "c", "month").agg(F.count("*").alias("hours"), *mean).select("r", "c", "month", "hours", *(F.round(f"{n}_{x}", 3).alias(f"{n}_{x}") for x in ("tmrt", "utci", "wbgt") for n in ("mean", "max")))
+    city, days, which = _zones(spark, sf_dir)
+    out = thermal_summary(city, days, 26.0, keys=("month",), which=which)
+    return out.select("r", "c", "month", "hours", *(F.round(f"{n}_{x}", 3).alias(f"{n}_{x}") for x in ("tmrt", "utci", "wbgt") for n in ("mean", "max")))
 
 
 def comfort_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many ground cells are in each heat-stress class in each hour of each month's mean day."""
-    city, forcing = _zones(spark, sf_dir)
-    out = thermal_comfort(city, forcing, 26.0, ("utci", "tmrt"), ground_only=True, keys=("month",))
+    city, days, which = _zones(spark, sf_dir)
+    out = thermal_comfort(city, which.join(days, "tile"), 26.0, ("utci", "tmrt"), ground_only=True, keys=("month",))
     return out.withColumn("stress", F.expr(comfort.utci_class())).groupBy("month", "t", "stress").agg(F.count("*").alias("cells"), F.round(F.avg("utci"), 3).alias("mean_utci"), F.round(F.max("tmrt"), 3).alias("max_tmrt")).orderBy("month", "t", "stress")
 
 
